@@ -5,8 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import conversations
-from daftar.session import table
+from daftar.llm import conversations, lookalike
+from daftar.session import Scratch, table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    work = Scratch(spark, "lookalike")
+    docs, edges = table(spark, d, "gr_documents"), table(spark, d, "gr_edges")
+    numbers = work.write(lookalike.keyed(docs, "doc_id", "gr_number"), "numbers")
+    texts = work.write(lookalike.keyed(docs, "doc_id", "text"), "texts")
+    cited = work.write(lookalike.keyed(edges, "src_id", "dst_number"), "cited")
+    found = [("gr_number", lookalike.twins(numbers, numbers, True)), ("text", lookalike.twins(texts, texts, True)), ("dst_number", lookalike.twins(cited, numbers, False))]
+    pairs = [t.select(F.lit(f).alias("field"), F.col("owner_a").alias("doc_id_a"), F.col("owner_b").alias("doc_id_b")) for f, t in found]
+    return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
+
+
+def p1_normalised(spark: SparkSession, d: str) -> DataFrame:
+    """How many spellings each field has before and after, and how many values changed."""
+    docs, edges = table(spark, d, "gr_documents"), table(spark, d, "gr_edges")
+    values = (
+        docs.select(F.lit("gr_number").alias("field"), F.col("gr_number").alias("v")).unionByName(docs.select(F.lit("text").alias("field"), F.col("text").alias("v")))
+        .unionByName(edges.select(F.lit("dst_number").alias("field"), F.col("dst_number").alias("v"))).where("v is not null")
+    )
+    keys = values.select("field", lookalike.keys_column("v").alias("k"))
+    return keys.groupBy("field").agg(
+        F.count(F.lit(1)).alias("n_values"), F.countDistinct("k.raw").alias("n_spellings"), F.countDistinct("k.look").alias("n_looks"),
+        F.countDistinct("k.fold").alias("n_folds"), F.count(F.when(F.col("k.raw") != F.col("k.look"), 1)).alias("n_changed"),
+    )
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +45,8 @@ def p7_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_normalised": p1_normalised,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
 }
