@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import conversations, lookalike
+from daftar.llm import conversations, lookalike, pieces
 from daftar.session import Scratch, table
 
 
@@ -34,6 +34,36 @@ def p1_normalised(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+PIECE_CHARS, OVERLAP_CHARS = 1200, 150
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, chunks = table(spark, d, "gr_documents"), table(spark, d, "gr_chunks")
+    work = Scratch(spark, "pieces")
+    seen = work.write(pieces.survey(docs.select("doc_id", "text"), "doc_id", "text", PIECE_CHARS, OVERLAP_CHARS).where("doc_id is not null").distinct(), "survey")
+    over = [("text_over", F.col("n_pieces") > 1), *((f"{u}_over", F.col(u) > PIECE_CHARS) for u in ("paragraph", "sentence", "word"))]
+    of_texts = seen.select("doc_id", F.explode(F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in over]), lambda x: x.isNotNull())).alias("fault"))
+
+    stored = chunks.select(F.col("gr_id").alias("doc_id"), "faiss_id", "chunk_index", "page_start", "page_end", (F.length("text") > PIECE_CHARS).alias("long")).where("doc_id is not null")
+    exists = docs.select("doc_id").distinct()
+    stored = stored.distinct().join(exists, "doc_id", "left_semi")
+    index = stored.groupBy("doc_id", "faiss_id", "chunk_index").agg(F.max("long").alias("long")).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("chunk_index").alias("distinct"), F.min("chunk_index").alias("lo"), F.max("chunk_index").alias("hi"), F.max("long").alias("long")
+    )
+    gap = (F.col("n") != F.col("distinct")) | (F.col("lo") != 0) | (F.col("hi") != F.col("n") - 1)
+    of_index = index.select("doc_id", F.explode(F.filter(F.array(F.when(gap | F.col("hi").isNull(), F.lit("index_gap")), F.when(F.col("long"), F.lit("chunk_over"))), lambda x: x.isNotNull())).alias("fault"))
+    page = lambda c: F.coalesce(~F.array_contains("pages", F.col(c)), F.lit(False))
+    spans = stored.select("doc_id", "page_start", "page_end").distinct().join(seen.select("doc_id", "pages").distinct(), "doc_id", "left")
+    wrong = page("page_start") | page("page_end") | F.coalesce(F.col("page_start") > F.col("page_end"), F.lit(False))
+    of_pages = spans.where(wrong).select("doc_id", F.lit("page_span").alias("fault"))
+    return of_texts.unionByName(of_index).unionByName(of_pages).distinct()
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "gr_documents").select("doc_id", "text").distinct()
+    return pieces.split(docs, "doc_id", "text", PIECE_CHARS, OVERLAP_CHARS)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     verdicts = conversations.judge(conversations.stretches(conversations.turns(table(spark, d, "messages"))))
     ids = table(spark, d, "conversations").select(F.col("id").alias("conversation_id")).where("conversation_id is not null").distinct()
@@ -47,6 +77,8 @@ def p7_conversations(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
+    "p3_found": p3_found,
+    "p3_pieces": p3_pieces,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
 }
@@ -67,7 +99,29 @@ kept AS (
   HAVING bool_and(role = CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END) AND count(*) % 2 = 0)
 """
 
+# Sizes in characters; sentences and runs as TESTDATA.md defines them.
+_FAULTS = """
+WITH t AS (SELECT DISTINCT doc_id, text FROM gr_documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+par AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\t\\x{00A0}]*\\n\\s*\\n')) AS p FROM t),
+sen AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(p, '([.?!।])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM par),
+pg AS (SELECT doc_id, CASE WHEN len(n) > 0 THEN list_transform(n, lambda x: x::INT) ELSE [1] END AS pages
+  FROM (SELECT doc_id, regexp_extract_all(text, '(?m)^#[ \\t]*Page[ \\t]*(\\d+)[ \\t]*$', 1) AS n FROM t)),
+c AS (SELECT DISTINCT gr_id AS doc_id, faiss_id, chunk_index, page_start, page_end, length(text) AS n FROM gr_chunks
+  WHERE gr_id IN (SELECT doc_id FROM gr_documents WHERE doc_id IS NOT NULL)),
+i AS (SELECT DISTINCT doc_id, faiss_id, chunk_index FROM c)
+"""
+
 ORACLE = {
+    "p3_found": _FAULTS
+    + """SELECT doc_id, 'text_over' AS fault FROM t WHERE length(text) > 1200
+UNION SELECT doc_id, 'paragraph_over' FROM par WHERE length(trim(p, ' ' || chr(10))) > 1200
+UNION SELECT doc_id, 'sentence_over' FROM sen WHERE length(trim(s, ' ' || chr(10))) > 1200
+UNION SELECT doc_id, 'word_over' FROM t WHERE regexp_matches(text, '\\S{1000}\\S{201}')
+UNION SELECT doc_id, 'chunk_over' FROM c WHERE n > 1200
+UNION SELECT doc_id, 'index_gap' FROM i GROUP BY doc_id
+  HAVING count(*) <> count(DISTINCT chunk_index) OR min(chunk_index) <> 0 OR max(chunk_index) <> count(*) - 1 OR max(chunk_index) IS NULL
+UNION SELECT c.doc_id, 'page_span' FROM c LEFT JOIN pg ON c.doc_id = pg.doc_id
+  WHERE coalesce(NOT list_contains(pages, page_start), FALSE) OR coalesce(NOT list_contains(pages, page_end), FALSE) OR coalesce(page_start > page_end, FALSE)""",
     "p7_found": _TURNS + "SELECT DISTINCT id AS conversation_id FROM conversations WHERE id IS NOT NULL AND id NOT IN (SELECT conversation_id FROM kept)",
     "p7_conversations": _TURNS
     + """SELECT conversation_id, k::INT AS turn_no, role, content, created_at FROM n WHERE conversation_id IN (SELECT conversation_id FROM kept)
