@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import conversations, lookalike, pieces
+from daftar.llm import conversations, languages, lookalike, pieces
 from daftar.session import Scratch, table
 
 
@@ -64,6 +64,26 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(docs, "doc_id", "text", PIECE_CHARS, OVERLAP_CHARS)
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "gr_documents").select("doc_id", "language", "text")
+    profiles = languages.fit(languages.sample(docs, "doc_id", "language", "text"))
+    return Scratch(spark, "languages").write(languages.assign(docs.where("doc_id is not null"), "doc_id", "language", "text", profiles), "assigned")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    seen = _languages(spark, d)
+    whole = seen.where("block_no = -1")
+    mislabelled = whole.where("label is null or label <> lang").select("doc_id", "block_no", "lang")
+    main = whole.select("doc_id", F.col("lang").alias("main")).distinct()
+    foreign = seen.where(f"block_no >= 0 and n_words >= {languages.LEAST_WORDS}").join(main, "doc_id").where("lang <> main").select("doc_id", "block_no", "lang")
+    return mislabelled.unionByName(foreign).distinct()
+
+
+def p5_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Language and confidence of every document and of every running block."""
+    return _languages(spark, d).select("doc_id", "block_no", "label", "lang", F.round("confidence", 4).alias("confidence")).distinct()
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     verdicts = conversations.judge(conversations.stretches(conversations.turns(table(spark, d, "messages"))))
     ids = table(spark, d, "conversations").select(F.col("id").alias("conversation_id")).where("conversation_id is not null").distinct()
@@ -79,6 +99,8 @@ QUERIES = {
     "p1_normalised": p1_normalised,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p5_found": p5_found,
+    "p5_languages": p5_languages,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
 }
