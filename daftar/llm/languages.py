@@ -67,7 +67,8 @@ def running(block: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Words of two letters or more; single letters, as in codes, say nothing of a language."""
+    return [w for w in _WORD.findall(text.lower()) if len(w) > 1]
 
 
 def running_blocks(text: str) -> list[str]:
