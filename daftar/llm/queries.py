@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import conversations, languages, lookalike, pieces
+from daftar.llm import conversations, languages, lookalike, pieces, subjects
 from daftar.session import Scratch, table
 
 
@@ -94,6 +94,23 @@ def p7_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(table(spark, d, "messages"))[0]
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "title", "text")
+    return subjects.subjects(docs, table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).where(F.col("n_sentences") >= subjects.LEAST_SENTENCES).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents that deal with each area, and sentences given to it."""
+    given = _subjects(spark, d)
+    return given.groupBy("subject").agg(
+        F.count(F.when(F.col("n_sentences") >= subjects.LEAST_SENTENCES, 1)).alias("n_documents"), F.sum("n_sentences").alias("n_sentences")
+    )
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
@@ -103,6 +120,8 @@ QUERIES = {
     "p5_languages": p5_languages,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
+    "p10_found": p10_found,
+    "p10_composition": p10_composition,
 }
 
 _TURNS = """
