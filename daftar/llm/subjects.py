@@ -107,8 +107,10 @@ class Model:
         self.anchor = a / a.sum(1, keepdims=True)
         rng = np.random.default_rng(7)
         free = p * rng.uniform(0.5, 1.5, (FREE, t)) * np.where(share > 0.02, 1, 0.05)
-        h = np.concatenate([self.anchor + 1e-3 * p, free + 1e-12])
-        self.h = h / h.sum(1, keepdims=True)
+        # A term that the labels tie to a subject stays out of the free components (an update keeps zeros).
+        free[:, (labels >= 5) & (self.weight > 0.5)] = 0
+        h = np.concatenate([self.anchor + 1e-3 * p, free])
+        self.h = h / np.maximum(h.sum(1, keepdims=True), 1e-12)
 
     def matrix(self, terms: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, weighted count) of a batch, ordered by document."""
@@ -150,9 +152,10 @@ class Model:
 
     def update(self, sums: np.ndarray, reweigh: bool) -> None:
         k = len(self.subjects)
-        m = self.h * sums[:, : k + FREE].T + 1e-15
+        m = self.h * sums[:, : k + FREE].T
+        m[:k] += 1e-15
         m[:k] += ANCHOR * m[:k].sum(1, keepdims=True) * self.anchor
-        self.h = m / m.sum(1, keepdims=True)
+        self.h = m / np.maximum(m.sum(1, keepdims=True), 1e-12)
         if reweigh:
             c = sums[:, k + FREE :]
             base = (c.sum(0) + 1e-9) / (c.sum() + k * 1e-9)
@@ -173,7 +176,7 @@ class Model:
         doc = np.repeat(np.arange(len(sizes)), sizes)[flat == 0]
         at = np.minimum(np.searchsorted(self.terms, flat), len(self.terms) - 1)
         mass = self.h / (self.h.sum(0) + 1e-12)
-        inform = mass[:k].sum(0) * self.weight
+        inform = np.maximum(mass[:k].sum(0), 0.2) * self.weight
         table = (inform * np.log(mass[:k] / (mass[:k].sum(0) + 1e-12) + 1e-3)).T
         known = (self.terms[at] == flat) & (inform[at] > 0.005)
         sentence, at = sentence[known], at[known]
