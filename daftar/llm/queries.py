@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daftar.llm import conversations, languages, lookalike, pieces, subjects
+from daftar.llm import conversations, languages, lookalike, ocr, pieces, subjects
 from daftar.session import Scratch, table
 
 
@@ -34,6 +34,17 @@ def p1_normalised(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "gr_documents").select("doc_id", "text")
+    chunks = table(spark, d, "gr_chunks").select("faiss_id", "gr_id", "text")
+    return ocr.noisy_lines(docs, chunks, ocr.fit(docs, "text"))
+
+
+def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "gr_documents").select("doc_id", "text").distinct()
+    return ocr.repaired(docs, "doc_id", "text", ocr.fit(docs, "text"))
+
+
 PIECE_CHARS, OVERLAP_CHARS = 1200, 150
 
 
@@ -114,6 +125,8 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
+    "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
     "p5_found": p5_found,
