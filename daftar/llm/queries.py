@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from daftar.llm import conversations, languages, lookalike, ocr, pieces, subjects
+from daftar.llm import conversations, languages, lookalike, mixing, ocr, packing, pieces, subjects, tokens
 from daftar.session import Scratch, table
 
 
@@ -122,6 +123,68 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", *columns, "text")
+    return Scratch(spark, "tokens").write(tokens.measured(docs, "text"), "sizes")
+
+
+def _items(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, int]]:
+    sizes = _sizes(spark, d)
+    rows = table(spark, d, "pack_capacities").distinct().collect()
+    usable = {r["container"]: r["capacity_tokens"] - (r["reserved_tokens"] or 0) for r in rows}
+    out = None
+    for name, room in sorted(usable.items()):
+        part = packing.items(sizes, "doc_id", room, name)
+        out = part if out is None else out.unionByName(part)
+    return out, usable
+
+
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, or part of a text larger than the container, with the container it stands in."""
+    items, usable = _items(spark, d)
+    return packing.pack(items, "doc_id", usable)
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers used of each size, how full they are, and how many any packing needs at least."""
+    items, usable = _items(spark, d)
+    bins = packing.pack(items, "doc_id", usable).groupBy("container", "bin_no").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_items"))
+    room = F.create_map(*[F.lit(x) for kv in usable.items() for x in kv])[F.col("container")]
+    return bins.groupBy("container").agg(
+        F.count(F.lit(1)).alias("n_bins"), F.sum("n_items").alias("n_items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"),
+        F.ceil(F.sum("tokens") / F.max(room)).alias("least_bins"), F.round(F.sum("tokens") / F.sum(room), 6).alias("fill"),
+    )
+
+
+def p8_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The optimal length buckets of each container size, with their batches and padding."""
+    items, usable = _items(spark, d)
+    batches = packing.bucket_batches(items, "doc_id", usable)
+    return batches.groupBy("container", "bucket").agg(
+        F.count(F.lit(1)).alias("n_items"), F.countDistinct("batch_no").alias("n_batches"), F.sum("tokens").alias("tokens"),
+        F.sum(F.col("bucket") - F.col("tokens")).alias("padding"),
+    )
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents, once per epoch, in the largest mixture that gives every source its share."""
+    drawn, _ = mixing.mix(_sizes(spark, d, "source", "lang"), table(spark, d, "source_targets"))
+    return drawn.select("doc_id", "source", "lang", "epoch", "n_tokens")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Wanted and reached shares of each source: in the largest exact mixture, and in one as large as all wanted sources together."""
+    sizes, targets = _sizes(spark, d, "source", "lang"), table(spark, d, "source_targets").distinct()
+    held = sizes.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n_tokens").alias("n")).first()["n"]
+    out = None
+    for name, total in (("largest_exact", None), ("one_epoch", float(held or 0))):
+        drawn, _ = mixing.mix(sizes, targets, total)
+        got = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_texts"), (F.max("epoch") + 1).alias("most_repeats"))
+        part = targets.join(got, "source", "left").select(F.lit(name).alias("mixture"), "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "n_texts", "most_repeats")])
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("share", F.round(F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy("mixture"))), 6))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_normalised": p1_normalised,
@@ -133,6 +196,11 @@ QUERIES = {
     "p5_languages": p5_languages,
     "p7_found": p7_found,
     "p7_conversations": p7_conversations,
+    "p8_packing": p8_packing,
+    "p8_fill": p8_fill,
+    "p8_buckets": p8_buckets,
+    "p9_mixture": p9_mixture,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_composition": p10_composition,
 }
