@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
@@ -30,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daftar.llm.languages import _CLOSING, _WORD, romanise
+from daftar.llm.languages import _CLOSING, romanise
 from daftar.llm.lookalike import look
 from daftar.session import Scratch
 
@@ -40,13 +39,24 @@ FREE, ROUNDS, ANCHOR = 4, 7, 0.3
 
 _END = re.compile(r"[.?!।](?=\s|$)")
 _CLOSES = re.compile(_CLOSING)
+_WORD = re.compile(r"[\wऀ-ःऺ-़ा-ॏ॑-ॗॢॣ]+")
+_NUMBER = re.compile(r"[\d_]")
+_LONGEST_CLOSING = 160  # characters; closings and copy lists stand in short lines
+
+
+_TERMS: dict[str, int] = {}
 
 
-@lru_cache(maxsize=200_000)
 def term(word: str) -> int:
-    """64-bit id of a word, equal for a Devanagari word and its romanised form; never 0."""
+    """64-bit id of a word, equal for a Devanagari word and its romanised form; 0 for what is no word of two letters."""
+    if (known := _TERMS.get(word)) is not None:
+        return known
     plain = (romanise(word) or word) if "ऀ" <= word[0] <= "ॿ" else word
-    return int.from_bytes(blake2b(plain.encode(), digest_size=8).digest(), "little", signed=True) or 1
+    made = int.from_bytes(blake2b(plain.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if len(word) > 1 and not _NUMBER.search(word) else 0
+    if len(_TERMS) > 500_000:  # a memory bound of the cache; what falls out is made again
+        _TERMS.clear()
+    _TERMS[word] = made
+    return made
 
 
 def body_sentences(title: str | None, text: str) -> list[str]:
@@ -55,7 +65,7 @@ def body_sentences(title: str | None, text: str) -> list[str]:
     body: list[str] = []
     for line in look(text).split("\n"):
         line = line.strip()
-        if line and line != name and not _CLOSES.search(line) and (body or _END.search(line)):
+        if line and line != name and not (len(line) <= _LONGEST_CLOSING and _CLOSES.search(line)) and (body or _END.search(line)):
             body.append(line)
     return _END.split("\n".join(body))
 
@@ -70,8 +80,8 @@ def encode(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
             for name, t in zip(b["n"].tolist(), b["t"].tolist()):
                 ids: list[int] = []
                 for s in body_sentences(name, t):
-                    if words := [w for w in _WORD.findall(s.lower()) if len(w) > 1]:
-                        ids.extend(map(term, words))
+                    if words := [i for w in _WORD.findall(s.lower()) if (i := term(w))]:
+                        ids += words
                         ids.append(0)
                 out.append(np.array(ids, np.int64))
             yield pd.DataFrame({"k": b["k"], "terms": out})
@@ -113,7 +123,7 @@ class Model:
         self.h = h / np.maximum(h.sum(1, keepdims=True), 1e-12)
 
     def matrix(self, terms: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, term, weighted count) of a batch, ordered by document."""
+        """(document, term, count) of a batch, ordered by document; terms set aside are left out."""
         sizes = np.array([len(x) for x in terms], np.int64)
         flat = np.concatenate([*terms, np.empty(0, np.int64)])
         row = np.repeat(np.arange(len(sizes)), sizes)
@@ -121,7 +131,7 @@ class Model:
         known = (self.terms[col] == flat) & (self.weight[col] > 0.01)
         pair, n = np.unique(row[known] * len(self.terms) + col[known], return_counts=True)
         row, col = np.divmod(pair, len(self.terms))
-        return row, col, n * self.weight[col]
+        return row, col, n
 
     def mixtures(self, row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, steps: int) -> tuple[np.ndarray, np.ndarray]:
         """W of a batch under the present H, and H's columns for its entries."""
@@ -137,10 +147,15 @@ class Model:
             w[held] *= np.add.reduceat(ht * r[:, None], at)
         return w, ht
 
-    def step(self, terms: pd.Series) -> pd.DataFrame:
+    def step(self, cols: pd.Series, counts: pd.Series) -> pd.DataFrame:
         """Partial sums of one H update, and of the document mixtures that each term occurs in."""
-        row, col, val = self.matrix(terms)
-        w, ht = self.mixtures(row, col, val, len(terms), 1)
+        sizes = np.array([len(x) for x in cols], np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        col = np.concatenate([*cols, np.empty(0, np.int32)])
+        val = np.concatenate([*counts, np.empty(0, np.int32)])
+        kept = self.weight[col] > 0.01
+        row, col, val = row[kept], col[kept], val[kept] * self.weight[col[kept]]
+        w, ht = self.mixtures(row, col, val, len(sizes), 1)
         k, t = len(self.subjects), len(self.terms)
         r = val / ((w[row] * ht).sum(1) + 1e-12)
         g = w[row] * r[:, None]
@@ -167,8 +182,8 @@ class Model:
     def given(self, terms: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, subject, sentences given to it) of a batch."""
         k = len(self.subjects)
-        row, col, val = self.matrix(terms)
-        w, _ = self.mixtures(row, col, val, len(terms), 5)
+        row, col, n = self.matrix(terms)
+        w, _ = self.mixtures(row, col, n * self.weight[col], len(terms), 5)
         prior = w[:, :k] / (w[:, :k].sum(1, keepdims=True) + 1e-12)
         sizes = np.array([len(x) for x in terms], np.int64)
         flat = np.concatenate([*terms, np.empty(0, np.int64)])
@@ -189,7 +204,21 @@ class Model:
         return pair // k, pair % k, n
 
 
-def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
+def _sparse(encoded: DataFrame, model: Model) -> DataFrame:
+    """The document-term matrix: (cols, counts) of each document."""
+    shared = encoded.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            row, col, n = shared.value.matrix(b["terms"])
+            cut = np.searchsorted(row, np.arange(1, len(b)))
+            if len(b):
+                yield pd.DataFrame({"cols": np.split(col.astype("int32"), cut), "counts": np.split(n.astype("int32"), cut)})
+
+    return encoded.select("terms").mapInPandas(run, "cols array<int>, counts array<int>").where(F.size("cols") > 0)
+
+
+def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame, work: Scratch) -> Model:
     """``encoded`` as written by ``encode``; ``labels`` (k, subject); ``areas`` (subject, words): the fixed list of areas."""
     spark = encoded.sparkSession
     n_docs = encoded.count()
@@ -220,15 +249,16 @@ def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame) -> Model:
         terms, df, labelled = np.array([1]), np.array([1.0]), np.zeros(1)
     model = Model(terms, subjects, anchors, labelled, df, n_docs)
     width = len(subjects) * 2 + FREE
+    matrix = work.write(_sparse(encoded, model), "matrix")
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    yield shared.value.step(b["terms"])
+                    yield shared.value.step(b["cols"], b["counts"])
 
-        part = encoded.select("terms").mapInPandas(run, "i int, sums array<double>")
+        part = matrix.mapInPandas(run, "i int, sums array<double>")
         total = part.groupBy("i").agg(*[F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(width)]).toPandas()
         sums = np.zeros((len(terms), width))
         if len(total):
@@ -264,4 +294,4 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     encoded = work.write(encode(docs, "doc_id", "title", "text"), "encoded")
     named = areas.select("subject", F.concat_ws(" ", "label_en", "label_mr", "scope_note").alias("words"))
     hand = labels.select(F.col("doc_id").alias("k"), "subject").where("k is not null and subject is not null").distinct()
-    return assign(encoded, fit(encoded, hand, named), "doc_id")
+    return assign(encoded, fit(encoded, hand, named, work), "doc_id")
