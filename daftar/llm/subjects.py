@@ -35,7 +35,7 @@ from daftar.session import Scratch
 
 LEAST_SHARE = 1e-4  # of the documents, for a term to be in the matrix
 LEAST_SENTENCES = 3
-FREE, ROUNDS, ANCHOR = 4, 7, 0.3
+ROUNDS, ANCHOR = 7, 0.3
 
 _END = re.compile(r"[.?!।](?=\s|$)")
 _CLOSES = re.compile(_CLOSING)
@@ -104,19 +104,21 @@ class Model:
     def __init__(self, terms: np.ndarray, subjects: list[str], anchors: np.ndarray, labels: np.ndarray, df: np.ndarray, n_docs: int):
         k, t = anchors.shape
         self.terms, self.subjects = terms, subjects
+        self.free = max(1, round(k / 3))  # components for wording common to all subjects
+        self.scale = 0.25 * np.log(max(k, 2))  # nats about the subject from which a term counts in full
         share = df / max(n_docs, 1)
         p = df / max(df.sum(), 1)
         base = (anchors.sum(1) + 1e-9) / (anchors.sum() + k * 1e-9)
         seen = anchors.sum(0)
         pk = (anchors + 8 * base[:, None]) / (seen + 8)
         tells = (pk * np.log(pk / base[:, None])).sum(0)
-        self.weight = np.where(labels < 3, np.where(share < 0.003, 0.5, 0.1), np.clip(tells / 0.6, 0, 1))
+        self.weight = np.where(labels < 3, np.where(share < 0.003, 0.5, 0.1), np.clip(tells / self.scale, 0, 1))
         own = anchors / np.maximum(anchors.sum(1, keepdims=True), 1e-9)
         lift = own / (seen / max(seen.sum(), 1e-9) + 1e-9)
         a = own * np.clip(lift - 1.5, 0, None) + 1e-12
         self.anchor = a / a.sum(1, keepdims=True)
         rng = np.random.default_rng(7)
-        free = p * rng.uniform(0.5, 1.5, (FREE, t)) * np.where(share > 0.02, 1, 0.05)
+        free = p * rng.uniform(0.5, 1.5, (self.free, t)) * np.where(share > 0.02, 1, 0.05)
         # A term that the labels tie to a subject stays out of the free components (an update keeps zeros).
         free[:, (labels >= 5) & (self.weight > 0.5)] = 0
         h = np.concatenate([self.anchor + 1e-3 * p, free])
@@ -167,17 +169,17 @@ class Model:
 
     def update(self, sums: np.ndarray, reweigh: bool) -> None:
         k = len(self.subjects)
-        m = self.h * sums[:, : k + FREE].T
+        m = self.h * sums[:, : k + self.free].T
         m[:k] += 1e-15
         m[:k] += ANCHOR * m[:k].sum(1, keepdims=True) * self.anchor
         self.h = m / np.maximum(m.sum(1, keepdims=True), 1e-12)
         if reweigh:
-            c = sums[:, k + FREE :]
+            c = sums[:, k + self.free :]
             base = (c.sum(0) + 1e-9) / (c.sum() + k * 1e-9)
             pk = (c + 4 * base) / (c.sum(1, keepdims=True) + 4)
             tells = (pk * np.log(pk / base)).sum(1)
             # A term already set aside has no sums and stays aside.
-            self.weight = np.where(c.any(1), np.clip(tells / 0.6, 0, 1) ** 2, np.minimum(self.weight, 0.01))
+            self.weight = np.where(c.any(1), np.clip(tells / self.scale, 0, 1) ** 2, np.minimum(self.weight, 0.01))
 
     def given(self, terms: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, subject, sentences given to it) of a batch."""
@@ -248,7 +250,7 @@ def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame, work: Scratch)
     else:
         terms, df, labelled = np.array([1]), np.array([1.0]), np.zeros(1)
     model = Model(terms, subjects, anchors, labelled, df, n_docs)
-    width = len(subjects) * 2 + FREE
+    width = len(subjects) * 2 + model.free
     matrix = work.write(_sparse(encoded, model), "matrix")
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
