@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from daftar.functions import text as tx
+from daftar.functions.metadata import extract
 from daftar.functions.vectors import dot
 from daftar.operators import catalog, chunking, citations, evaluation, fusion, grounding, integrity, portal, search, tables
 from daftar.session import table
+from daftar.sources.register import pieces
 
 K = 10
 
@@ -232,6 +234,27 @@ def upload_hybrid_no_floor(spark, d):
     return search.best(scored, ["query_id"], ["fused_rank"], 6).select("query_id", "row_id", "cosine", "rank")
 
 
+def hybrid_answer_context(spark, d):
+    """Questions to numbered evidence: dense and sparse lists fused, capped per order, reranked, gated and cut to the budget."""
+    rows, q = chunk_rows(spark, d), questions(spark, d)
+    terms, size = search.statistics(rows)
+    pool = search.best(per_document_cap(spark, d), ["query_id"], ["fused_rank"], 40, "place")
+    scored = fusion.lexical_scores(pool, rows, q, terms, size.first()["n_rows"]).select("query_id", "row_id", F.col("rerank").alias("score"))
+    kept = fusion.gate(scored, q, F.col("score") >= 0.5).where("row_id is not null").join(rows, "row_id")
+    return grounding.trim(kept, 3000).select("query_id", "row_id", "block_no", "score", "low_confidence", "dropped")
+
+
+def header_metadata(spark, d):
+    """What the header of every text says of its order."""
+    m = extract(docs(spark, d).select("doc_id", "text"), "doc_id", "text")
+    return m.select("doc_id", "gr_number", "date", "department", "title", "category", "language", F.size("refs").alias("n_refs"), "supersedes")
+
+
+def piece_ids(spark, d):
+    """New word-window pieces with dense ids."""
+    return pieces(docs(spark, d)).select("faiss_id", "gr_id", "chunk_index")
+
+
 # --- graph ---------------------------------------------------------------
 
 
@@ -519,7 +542,7 @@ def truncate_from_id(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(left.agg(F.count(F.lit(1)).alias("n_documents")))  # one row each
 
 
-_NAMES = """tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
+_NAMES = """hybrid_answer_context header_metadata piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
 short_titles page_split chunk_windows chunk_counts table_runs table_sentences table_chunk_packing prose_without_tables dense_topk
 dense_topk_filtered dense_topk_by_modality dense_score_for_id bm25_fts_topk bm25_okapi_topk bm25_filtered_overfetch related_documents
 ann_lsh_recall rrf_fuse per_document_cap gate_and_floor empty_filter_abstains rerank_lexical merge_user_uploads upload_hybrid_no_floor

@@ -167,7 +167,19 @@ fl AS (SELECT *, substr(id, -1, 1) < '8' AS in_corpus, len(valid) > 0 AS cited,
     length(trim(regexp_replace(content, '\[\d+\]', '', 'g'))) < 15 AS degenerate,
     regexp_matches(content, '(?i)not (?:found|available|contained|mentioned)|no (?:information|relevant)|cannot (?:answer|find)|माहिती (?:उपलब्ध )?नाही|आढळ(?:ली|ले|ला) नाही|सापडली नाही') AS refused FROM cv)"""
 
+_RERANKED = f"""cp AS (SELECT fu.query_id, row_id, fused_rank FROM fu JOIN chunks ON faiss_id = row_id WHERE fused_rank <= 120 QUALIFY row_number() OVER (PARTITION BY fu.query_id, gr_id ORDER BY fused_rank) <= 2),
+c4 AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) <= 40),
+qw AS (SELECT query_id, term, ln(1 + (SELECT n_rows FROM st)::DOUBLE / (1 + coalesce(n, 0))) AS w FROM qt LEFT JOIN df USING (term)),
+tot AS (SELECT query_id, sum(w) AS total FROM qw GROUP BY query_id), met AS (SELECT c4.query_id, c4.row_id, sum(w) AS met FROM c4 JOIN qw USING (query_id) JOIN tf ON tf.row_id = c4.row_id AND tf.term = qw.term GROUP BY ALL),
+rr AS (SELECT c4.query_id, c4.row_id, round(coalesce(met / total, 0), 6) AS score FROM c4 LEFT JOIN met USING (query_id, row_id) LEFT JOIN tot USING (query_id)),
+{gated("rr", 0.5)},
+ev AS (SELECT gt.query_id, gt.row_id, gt.rank, gt.score, low_confidence, text, {estimate("text", 2.0)} AS cost FROM gt JOIN crow USING (row_id) WHERE gt.query_id IN (SELECT query_id FROM qu)),
+t0 AS (SELECT *, row_number() OVER w AS block_no, sum(cost) OVER w AS spent FROM ev WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+t1 AS (SELECT *, block_no = 1 OR spent <= 3000 AS kept FROM t0), tr AS (SELECT *, sum(CASE WHEN kept THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS dropped FROM t1)"""
+
 ORACLE = {
+    "hybrid_answer_context": "WITH " + _TEXTS + ", " + _DENSE + ", " + dense(60) + ", " + bm25(20) + ", " + fused() + ", " + _RERANKED + " SELECT query_id, row_id, block_no::INT AS block_no, score, low_confidence, dropped::BIGINT AS dropped FROM tr WHERE kept",
+    "piece_ids": "WITH " + _WINDOWS + " SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS faiss_id, doc_id AS gr_id, chunk_index::INT AS chunk_index FROM win",
     "tokenize_counts": f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_terms FROM (SELECT doc_id, {tokens('text')} AS t FROM documents WHERE text IS NOT NULL)",
     "term_document_frequency": f"WITH {_CHUNKS} SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({tokens('text')})) AS term FROM chunks WHERE text IS NOT NULL) GROUP BY term",
     "canonical_numbers": f"SELECT number, {canon('number')} AS canon FROM (SELECT dst_number AS number FROM gr_edges UNION SELECT gr_number FROM gr_documents) WHERE number IS NOT NULL",
