@@ -38,74 +38,58 @@ def resolve(df: DataFrame, child: str, parent: str) -> DataFrame:
     ``path`` runs from the root to the node.  Nodes on a cycle or below one have
     the smallest id of the cycle as root, depth -1 and no path; ``on_cycle``
     tells the members of the cycle itself.  A node linked to itself is a cycle
-    of one.  An empty table gives an empty result; repeated rows count once.
+    of one.  A parent without any child id is a root.  An empty table gives an
+    empty result; repeated rows count once.
     """
     spark = df.sparkSession
     work = Scratch(spark, "hierarchy")
+
+    def with_children(edges: DataFrame) -> DataFrame:
+        """Edges with the number of children of their lower end, and one of them."""
+        kids = edges.where("c <> p").groupBy(F.col("p").alias("c")).agg(F.count(F.lit(1)).alias("kids"), F.min("c").alias("kid"))
+        return edges.join(kids, "c", "left")
+
     first = links(df, child, parent).select("c", "p", F.lit(1).alias("w"), F.expr("cast(array() as array<string>)").alias("seg"))
-    edges = work.write(first, "e0")
-    roots = edges.select(F.col("p").alias("c")).distinct().join(edges.select("c"), "c", "left_anti")
-    done = [work.write(roots.select(F.col("c").alias("node_id"), F.col("c").alias("root_id"), F.lit(0).alias("depth"), F.array("c").alias("path"), F.lit(False).alias("on_cycle")), "d0")]
-    records: list[str] = []
-    cores: list[str] = []
-    name, round_no = "e0", 0
-    while edges.limit(1).count():
-        round_no += 1
-        # Cores: cycles that shrank to one node. They leave with the ids they carry.
-        # Rake: every node that nobody names as parent.
-        parents = edges.where("c <> p").groupBy(F.col("p").alias("c")).agg(F.count(F.lit(1)).alias("kids"), F.min("c").alias("kid"))
-        state = work.write(edges.join(parents, "c", "left"), f"s{round_no}")
-        core = state.where("c = p and kids is null")
-        records.append(f"r{round_no}")
-        cores.append(f"k{round_no}")
-        work.write(core.select("c", "seg"), cores[-1])
-        work.write(state.where("kids is null and c <> p").select("c", "p", "w", "seg"), records[-1])
-        rest = state.where("kids is not null")
+    state = work.write(with_children(first), "s0")
+    states, chosen_of = [], []
+    while state.limit(1).count():
+        n = len(states)
+        states.append(state)
+        # Rake: what nobody names as parent leaves with this state, as does a cycle that shrank to one node.
+        rest = with_children(state.where("kids is not null").drop("kids", "kid"))
         # Compress: v with one child u and a parent p leaves when its hash is the largest among the spliceable of u, v, p.
-        # Children raked in this round no longer count.
-        alive = rest.where("c <> p").groupBy(F.col("p").alias("c")).agg(F.count(F.lit(1)).alias("kids"), F.min("c").alias("kid"))
-        rest = work.write(rest.drop("kids", "kid").join(alive, "c", "left"), f"t{round_no}")
-        unary = rest.where("kids = 1 and c <> p").select("c", "p", "w", "seg", "kid", F.xxhash64("c", F.lit(round_no)).alias("h"))
-        ranked = unary.select("c", "h")
-        chosen = (
-            unary.join(ranked.select(F.col("c").alias("p"), F.col("h").alias("hp")), "p", "left")
-            .join(ranked.select(F.col("c").alias("kid"), F.col("h").alias("hk")), "kid", "left")
-            .where("(hp is null or p = c or (h, c) > (hp, p)) and (hk is null or (h, c) > (hk, kid))")
-        )
-        chosen = work.write(chosen.select("c", "p", "w", "seg", "kid"), f"c{round_no}")
-        records.append(f"c{round_no}")
+        unary = rest.where("kids = 1 and c <> p").select("c", "p", "w", "seg", "kid", F.xxhash64("c", F.lit(n)).alias("h"))
+        up, down = unary.select(F.col("c").alias("p"), F.col("h").alias("hp")), unary.select(F.col("c").alias("kid"), F.col("h").alias("hk"))
+        largest = "(hp is null or p = c or (h, c) > (hp, p)) and (hk is null or (h, c) > (hk, kid))"
+        chosen = work.write(unary.join(up, "p", "left").join(down, "kid", "left").where(largest).select("c", "p", "w", "seg", "kid"), f"c{n}")
+        chosen_of.append(chosen)
         over = chosen.select(F.col("kid").alias("c"), F.col("c").alias("mid"), F.col("p").alias("up"), F.col("w").alias("w2"), F.col("seg").alias("seg2"))
-        edges_next = (
-            rest.join(chosen.select("c"), "c", "left_anti").join(over, "c", "left")
-            .select(
-                "c",
-                F.coalesce("up", "p").alias("p"),
-                (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"),
-                F.when(F.col("mid").isNotNull(), F.concat("seg", F.array("mid"), "seg2")).otherwise(F.col("seg")).alias("seg"),
-            )
-        )
-        work.drop(name)
-        name = f"e{round_no}"
-        edges = work.write(edges_next, name)
-        work.drop(f"s{round_no}")
-        work.drop(f"t{round_no}")
-    read = lambda n, like: spark.read.schema(like.schema).parquet(work.path(n))
-    if cores:
-        like = first.select("c", "seg")
-        members = reduce(DataFrame.union, [read(k, like) for k in cores])
-        members = members.select(F.concat(F.array("c"), "seg").alias("ids")).select(F.array_min("ids").alias("root_id"), F.explode("ids").alias("node_id"))
-        done.append(work.write(members.select("node_id", "root_id", F.lit(-1).alias("depth"), F.expr("cast(null as array<string>)").alias("path"), F.lit(True).alias("on_cycle")), "dk"))
-    for r in reversed(records):
-        known = reduce(DataFrame.union, done).select(F.col("node_id").alias("p"), "root_id", F.col("depth").alias("d"), F.col("path").alias("above"))
-        found = read(r, first).join(known, "p").select(
-            F.col("c").alias("node_id"), "root_id",
-            F.when(F.col("d") >= 0, F.col("d") + F.col("w")).otherwise(-1).alias("depth"),
-            F.concat("above", F.reverse("seg"), F.array("c")).alias("path"),
-            F.lit(False).alias("on_cycle"),
+        left = rest.join(chosen.select("c"), "c", "left_anti").join(over, "c", "left").select(
+            "c", F.coalesce("up", "p").alias("p"), (F.col("w") + F.coalesce("w2", F.lit(0))).alias("w"),
+            F.when(F.col("mid").isNotNull(), F.concat("seg", F.array("mid"), "seg2")).otherwise(F.col("seg")).alias("seg"),
         )
-        # A node spliced out of a cycle is already known as its member.
-        found = found.join(done[1].select("node_id"), "node_id", "left_anti")
-        done.append(work.write(found, f"d-{r}"))
+        state = work.write(with_children(left), f"s{n + 1}")
+
+    def known(ids: DataFrame, root, depth, path, on_cycle: bool) -> DataFrame:
+        return ids.select("node_id", root.alias("root_id"), depth.cast("int").alias("depth"), path.cast("array<string>").alias("path"), F.lit(on_cycle).alias("on_cycle"))
+
+    parents = df.select(F.col(parent).cast("string").alias("node_id")).where("node_id is not null").distinct()
+    children = (states[0] if states else state).select(F.col("c").alias("node_id"))
+    top = parents.join(children, "node_id", "left_anti")
+    cores = reduce(DataFrame.union, [s.where("c = p and kids is null").select("c", "seg") for s in states or [state]])
+    members = cores.select(F.concat(F.array("c"), "seg").alias("ids")).select(F.array_min("ids").alias("r"), F.explode("ids").alias("node_id"))
+    members = work.write(known(members, F.col("r"), F.lit(-1), F.lit(None), True), "cycles")
+    done = [members, work.write(known(top, F.col("node_id"), F.lit(0), F.array("node_id"), False), "tops")]
+    for n in reversed(range(len(states))):
+        # Spliced nodes of a round hang on what the later rounds resolved, raked ones on those as well.
+        for name, part in ((f"dc{n}", chosen_of[n]), (f"dr{n}", states[n].where("kids is null and c <> p"))):
+            above = reduce(DataFrame.union, done).select(F.col("node_id").alias("p"), "root_id", F.col("depth").alias("d"), F.col("path").alias("up"))
+            found = part.join(above, "p").select(
+                F.col("c").alias("node_id"), "root_id", F.when(F.col("d") >= 0, F.col("d") + F.col("w")).otherwise(-1).alias("depth"),
+                F.concat("up", F.reverse("seg"), F.array("c")).alias("path"), F.lit(False).alias("on_cycle"),
+            )
+            # A node spliced out of a cycle is known as its member.
+            done.append(work.write(found.join(members.select("node_id"), "node_id", "left_anti"), name))
     return reduce(DataFrame.union, done)
 
 

@@ -61,7 +61,7 @@ _TREE = """
 WITH RECURSIVE e AS (
   SELECT src_id AS c, min(dst_id) AS p FROM gr_edges
   WHERE lower(trim(kind)) = 'supersedes' AND src_id IS NOT NULL AND dst_id IS NOT NULL GROUP BY src_id),
-n AS (SELECT c AS id FROM e UNION SELECT p FROM e),
+n AS (SELECT c AS id FROM e UNION SELECT dst_id FROM gr_edges WHERE lower(trim(kind)) = 'supersedes' AND dst_id IS NOT NULL),
 walk AS (
   SELECT id, id AS cur, [id] AS seen, FALSE AS closed FROM n
   UNION ALL

@@ -61,12 +61,17 @@ class Scratch:
     """Written intermediate tables of one operator run.
 
     A written table cuts the lineage, survives the loss of any executor and is
-    computed once.  ``drop`` frees a table that no later step reads.
+    computed once.  The tables go when the driver's JVM ends, as results may
+    still read them until then.
     """
 
     def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
+        self.spark = prepare(spark)
         self.root = f"{shared_dir(spark)}/daftar/{what}-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -75,11 +80,6 @@ class Scratch:
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -9,7 +9,7 @@ def brute(links):
         if c is not None and p is not None:
             parent[c] = min(p, parent.get(c, p))
     out = {}
-    for n in set(parent) | set(parent.values()):
+    for n in set(parent) | {p for _, p in links if p is not None}:
         seen = [n]
         while seen[-1] in parent and parent[seen[-1]] not in seen:
             seen.append(parent[seen[-1]])
@@ -31,7 +31,7 @@ def test_random_forests_with_cycles(spark):
     ids = [f"n{i:03d}" for i in range(120)]
     links = [(ids[i], ids[rng.randrange(max(1, i - 5), i + 1)]) for i in range(1, 90)]  # chains, and loops of one
     links += [("n100", "n101"), ("n101", "n102"), ("n102", "n100"), ("n103", "n102"), ("n104", "n103"), ("n110", "n111"), ("n111", "n110")]
-    links += [("n112", "n112"), ("n113", "n112"), ("n005", "n001"), (None, "n001"), ("n115", None)]
+    links += [("n112", "n112"), ("n113", "n112"), ("n005", "n001"), (None, "n001"), (None, "n119"), ("n115", None)]
     assert resolved(spark, links + links[:20]) == brute(links)
 
 
