@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -130,3 +130,56 @@ def warnings(docs: DataFrame, chain: DataFrame) -> DataFrame:
     text = F.when(F.col("hops") > 1, F.concat(F.lit("Order "), "own", F.lit(" was replaced by "), name("first"), F.lit(", later by "), name("last"), F.lit(", the latest known.")))
     text = text.otherwise(F.concat(F.lit("Order "), "own", F.lit(" was replaced by "), name("first"), F.lit(".")))
     return rows.join(own, "doc_id").select("doc_id", text.alias("warning"))
+
+
+def entries_from_json(raw: Column) -> Column:
+    """References stored as JSON text, as (number, date) structs.
+
+    Both stored shapes are read, a list of numbers and a list of objects; empty
+    numbers and text that is no such list give none.
+    """
+    shape = "array<struct<number:string,date:string>>"
+    objects = F.from_json(raw, shape)
+    plain = F.transform(F.from_json(raw, "array<string>"), lambda x: F.struct(x.alias("number"), F.lit(None).cast("string").alias("date")))
+    # A list of numbers read as objects gives nulls, a list of objects read as text gives their JSON.
+    listed = F.when(F.ltrim(raw).rlike(r"^\[\s*\{"), objects).otherwise(plain)
+    return F.coalesce(F.filter(listed, lambda r: F.coalesce(r["number"], F.lit("")) != ""), F.array().cast(shape))
+
+
+def backfilled(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``gr_number_canon`` made where it is missing."""
+    return docs.withColumn("gr_number_canon", F.coalesce("gr_number_canon", canonical_number(F.col("gr_number"))))
+
+
+def claimed_by(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, doc_id): orders that declare a replacement and print a number which contains the asked one.
+
+    The scan to use before edges are built.  Printed numbers are compared once
+    each, so the work is distinct printed numbers times asked ones.
+    """
+    printed = docs.where("supersedes").select("doc_id", F.explode("refs").alias("r")).select("doc_id", F.col("r.number").alias("number")).where("number is not null").distinct()
+    met = printed.select("number").distinct().join(F.broadcast(asked.select("asked").where("asked <> ''").distinct()), F.col("number").contains(F.col("asked")))
+    return printed.join(met, "number").select("asked", "doc_id").distinct()
+
+
+def arcs(nodes: DataFrame, per_arc: int = 7) -> DataFrame:
+    """The newest ``per_arc`` nodes of each root and role, with ``place`` on the arc and ``hidden``, how many the arc leaves out.
+
+    ``nodes`` has root_id, role, node_id and date.
+    """
+    w = W.partitionBy("root_id", "role")
+    placed = nodes.withColumn("place", F.row_number().over(w.orderBy(F.desc_nulls_last("date"), "node_id"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return placed.withColumn("hidden", F.greatest(F.col("n") - per_arc, F.lit(0))).where(F.col("place") <= per_arc).drop("n")
+
+
+def reference_changes(stored: DataFrame, parsed: DataFrame) -> DataFrame:
+    """One row: how many orders are read anew, how many have other references then, and the median length of their canonical numbers.
+
+    Both have doc_id and refs.
+    """
+    canon = lambda c: F.array_sort(F.filter(F.transform(c, lambda r: canonical_number(r["number"])), lambda x: x.isNotNull()))
+    both = stored.select("doc_id", canon("refs").alias("a")).join(parsed.select("doc_id", canon("refs").alias("b")), "doc_id")
+    both = both.select(F.coalesce("a", F.array().cast("array<string>")).alias("a"), F.coalesce("b", F.array().cast("array<string>")).alias("b"))
+    longest = F.explode_outer("b").alias("x")
+    lengths = both.select(longest).agg(F.percentile(F.length("x"), F.lit(0.5)).alias("median_length"))
+    return both.agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_changed")).crossJoin(lengths)  # one row each

@@ -78,3 +78,9 @@ def first_sentences(blocks: DataFrame) -> DataFrame:
     said = F.concat(F.regexp_extract("text", r"(?s)^\s*(.*?[.?!।](?=\s|$)|.*)", 1), F.lit(" ["), F.col("block_no").cast("string"), F.lit("]"))
     g = blocks.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("block_no", said.alias("s")))).alias("a"))
     return g.select("query_id", F.array_join(F.transform("a", lambda x: x["s"]), " ").alias("answer"))
+
+
+def over_context(prompts: DataFrame, context: int, reply: int, rate: float = 1.2) -> DataFrame:
+    """(query_id, tokens, over): estimated size of each prompt, and whether it leaves no room for the reply."""
+    size = F.aggregate(F.transform("messages", lambda m: token_estimate(m["content"], rate)), F.lit(0), lambda a, x: a + x)
+    return prompts.select("query_id", size.alias("tokens")).withColumn("over", F.col("tokens") > context - reply)

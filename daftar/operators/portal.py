@@ -46,3 +46,19 @@ def token_bucket(events: DataFrame, capacity: float = 20.0, per_second: float =
             yield pd.DataFrame({"event_id": b["event_id"], "user_id": b["user_id"], "allowed": allowed})
 
     return rows.mapInPandas(fold, f"event_id {kind}, user_id {events.schema['user_id'].dataType.simpleString()}, allowed boolean")
+
+
+def active_users(users: DataFrame, names: DataFrame) -> DataFrame:
+    """Active users of the given names."""
+    return users.where("active = 1").join(names.select("username").distinct(), "username", "left_semi")
+
+
+def owned(conversations: DataFrame, user_id: str) -> DataFrame:
+    """The conversations a user may read: that user's and those of nobody."""
+    return conversations.where((F.col("user_id") == user_id) | F.col("user_id").isNull())
+
+
+def without(conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the conversations ``gone`` (id) and their messages."""
+    ids = gone.select("id").distinct()
+    return conversations.join(ids, "id", "left_anti"), messages.join(ids.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_anti")

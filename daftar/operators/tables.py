@@ -193,3 +193,23 @@ def clean_rows(rows: Column) -> Column:
 def signature(rows: Column) -> Column:
     """The first 12 of the sorted filled cells: equal for the same table found twice."""
     return F.slice(F.array_sort(F.transform(F.filter(F.flatten(rows), _filled), F.trim)), 1, 12)
+
+
+def caption(page: Column, label: Column) -> Column:
+    """The caption of a numbered table from its page: the line that begins with the label, and up to five lines that continue it.
+
+    An empty line, the next caption or a line of mostly numbers ends it; a word
+    broken by a hyphen is joined; at most 500 characters.  Without such a line
+    the label itself.
+    """
+    number = F.regexp_extract(label, r"Table\s*(\d+)", 1)
+    lines = F.transform(F.split(page, "\n"), F.trim)
+    at = lambda p: F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.concat(F.lit(r"^Table\s*"), number, F.lit(p)))), True)
+    start = F.when(at(r"\s*:") > 0, at(r"\s*:")).otherwise(at(r"\b")).cast("int")
+    numeric = lambda x: F.size(F.filter(words(x), _has_digit)) * 2 > F.size(words(x))
+    after = F.slice(lines, start + 1, F.lit(5))
+    ends = F.transform(after, lambda x: (x == "") | x.rlike(r"^(Table|Figure)\s*\d") | numeric(x))
+    n = F.when(F.array_position(ends, True) > 0, F.array_position(ends, True) - 1).otherwise(F.size(after)).cast("int")
+    parts = F.concat(F.slice(lines, start, F.lit(1)), F.slice(after, 1, n))
+    joined = F.aggregate(parts, F.lit(""), lambda a, x: F.when(a == "", x).when(a.endswith("-"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), x)).otherwise(F.concat(a, F.lit(" "), x)))
+    return F.when((number != "") & (start > 0), F.substring(F.array_join(words(joined), " "), 1, 500)).otherwise(F.trim(label))

@@ -324,6 +324,30 @@ def cited_departments(spark, d):
     return t.join(F.broadcast(names), F.col("text").contains(F.col("department"))).groupBy("department").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def superseding_substring(spark, d):
+    """Orders that claim to replace the numbers of the orders whose id ends in 00, by containment."""
+    asked = docs(spark, d).where("doc_id rlike '00$' and gr_number is not null").select(F.col("gr_number").alias("asked"))
+    return citations.claimed_by(docs(spark, d), asked)
+
+
+def canonical_backfill(spark, d):
+    return citations.backfilled(docs(spark, d)).select("doc_id", "gr_number_canon")
+
+
+def reference_reparse(spark, d):
+    return citations.reference_changes(docs(spark, d), extract(docs(spark, d).select("doc_id", "text"), "doc_id", "text"))
+
+
+def neighbour_arcs(spark, d):
+    """Direct neighbours of the roots by role, the newest seven of each."""
+    e, roots = edges(spark, d).where("dst_id is not null and src_id <> dst_id").select("src_id", "dst_id", "kind").distinct(), _roots(spark, d)
+    into = e.join(roots, F.col("dst_id") == F.col("root_id")).select("root_id", F.col("src_id").alias("node_id"), F.when(F.col("kind") == "supersedes", "newer").otherwise("older").alias("role"))
+    out = e.join(roots, F.col("src_id") == F.col("root_id")).select("root_id", F.col("dst_id").alias("node_id"), F.lit("older").alias("role"))
+    one = into.unionByName(out).groupBy("root_id", "node_id").agg(F.min("role").alias("role"))
+    dated = one.join(docs(spark, d).select(F.col("doc_id").alias("node_id"), "date"), "node_id")
+    return citations.arcs(dated).select("root_id", "role", "node_id", "place", "hidden")
+
+
 # --- register ------------------------------------------------------------
 
 
@@ -432,6 +456,18 @@ def compare_six_per_side(spark, d):
     return search.best(c, ["doc_id"], ["chunk_index", "faiss_id"], 6).select("doc_id", "faiss_id", "rank")
 
 
+def prompt_sizes(spark, d):
+    kept = grounding.trim(_evidence(spark, d), 1000).select("query_id", "block_no", "text").withColumnRenamed("text", "block")
+    p = grounding.prompts(kept, questions(spark, d), "Answer only from the numbered blocks.", "Cite the blocks you use.")
+    return grounding.over_context(p, 1500, 300)
+
+
+def default_answers(spark, d):
+    """The default answerer over the kept evidence."""
+    kept = grounding.trim(_evidence(spark, d), 1000).select("query_id", "block_no", "text")
+    return grounding.first_sentences(kept).select("query_id", F.md5("answer").alias("digest"), F.size(grounding.cited(F.col("answer"), F.lit(12))[0]).alias("n_cited"))
+
+
 # --- portal --------------------------------------------------------------
 
 
@@ -439,6 +475,29 @@ def conversation_list(spark, d):
     return portal.conversation_counts(table(spark, d, "conversations"), table(spark, d, "messages"))
 
 
+def own_conversations(spark, d):
+    return portal.owned(table(spark, d, "conversations"), "u002").select("id", "user_id").distinct()
+
+
+def active_user_lookup(spark, d):
+    u = table(spark, d, "users")
+    return portal.active_users(u, u.select("username")).select("id", "username", "role")
+
+
+def conversation_cascade(spark, d):
+    """What is left when the conversations of nobody are deleted."""
+    c, m = table(spark, d, "conversations"), table(spark, d, "messages")
+    left, said = portal.without(c, m, c.where("user_id is null"))
+    return left.agg(F.countDistinct("id").alias("n_conversations")).crossJoin(said.agg(F.countDistinct("id").alias("n_messages")))  # one row each
+
+
+def message_sources(spark, d):
+    """Sources and warnings of every message, read from their JSON."""
+    m = table(spark, d, "messages").select("id", "sources", "warnings").distinct()
+    n = lambda c: F.size(F.coalesce(F.from_json(c, "array<string>"), F.array()))
+    return m.groupBy("id").agg(F.max(n("sources")).alias("n_sources"), F.max(n("warnings")).alias("n_warnings"))
+
+
 def daily_token_quota(spark, d):
     q = portal.daily_use(table(spark, d, "events"), 500.0)
     return q.select("user_id", F.col("day").cast("string").alias("day"), F.round("used", 4).alias("used"), F.round("remaining", 4).alias("remaining"))
@@ -542,7 +601,8 @@ def truncate_from_id(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(left.agg(F.count(F.lit(1)).alias("n_documents")))  # one row each
 
 
-_NAMES = """hybrid_answer_context header_metadata piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
+_NAMES = """superseding_substring canonical_backfill reference_reparse neighbour_arcs prompt_sizes default_answers own_conversations active_user_lookup
+conversation_cascade message_sources hybrid_answer_context header_metadata piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
 short_titles page_split chunk_windows chunk_counts table_runs table_sentences table_chunk_packing prose_without_tables dense_topk
 dense_topk_filtered dense_topk_by_modality dense_score_for_id bm25_fts_topk bm25_okapi_topk bm25_filtered_overfetch related_documents
 ann_lsh_recall rrf_fuse per_document_cap gate_and_floor empty_filter_abstains rerank_lexical merge_user_uploads upload_hybrid_no_floor

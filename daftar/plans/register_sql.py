@@ -178,6 +178,22 @@ t0 AS (SELECT *, row_number() OVER w AS block_no, sum(cost) OVER w AS spent FROM
 t1 AS (SELECT *, block_no = 1 OR spent <= 3000 AS kept FROM t0), tr AS (SELECT *, sum(CASE WHEN kept THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS dropped FROM t1)"""
 
 ORACLE = {
+    "superseding_substring": "WITH " + _DOCS + """, a AS (SELECT DISTINCT gr_number AS asked FROM docs WHERE doc_id LIKE '%00' AND gr_number <> ''), p AS (SELECT doc_id, unnest(refs) AS r FROM docs WHERE supersedes)
+        SELECT DISTINCT asked, doc_id FROM p JOIN a ON contains(r.number, asked)""",
+    "canonical_backfill": "WITH " + _DOCS + f" SELECT doc_id, coalesce(gr_number_canon, {canon('gr_number')}) AS gr_number_canon FROM docs",
+    "neighbour_arcs": "WITH " + _DOCS + ", " + _EDGES + """, r0 AS (SELECT doc_id AS root_id FROM docs WHERE doc_id LIKE '%00'), e AS (SELECT DISTINCT src_id, dst_id, kind FROM edges WHERE dst_id IS NOT NULL AND src_id <> dst_id),
+        x AS (SELECT root_id, src_id AS node_id, CASE WHEN kind = 'supersedes' THEN 'newer' ELSE 'older' END AS role FROM e JOIN r0 ON dst_id = root_id UNION ALL SELECT root_id, dst_id, 'older' FROM e JOIN r0 ON src_id = root_id),
+        y AS (SELECT root_id, node_id, min(role) AS role FROM x GROUP BY ALL),
+        z AS (SELECT root_id, role, node_id, row_number() OVER (PARTITION BY root_id, role ORDER BY date DESC NULLS LAST, node_id) AS place, greatest(count(*) OVER (PARTITION BY root_id, role) - 7, 0) AS hidden FROM y JOIN docs ON doc_id = node_id)
+        SELECT root_id, role, node_id, place::INT AS place, hidden::BIGINT AS hidden FROM z WHERE place <= 7""",
+    "message_sources": """SELECT id, max(coalesce(json_array_length(try_cast(sources AS JSON)), 0))::INT AS n_sources, max(coalesce(json_array_length(try_cast(warnings AS JSON)), 0))::INT AS n_warnings FROM messages GROUP BY id""",
+    "prompt_sizes": _TRIM + ", " + trimmed(1000) + f""", bl AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY block_no) AS ctx FROM tr WHERE kept GROUP BY query_id),
+        pr AS (SELECT qu.query_id, 'Context:' || chr(10) || coalesce(ctx, '') || chr(10) || chr(10) || 'Question: ' || qu.text || chr(10) || 'Cite the blocks you use.' AS u FROM qu LEFT JOIN bl USING (query_id)),
+        sz AS (SELECT query_id, {estimate("'Answer only from the numbered blocks.'", 1.2)} + {estimate('u', 1.2)} AS tokens FROM pr) SELECT query_id, tokens, tokens > 1200 AS over FROM sz""",
+    "own_conversations": "SELECT DISTINCT id, user_id FROM conversations WHERE user_id = 'u002' OR user_id IS NULL",
+    "active_user_lookup": "SELECT id, username, role FROM users WHERE active = 1 AND username IS NOT NULL",
+    "conversation_cascade": """WITH g AS (SELECT id FROM conversations WHERE user_id IS NULL) SELECT (SELECT count(DISTINCT id) FROM conversations WHERE id NOT IN (SELECT id FROM g)) AS n_conversations,
+        (SELECT count(DISTINCT id) FROM messages WHERE conversation_id IS NULL OR conversation_id NOT IN (SELECT id FROM g)) AS n_messages""",
     "hybrid_answer_context": "WITH " + _TEXTS + ", " + _DENSE + ", " + dense(60) + ", " + bm25(20) + ", " + fused() + ", " + _RERANKED + " SELECT query_id, row_id, block_no::INT AS block_no, score, low_confidence, dropped::BIGINT AS dropped FROM tr WHERE kept",
     "piece_ids": "WITH " + _WINDOWS + " SELECT row_number() OVER (ORDER BY doc_id, chunk_index) - 1 AS faiss_id, doc_id AS gr_id, chunk_index::INT AS chunk_index FROM win",
     "tokenize_counts": f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_terms FROM (SELECT doc_id, {tokens('text')} AS t FROM documents WHERE text IS NOT NULL)",

@@ -147,3 +147,28 @@ def test_token_bucket(spark):
 def test_failure_labels(spark):
     log = spark.createDataFrame([("A long enough answer.", [1], [5], False, True), ("[1]", [1], [], True, True), ("It is not found here at all.", [], [], False, False)], "answer string, sources array<int>, phantom array<int>, correct boolean, in_corpus boolean")
     assert [r["labels"] for r in evaluation.answer_flags(log).collect()] == [["PHANTOM", "WRONG-SOURCE"], ["DEGENERATE"], []]
+
+
+def test_caption(spark):
+    page = "Intro\nTable 2 is cited\nTable 2: Fees for hos-\ntel rooms by\ncategory.\n1 2 3\nmore"
+    df = spark.createDataFrame([(page, "Table2:"), (page, "Table 9"), (page, " Figure "), ("Table 2: only\n\nnot this", "Table 2")], "page string, label string")
+    assert [r[0] for r in df.select(tables.caption(F.col("page"), F.col("label"))).collect()] == ["Table 2: Fees for hostel rooms by category.", "Table 9", "Figure", "Table 2: only"]
+
+
+def test_references_from_json(spark):
+    df = spark.createDataFrame([('["GR-1", "", null]',), ('[{"number": "GR-7", "date": "2021-11-30"}, {"number": ""}]',), ("[]",), ("",), ("broken [",), (None,)], "raw string")
+    got = [[tuple(x) for x in r[0]] for r in df.select(citations.entries_from_json(F.col("raw"))).collect()]
+    assert got == [[("GR-1", None)], [("GR-7", "2021-11-30")], [], [], [], []]
+
+
+def test_over_context(spark):
+    df = spark.createDataFrame([(1, [("system", "a " * 10), ("user", "b " * 10)])], "query_id int, messages array<struct<role:string,content:string>>")
+    assert [tuple(r) for r in grounding.over_context(df, 40, 15).collect()] == [(1, 26, True)]
+    assert grounding.over_context(df, 60, 15).first()["over"] is False
+
+
+def test_reference_changes(spark):
+    kind = "doc_id string, refs array<struct<number:string,date:string>>"
+    a = spark.createDataFrame([("x", [("A/1", None)]), ("y", None)], kind)
+    b = spark.createDataFrame([("x", [("a / 1", "2020")]), ("y", [("B/22", None)])], kind)
+    assert tuple(citations.reference_changes(a, b).first()) == (2, 1, 3.5)
