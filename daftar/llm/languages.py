@@ -40,7 +40,7 @@ NO_LABEL = ("", "-", "n/a", "na", "none", "null", "und", "unknown", "?", "mul",
 
 # How reference lists, headings and closings of orders begin or what they contain.
 _LIST_HEAD = r"^(?:वाचा|पढ़ें|पढ़ें|संदर्भ|Read|References?)\s*:"
-_CLOSING = r"^(?:प्रत|प्रतिलिपि|Copy (?:forwarded )?to)\b|^(?:प्रत|प्रतिलिपि)\s*:|आदेशानुसार व नावाने|के आदेश से|^By order|प्राधिकाऱ्यांच्या सहमतीने|प्राधिकारी की सहमति|concurrence of the competent"
+_CLOSING = r"^Copy (?:forwarded )?to\b|^(?:प्रत|प्रतिलिपि)\s*:|आदेशानुसार व नावाने|के आदेश से|^By order|प्राधिकाऱ्यांच्या सहमतीने|प्राधिकारी की सहमति|concurrence of the competent"
 _HEADING = r"^(?:दिनांक|तारीख|Dated?|क्रमांक)\s*:|(?:क्रमांक|क्र\.|No\.?|सं\.|संख्या)\s*:?\s*\S*\S+[-/]\S|^(?:प्रांत शासन|Government of)"
 
 _SKIP = re.compile(r"^\s*(?:#\s*Page\b.*|.*\|.*|\d{1,3}[).]\s.*|[\W\d_]*)$")
