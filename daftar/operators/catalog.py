@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from daftar.operators.search import containing
+
 
 def matches(query: str | None, *columns: str) -> Column:
     """Whether a query occurs in any of the columns, case disregarded; its % and _ are wildcards."""
@@ -46,14 +48,15 @@ def find(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, doc_id): the order that each asked text names.
 
     An exact id or number comes first, else the shortest number that contains
-    it, ties to the smaller id.  Exact names are an equi-join; only what stays
-    open is compared by containment, against numbers once each.
+    it (case disregarded), ties to the smaller id.  Exact names are an
+    equi-join; only what stays open is searched in the numbers, once each.
     """
     ids = docs.select(F.col("doc_id").alias("asked"), "doc_id", F.lit(0).alias("class"), F.lit(0).alias("len"))
     numbers = docs.where("gr_number is not null").groupBy("gr_number").agg(F.min("doc_id").alias("doc_id"))
     exact = asked.join(ids.unionByName(numbers.select(F.col("gr_number").alias("asked"), "doc_id", F.lit(1).alias("class"), F.length("gr_number").alias("len"))), "asked")
     open_ = asked.join(exact.select("asked"), "asked", "left_anti")
-    part = open_.join(numbers, F.lower("gr_number").contains(F.lower("asked"))).select("asked", "doc_id", F.lit(2).alias("class"), F.length("gr_number").alias("len"))
+    met = containing(numbers.select(F.col("doc_id").alias("row_id"), F.lower("gr_number").alias("text")), open_.select(F.lower("asked").alias("pattern")))
+    part = open_.join(met, F.lower("asked") == F.col("pattern")).join(numbers, F.col("row_id") == F.col("doc_id")).select("asked", "doc_id", F.lit(2).alias("class"), F.length("gr_number").alias("len"))
     return exact.unionByName(part).groupBy("asked").agg(F.min(F.struct("class", "len", "doc_id")).alias("m")).select("asked", "m.doc_id")
 
 

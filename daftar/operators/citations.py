@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from daftar.functions.text import canonical_number
+from daftar.operators.search import containing
 from daftar.session import Scratch
 
 
@@ -154,12 +155,13 @@ def backfilled(docs: DataFrame) -> DataFrame:
 def claimed_by(docs: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, doc_id): orders that declare a replacement and print a number which contains the asked one.
 
-    The scan to use before edges are built.  Printed numbers are compared once
-    each, so the work is distinct printed numbers times asked ones.
+    The scan to use before edges are built.  Printed numbers are searched once
+    each for all asked ones.
     """
     printed = docs.where("supersedes").select("doc_id", F.explode("refs").alias("r")).select("doc_id", F.col("r.number").alias("number")).where("number is not null").distinct()
-    met = printed.select("number").distinct().join(F.broadcast(asked.select("asked").where("asked <> ''").distinct()), F.col("number").contains(F.col("asked")))
-    return printed.join(met, "number").select("asked", "doc_id").distinct()
+    numbers = printed.select(F.col("number").alias("row_id"), F.col("number").alias("text")).distinct()
+    met = containing(numbers, asked.select(F.col("asked").alias("pattern")))
+    return printed.join(met, F.col("number") == F.col("row_id")).select(F.col("pattern").alias("asked"), "doc_id").distinct()
 
 
 def arcs(nodes: DataFrame, per_arc: int = 7) -> DataFrame:

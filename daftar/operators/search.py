@@ -87,6 +87,35 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
     return out if out is not None else rows.sparkSession.createDataFrame([], _HITS + ", rank int")
 
 
+def containing(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(row_id, pattern): the distinct patterns that occur in each row's text, as characters stand.
+
+    ``rows`` has row_id and text, ``patterns`` pattern; nulls and empty patterns
+    match nothing.  Blocks of patterns become one automaton each, which reads a
+    text once whatever the number of patterns.
+    """
+    kind = rows.schema["row_id"].dataType.simpleString()
+    out = None
+    distinct = patterns.select("pattern").where("pattern <> ''").distinct().select(F.col("pattern").alias("query_id"))
+    for block in _blocks(distinct, []):
+        words = [r["query_id"] for r in block]
+
+        def find(batches: Iterator[pd.DataFrame], words=words) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for w in words:
+                automaton.add_word(w, w)
+            automaton.make_automaton()
+            for b in batches:
+                hits = [(k, w) for k, t in zip(b["row_id"].tolist(), b["text"].tolist()) for w in {w for _, w in automaton.iter(t)}]
+                yield pd.DataFrame(hits, columns=["row_id", "pattern"])
+
+        met = rows.select("row_id", "text").where("text is not null").mapInPandas(find, f"row_id {kind}, pattern string")
+        out = met if out is None else out.unionByName(met)
+    return out if out is not None else rows.sparkSession.createDataFrame([], f"row_id {kind}, pattern string")
+
+
 def statistics(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(term, n) with the rows a term stands in, and one row (n_rows, mean_length) of the non-empty rows.
 

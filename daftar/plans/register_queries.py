@@ -318,10 +318,10 @@ def citation_presence(spark, d):
 
 
 def cited_departments(spark, d):
-    """Orders whose text names a department, by department; the departments are a short list, names are matched as text."""
-    names = table(spark, d, "gr_documents").select("department").where("department is not null").distinct()
-    t = docs(spark, d).where("text is not null").select("doc_id", "text")
-    return t.join(F.broadcast(names), F.col("text").contains(F.col("department"))).groupBy("department").agg(F.count(F.lit(1)).alias("n_documents"))
+    """Orders whose text names a department, by department."""
+    names = table(spark, d, "gr_documents").select(F.col("department").alias("pattern"))
+    met = search.containing(docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), names)
+    return met.groupBy(F.col("pattern").alias("department")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def superseding_substring(spark, d):

@@ -172,3 +172,10 @@ def test_reference_changes(spark):
     a = spark.createDataFrame([("x", [("A/1", None)]), ("y", None)], kind)
     b = spark.createDataFrame([("x", [("a / 1", "2020")]), ("y", [("B/22", None)])], kind)
     assert tuple(citations.reference_changes(a, b).first()) == (2, 1, 3.5)
+
+
+def test_containing(spark):
+    rows = spark.createDataFrame([("a", "GR-123 and GR-12"), ("b", None), ("c", ""), ("d", "x")], "row_id string, text string")
+    patterns = spark.createDataFrame([("GR-12",), ("GR-123",), ("",), (None,), ("GR-12",), ("zz",)], "pattern string")
+    assert sorted(tuple(r) for r in search.containing(rows, patterns).collect()) == [("a", "GR-12"), ("a", "GR-123")]
+    assert search.containing(rows, patterns.limit(0)).count() == 0
