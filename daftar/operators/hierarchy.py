@@ -78,19 +78,25 @@ def resolve(df: DataFrame, child: str, parent: str) -> DataFrame:
     top = parents.join(children, "node_id", "left_anti")
     cores = reduce(DataFrame.union, [s.where("c = p and kids is null").select("c", "seg") for s in states or [state]])
     members = cores.select(F.concat(F.array("c"), "seg").alias("ids")).select(F.array_min("ids").alias("r"), F.explode("ids").alias("node_id"))
-    members = work.write(known(members, F.col("r"), F.lit(-1), F.lit(None), True), "cycles")
-    done = [members, work.write(known(top, F.col("node_id"), F.lit(0), F.array("node_id"), False), "tops")]
+    members = work.write(known(members, F.col("r"), F.lit(-1), F.lit(None), True), "done/step=0")
+    work.write(known(top, F.col("node_id"), F.lit(0), F.array("node_id"), False), "done/step=1")
+
+    def done() -> DataFrame:
+        return spark.read.schema(members.schema).parquet(work.path("done")).select(members.columns)
+
+    step = 1
     for n in reversed(range(len(states))):
         # Spliced nodes of a round hang on what the later rounds resolved, raked ones on those as well.
-        for name, part in ((f"dc{n}", chosen_of[n]), (f"dr{n}", states[n].where("kids is null and c <> p"))):
-            above = reduce(DataFrame.union, done).select(F.col("node_id").alias("p"), "root_id", F.col("depth").alias("d"), F.col("path").alias("up"))
+        for part in (chosen_of[n], states[n].where("kids is null and c <> p")):
+            above = done().select(F.col("node_id").alias("p"), "root_id", F.col("depth").alias("d"), F.col("path").alias("up"))
             found = part.join(above, "p").select(
                 F.col("c").alias("node_id"), "root_id", F.when(F.col("d") >= 0, F.col("d") + F.col("w")).otherwise(-1).alias("depth"),
                 F.concat("up", F.reverse("seg"), F.array("c")).alias("path"), F.lit(False).alias("on_cycle"),
             )
             # A node spliced out of a cycle is known as its member.
-            done.append(work.write(found.join(members.select("node_id"), "node_id", "left_anti"), name))
-    return reduce(DataFrame.union, done)
+            step += 1
+            work.write(found.join(members.select("node_id"), "node_id", "left_anti"), f"done/step={step}")
+    return done()
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
