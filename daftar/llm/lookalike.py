@@ -66,7 +66,8 @@ def _tables() -> tuple[re.Pattern, dict[int, str | None], re.Pattern, re.Pattern
             table[code] = table.get(ord(c), c) if len(c) == 1 else c
     ignorable = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE) + "]+")
     odd = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(table)) + "]")
-    pairs = re.compile("|".join(sorted(map(re.escape, _COMPOSED), key=len, reverse=True)))
+    firsts, seconds = ("".join(sorted({p[i] for p in _COMPOSED})) for i in (0, 1))
+    pairs = re.compile(f"[{firsts}][{seconds}]")
     return odd, table, ignorable, pairs
 
 
@@ -75,10 +76,12 @@ def look(text: str) -> str:
     if text.isascii():
         return text
     odd, table, ignorable, pairs = _tables()
+    if not odd.search(text) and not ignorable.search(text) and not pairs.search(text):
+        return unicodedata.normalize("NFC", text)
     text = ignorable.sub("", text)
     text = unicodedata.normalize("NFC", odd.sub(lambda m: table[ord(m[0])], text))
     if pairs.search(text):
-        text = unicodedata.normalize("NFC", pairs.sub(lambda m: _COMPOSED[m[0]], text))
+        text = unicodedata.normalize("NFC", pairs.sub(lambda m: _COMPOSED.get(m[0], m[0]), text))
     # A letter and its sign may have come from different alphabets, so shapes are mapped once more after composing.
     return odd.sub(lambda m: table[ord(m[0])], text)
 
