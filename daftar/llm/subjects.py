@@ -35,7 +35,7 @@ from daftar.session import Scratch
 
 LEAST_SHARE = 1e-4  # of the documents, for a term to be in the matrix
 LEAST_SENTENCES = 3
-ROUNDS, ANCHOR = 7, 0.3
+ROUNDS, REWEIGH, ANCHOR = 7, (1, 3), 0.3
 
 _END = re.compile(r"[.?!।](?=\s|$)")
 _CLOSES = re.compile(_CLOSING)
@@ -59,15 +59,19 @@ def term(word: str) -> int:
     return made
 
 
-def body_sentences(title: str | None, text: str) -> list[str]:
-    """Sentences of the body: without title, letterhead (lines before the first sentence), closing and copy list."""
+def body(title: str | None, text: str) -> str:
+    """The body of a text: without title, letterhead (lines before the first sentence), closing and copy list."""
     name = look(title or "").strip()
-    body: list[str] = []
+    kept: list[str] = []
     for line in look(text).split("\n"):
         line = line.strip()
-        if line and line != name and not (len(line) <= _LONGEST_CLOSING and _CLOSES.search(line)) and (body or _END.search(line)):
-            body.append(line)
-    return _END.split("\n".join(body))
+        if line and line != name and not (len(line) <= _LONGEST_CLOSING and _CLOSES.search(line)) and (kept or _END.search(line)):
+            kept.append(line)
+    return "\n".join(kept)
+
+
+def body_sentences(title: str | None, text: str) -> list[str]:
+    return _END.split(body(title, text))
 
 
 def encode(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
@@ -75,12 +79,13 @@ def encode(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _TERMS.get
         for b in batches:
             out = []
             for name, t in zip(b["n"].tolist(), b["t"].tolist()):
                 ids: list[int] = []
-                for s in body_sentences(name, t):
-                    if words := [i for w in _WORD.findall(s.lower()) if (i := term(w))]:
+                for s in _END.split(body(name, t).lower()):
+                    if words := [i for w in _WORD.findall(s) if (i := known(w) or term(w))]:
                         ids += words
                         ids.append(0)
                 out.append(np.array(ids, np.int64))
@@ -149,8 +154,8 @@ class Model:
             w[held] *= np.add.reduceat(ht * r[:, None], at)
         return w, ht
 
-    def step(self, cols: pd.Series, counts: pd.Series) -> pd.DataFrame:
-        """Partial sums of one H update, and of the document mixtures that each term occurs in."""
+    def step(self, cols: pd.Series, counts: pd.Series, reweigh: bool) -> pd.DataFrame:
+        """Partial sums of one H update and, to reweigh terms, of the document mixtures that each term occurs in."""
         sizes = np.array([len(x) for x in cols], np.int64)
         row = np.repeat(np.arange(len(sizes)), sizes)
         col = np.concatenate([*cols, np.empty(0, np.int32)])
@@ -161,9 +166,11 @@ class Model:
         k, t = len(self.subjects), len(self.terms)
         r = val / ((w[row] * ht).sum(1) + 1e-12)
         g = w[row] * r[:, None]
-        mix = w[:, :k] / (w[:, :k].sum(1, keepdims=True) + 1e-9)
-        c = mix[row]
-        sums = np.stack([np.bincount(col, x, t) for x in (*g.T, *c.T)], 1)
+        parts = list(g.T)
+        if reweigh:
+            mix = w[:, :k] / (w[:, :k].sum(1, keepdims=True) + 1e-9)
+            parts += list(mix[row].T)
+        sums = np.stack([np.bincount(col, x, t) for x in parts], 1)
         some = np.flatnonzero(sums.any(1))
         return pd.DataFrame({"i": some.astype("int32"), "sums": list(sums[some])})
 
@@ -250,22 +257,23 @@ def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame, work: Scratch)
     else:
         terms, df, labelled = np.array([1]), np.array([1.0]), np.zeros(1)
     model = Model(terms, subjects, anchors, labelled, df, n_docs)
-    width = len(subjects) * 2 + model.free
     matrix = work.write(_sparse(encoded, model), "matrix")
     for r in range(ROUNDS):
+        reweigh = r in REWEIGH
+        width = len(subjects) * (2 if reweigh else 1) + model.free
         shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], shared=shared, reweigh=reweigh) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    yield shared.value.step(b["cols"], b["counts"])
+                    yield shared.value.step(b["cols"], b["counts"], reweigh)
 
         part = matrix.mapInPandas(run, "i int, sums array<double>")
         total = part.groupBy("i").agg(*[F.sum(F.get("sums", F.lit(j))).alias(f"s{j}") for j in range(width)]).toPandas()
         sums = np.zeros((len(terms), width))
         if len(total):
             sums[total["i"].to_numpy()] = total[[f"s{j}" for j in range(width)]].to_numpy()
-        model.update(sums, reweigh=r in (1, 3))
+        model.update(sums, reweigh)
         shared.destroy()
     return model
 
