@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -59,6 +60,22 @@ def term(word: str) -> int:
     return made
 
 
+class _Tokens(dict):
+    """Ids of each blank-separated token, a 0 last if it ends a sentence; made once per distinct token."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        ids = [i for w in _WORD.findall(token.lower()) if (i := term(w))]
+        if token[-1] in ".?!।":
+            ids.append(0)
+        if len(self) > 500_000:  # a memory bound; what falls out is made again
+            self.clear()
+        made = self[token] = tuple(ids)
+        return made
+
+
+_TOKENS = _Tokens()
+
+
 def body(title: str | None, text: str) -> str:
     """The body of a text: without title, letterhead (lines before the first sentence), closing and copy list."""
     name = look(title or "").strip()
@@ -79,16 +96,11 @@ def encode(docs: DataFrame, key: str, title: str, text: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _TERMS.get
         for b in batches:
             out = []
             for name, t in zip(b["n"].tolist(), b["t"].tolist()):
-                ids: list[int] = []
-                for s in _END.split(body(name, t).lower()):
-                    if words := [i for w in _WORD.findall(s) if (i := known(w) or term(w))]:
-                        ids += words
-                        ids.append(0)
-                out.append(np.array(ids, np.int64))
+                ids = list(chain.from_iterable(map(_TOKENS.__getitem__, body(name, t).split())))
+                out.append(np.array([*ids, 0] if ids and ids[-1] else ids, np.int64))
             yield pd.DataFrame({"k": b["k"], "terms": out})
 
     cols = docs.select(F.col(key).alias("k"), F.col(title).alias("n"), F.col(text).alias("t")).where("k is not null and t is not null")
