@@ -20,8 +20,10 @@ from daftar.sources.register import pieces
 K = 10
 
 
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return citations.latest(table(spark, d, "gr_documents"))
+def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Orders once each, with the columns asked for; only those are read."""
+    needed = dict.fromkeys(["doc_id", "ingested_at", "title", *columns])
+    return citations.latest(table(spark, d, "gr_documents").select(*needed))
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -77,7 +79,7 @@ def token_estimate(spark, d):
 
 
 def categories(spark, d):
-    return docs(spark, d).where("text is not null").select("doc_id", tx.category(F.col("text")).alias("category"))
+    return docs(spark, d, "text").where("text is not null").select("doc_id", tx.category(F.col("text")).alias("category"))
 
 
 def date_from_id(spark, d):
@@ -97,33 +99,33 @@ def short_titles(spark, d):
 
 
 def page_split(spark, d):
-    p = chunking.pages(docs(spark, d).select("doc_id", "text"), "text")
+    p = chunking.pages(docs(spark, d, "text").select("doc_id", "text"), "text")
     return p.select("doc_id", "page_pos", "page_no", F.size(tx.words(F.col("page_text"))).alias("n_words"))
 
 
 def chunk_windows(spark, d):
-    w = chunking.windows(docs(spark, d).select("doc_id", "text"), "text")
+    w = chunking.windows(docs(spark, d, "text").select("doc_id", "text"), "text")
     return w.select("doc_id", "chunk_index", "page_start", "page_end", "n_words", F.md5("chunk_text").alias("digest"))
 
 
 def chunk_counts(spark, d):
-    return chunking.windows(docs(spark, d).select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    return chunking.windows(docs(spark, d, "text").select("doc_id", "text"), "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
 def table_runs(spark, d):
-    return tables.runs(docs(spark, d), "doc_id", "text")
+    return tables.runs(docs(spark, d, "text"), "doc_id", "text")
 
 
 def table_sentences(spark, d):
-    return tables.sentences(docs(spark, d), "doc_id", "text")
+    return tables.sentences(docs(spark, d, "text"), "doc_id", "text")
 
 
 def table_chunk_packing(spark, d):
-    return tables.table_chunks(docs(spark, d), "doc_id", "text", 20)
+    return tables.table_chunks(docs(spark, d, "text"), "doc_id", "text", 20)
 
 
 def prose_without_tables(spark, d):
-    return tables.prose(docs(spark, d), "doc_id", "text").select("doc_id", F.length("prose_text").alias("n_chars"), F.md5("prose_text").alias("digest"))
+    return tables.prose(docs(spark, d, "text"), "doc_id", "text").select("doc_id", F.length("prose_text").alias("n_chars"), F.md5("prose_text").alias("digest"))
 
 
 # --- search --------------------------------------------------------------
@@ -246,20 +248,20 @@ def hybrid_answer_context(spark, d):
 
 def header_metadata(spark, d):
     """What the header of every text says of its order."""
-    m = extract(docs(spark, d).select("doc_id", "text"), "doc_id", "text")
+    m = extract(docs(spark, d, "text").select("doc_id", "text"), "doc_id", "text")
     return m.select("doc_id", "gr_number", "date", "department", "title", "category", "language", F.size("refs").alias("n_refs"), "supersedes")
 
 
 def piece_ids(spark, d):
     """New word-window pieces with dense ids."""
-    return pieces(docs(spark, d)).select("faiss_id", "gr_id", "chunk_index")
+    return pieces(docs(spark, d, "text")).select("faiss_id", "gr_id", "chunk_index")
 
 
 # --- graph ---------------------------------------------------------------
 
 
 def edges_build(spark, d):
-    return citations.build_edges(docs(spark, d))
+    return citations.build_edges(docs(spark, d, "gr_number", "date", "refs", "supersedes"))
 
 
 def edge_counts(spark, d):
@@ -284,7 +286,7 @@ def dangling_references(spark, d):
 
 
 def supersede_chain(spark, d):
-    return citations.chains(docs(spark, d), edges(spark, d))
+    return citations.chains(docs(spark, d, "date"), edges(spark, d))
 
 
 def _roots(spark, d):
@@ -301,41 +303,41 @@ def neighbourhood_depth2(spark, d):
 
 
 def supersede_warnings(spark, d):
-    return citations.warnings(docs(spark, d), supersede_chain(spark, d))
+    return citations.warnings(docs(spark, d, "gr_number", "date"), supersede_chain(spark, d))
 
 
 def supersede_fallback_scan(spark, d):
     """Orders that say they replace others, by the numbers they print: what is known before edges are built."""
-    printed = docs(spark, d).where("supersedes").select("doc_id", F.explode("refs").alias("r")).select("doc_id", tx.canonical_number(F.col("r.number")).alias("canon")).where("canon is not null").distinct()
+    printed = docs(spark, d, "supersedes", "refs").where("supersedes").select("doc_id", F.explode("refs").alias("r")).select("doc_id", tx.canonical_number(F.col("r.number")).alias("canon")).where("canon is not null").distinct()
     return printed.groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 def citation_presence(spark, d):
     """Cited numbers and whether the register holds an order of that number."""
     cited = edges(spark, d).select("dst_canon").where("dst_canon is not null").groupBy("dst_canon").agg(F.count(F.lit(1)).alias("n"))
-    held = docs(spark, d).select(tx.canonical_number(F.col("gr_number")).alias("dst_canon"), "doc_id").where("dst_canon is not null").groupBy("dst_canon").agg(F.min("doc_id").alias("doc_id"))
+    held = docs(spark, d, "gr_number").select(tx.canonical_number(F.col("gr_number")).alias("dst_canon"), "doc_id").where("dst_canon is not null").groupBy("dst_canon").agg(F.min("doc_id").alias("doc_id"))
     return cited.join(held, "dst_canon", "left")
 
 
 def cited_departments(spark, d):
     """Orders whose text names a department, by department."""
     names = table(spark, d, "gr_documents").select(F.col("department").alias("pattern"))
-    met = search.containing(docs(spark, d).select(F.col("doc_id").alias("row_id"), "text"), names)
+    met = search.containing(docs(spark, d, "text").select(F.col("doc_id").alias("row_id"), "text"), names)
     return met.groupBy(F.col("pattern").alias("department")).agg(F.count(F.lit(1)).alias("n_documents"))
 
 
 def superseding_substring(spark, d):
     """Orders that claim to replace the numbers of the orders whose id ends in 00, by containment."""
-    asked = docs(spark, d).where("doc_id rlike '00$' and gr_number is not null").select(F.col("gr_number").alias("asked"))
-    return citations.claimed_by(docs(spark, d), asked)
+    asked = docs(spark, d, "gr_number").where("doc_id rlike '00$' and gr_number is not null").select(F.col("gr_number").alias("asked"))
+    return citations.claimed_by(docs(spark, d, "supersedes", "refs"), asked)
 
 
 def canonical_backfill(spark, d):
-    return citations.backfilled(docs(spark, d)).select("doc_id", "gr_number_canon")
+    return citations.backfilled(docs(spark, d, "gr_number", "gr_number_canon")).select("doc_id", "gr_number_canon")
 
 
 def reference_reparse(spark, d):
-    return citations.reference_changes(docs(spark, d), extract(docs(spark, d).select("doc_id", "text"), "doc_id", "text"))
+    return citations.reference_changes(docs(spark, d, "refs"), extract(docs(spark, d, "text").select("doc_id", "text"), "doc_id", "text"))
 
 
 def neighbour_arcs(spark, d):
@@ -344,7 +346,7 @@ def neighbour_arcs(spark, d):
     into = e.join(roots, F.col("dst_id") == F.col("root_id")).select("root_id", F.col("src_id").alias("node_id"), F.when(F.col("kind") == "supersedes", "newer").otherwise("older").alias("role"))
     out = e.join(roots, F.col("src_id") == F.col("root_id")).select("root_id", F.col("dst_id").alias("node_id"), F.lit("older").alias("role"))
     one = into.unionByName(out).groupBy("root_id", "node_id").agg(F.min("role").alias("role"))
-    dated = one.join(docs(spark, d).select(F.col("doc_id").alias("node_id"), "date"), "node_id")
+    dated = one.join(docs(spark, d, "date").select(F.col("doc_id").alias("node_id"), "date"), "node_id")
     return citations.arcs(dated).select("root_id", "role", "node_id", "place", "hidden")
 
 
@@ -352,16 +354,16 @@ def neighbour_arcs(spark, d):
 
 
 def list_documents_page(spark, d):
-    return catalog.listing(docs(spark, d), "the", limit=50, offset=50).select("doc_id", "gr_number", "date", "title")
+    return catalog.listing(docs(spark, d, "gr_number", "date"), "the", limit=50, offset=50).select("doc_id", "gr_number", "date", "title")
 
 
 def list_documents_total(spark, d):
-    return docs(spark, d).where(catalog.matches("the", "title", "gr_number", "doc_id")).agg(F.count(F.lit(1)).alias("total"))
+    return docs(spark, d, "gr_number").where(catalog.matches("the", "title", "gr_number", "doc_id")).agg(F.count(F.lit(1)).alias("total"))
 
 
 def find_document(spark, d):
     asked = table(spark, d, "gr_edges").where("edge_id % 100 = 0 and dst_number is not null").select(F.col("dst_number").alias("asked")).distinct()
-    return catalog.find(docs(spark, d), asked)
+    return catalog.find(docs(spark, d, "gr_number"), asked)
 
 
 def document_chunks(spark, d):
@@ -369,16 +371,16 @@ def document_chunks(spark, d):
 
 
 def corpus_stats(spark, d):
-    return catalog.totals(docs(spark, d), chunks(spark, d))
+    return catalog.totals(docs(spark, d, "department", "date"), chunks(spark, d))
 
 
 def stats_by_department(spark, d):
-    return catalog.by_department(docs(spark, d))
+    return catalog.by_department(docs(spark, d, "department"))
 
 
 def facet_filter_ids(spark, d):
     f = catalog.facets(date_from="2015-01-01", date_to="2020-12-31", language="mr")
-    return chunks(spark, d).select("faiss_id", F.col("gr_id").alias("doc_id")).join(docs(spark, d).where(f).select("doc_id"), "doc_id", "left_semi").select("faiss_id")
+    return chunks(spark, d).select("faiss_id", F.col("gr_id").alias("doc_id")).join(docs(spark, d, "date", "language").where(f).select("doc_id"), "doc_id", "left_semi").select("faiss_id")
 
 
 def document_text_joined(spark, d):
@@ -398,7 +400,7 @@ def context_trim_budget(spark, d):
 
 
 def format_blocks(spark, d):
-    meta = docs(spark, d).select("doc_id", "title", "gr_number", "date")
+    meta = docs(spark, d, "gr_number", "date").select("doc_id", "title", "gr_number", "date")
     c = chunks(spark, d).select(F.col("gr_id").alias("doc_id"), "faiss_id", "chunk_index", "page_start", "page_end", "content_type", "text").join(meta, "doc_id")
     block = grounding.block(F.col("chunk_index") + 1, F.col("title"), F.col("gr_number"), F.col("date"), F.col("page_start"), F.col("page_end"), F.col("content_type"), F.col("text"))
     return c.select("faiss_id", F.md5(block).alias("digest"), F.length(block).alias("n_chars"))
@@ -588,7 +590,7 @@ def alignment_sample(spark, d):
 
 
 def upsert_keep_latest(spark, d):
-    return docs(spark, d).select("doc_id", "gr_number", "date", "title", "ingested_at")
+    return docs(spark, d, "gr_number", "date").select("doc_id", "gr_number", "date", "title", "ingested_at")
 
 
 def resume_anti_join(spark, d):
