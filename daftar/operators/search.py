@@ -184,24 +184,53 @@ def scores_for(pairs: DataFrame, rows: DataFrame, queries: DataFrame, digits: in
     return joined.withColumn("cosine", F.round(dot(F.col("__a"), F.col("__b")), digits)).drop("__a", "__b")
 
 
-def lsh_topk(rows: DataFrame, queries: DataFrame, k: int, n_bits: int = 10, radius: int = 3, seed: int = 11, digits: int = 6) -> DataFrame:
-    """``dense_topk`` over the rows whose hyperplane signature differs from the query's in at most ``radius`` bits.
-
-    An approximate search: the candidates are scored exactly, but a near row
-    may have a far signature.  Every row is indexed; the hyperplanes need no
-    fitting.  With ``radius`` equal to ``n_bits`` it is exact.
+def centroids(rows: DataFrame, n_cells: int, sample: int = 20_000, seed: int = 11) -> np.ndarray:
+    """Directions of ``n_cells`` cells, by spherical k-means on at most ``sample`` vectors: those whose id hashes smallest."""
+    n = rows.select("row_id").count()
+    cut = min(int(-(2**63) + 2**64 * min(1.0, 1.2 * sample / max(n, 1))), 2**63 - 1)
+    few = rows.where((F.xxhash64("row_id") < cut) & F.col("vec").isNotNull()).select("row_id", "vec").orderBy(F.xxhash64("row_id"), "row_id").limit(sample).collect()
+    if not few:
+        return np.zeros((0, 0))
+    size = len(few[0]["vec"])
+    m = np.array([r["vec"] for r in few if len(r["vec"]) == size], np.float64)
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    c = m[np.random.default_rng(seed).choice(len(m), min(n_cells, len(m)), replace=False)]
+    for _ in range(15):
+        own = (m @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, m)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 0, sums / np.maximum(norm, 1e-12), c)
+    return c
+
+
+def cell_topk(rows: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, probes: int = 12, digits: int = 6) -> DataFrame:
+    """``dense_topk`` over the rows in the ``probes`` cells nearest to each query.
+
+    An approximate search: cells are fitted on a bounded sample, every row is in
+    one, and rows of the probed cells are scored exactly.  With as many probes
+    as cells it is exact.
     """
-    kind = "row_id bigint, vec array<double>, sig int"
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                m = np.stack(b["vec"].to_numpy()).astype(np.float64)
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], n_bits))
-                yield pd.DataFrame({"row_id": b["row_id"], "vec": list(m), "sig": (((m @ planes) > 0) @ (1 << np.arange(n_bits))).astype("int32")})
-
-    signed = lambda df, key: df.select(F.col(key).cast("bigint").alias("row_id"), "vec").where("vec is not null").mapInPandas(sign, kind)
-    flips = F.filter(F.sequence(F.lit(0), F.lit((1 << n_bits) - 1)), lambda m: F.bit_count(m) <= radius)
-    q = signed(queries, "query_id").select(F.col("row_id").alias("query_id"), F.col("vec").alias("qvec"), F.explode(F.transform(flips, lambda m: m.bitwiseXOR(F.col("sig")))).alias("sig"))
-    met = signed(rows, "row_id").join(q, "sig").select("query_id", "row_id", F.round(dot(F.col("vec"), F.col("qvec")), digits).alias("score"))
-    return best(met, ["query_id"], [F.desc("score"), "row_id"], k)
+    cells = centroids(rows, n_cells)
+    out = None
+    for block in _blocks(queries, ["vec"]) if len(cells) else ():
+        qid = np.array([r["query_id"] for r in block], np.int64)
+        q = np.array([r["vec"] for r in block], np.float64)
+        near = np.argsort(-(q @ cells.T), axis=1, kind="stable")[:, :probes]
+        asks = [np.flatnonzero((near == c).any(1)) for c in range(len(cells))]
+
+        def score(batches: Iterator[pd.DataFrame], qid=qid, q=q, asks=asks) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if not len(b):
+                    continue
+                m, ids = np.stack(b["vec"].to_numpy()).astype(np.float64), b["row_id"].to_numpy()
+                own = (m @ cells.T).argmax(1)
+                for c in np.unique(own):
+                    if len(asks[c]):
+                        in_cell = own == c
+                        yield _emit(qid[asks[c]], ids[in_cell], np.round(m[in_cell] @ q[asks[c]].T, digits), k)
+
+        sound = rows.where(F.size("vec") == q.shape[1]).select("row_id", "vec")
+        found = best(sound.mapInPandas(score, _HITS), ["query_id"], [F.desc("score"), "row_id"], k)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.sparkSession.createDataFrame([], _HITS + ", rank int")

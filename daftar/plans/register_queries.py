@@ -178,9 +178,9 @@ def related_documents(spark, d):
     return search.best(other, ["query_id"], [F.desc("score"), "doc_id"], 5).select("query_id", "doc_id", F.round("score", 3).alias("score"), "rank")
 
 
-def ann_lsh_recall(spark, d):
-    """Recall of hyperplane buckets within three bits, re-scored exactly, against the exact search."""
-    return evaluation.recall(search.lsh_topk(vectors(spark, d), vector_queries(spark, d), K), dense_topk(spark, d), K)
+def ann_cell_recall(spark, d):
+    """Recall of the cell search against the exact one."""
+    return evaluation.recall(search.cell_topk(vectors(spark, d), vector_queries(spark, d), K), dense_topk(spark, d), K)
 
 
 # --- fusion --------------------------------------------------------------
@@ -607,7 +607,7 @@ _NAMES = """superseding_substring canonical_backfill reference_reparse neighbour
 conversation_cascade message_sources hybrid_answer_context header_metadata piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
 short_titles page_split chunk_windows chunk_counts table_runs table_sentences table_chunk_packing prose_without_tables dense_topk
 dense_topk_filtered dense_topk_by_modality dense_score_for_id bm25_fts_topk bm25_okapi_topk bm25_filtered_overfetch related_documents
-ann_lsh_recall rrf_fuse per_document_cap gate_and_floor empty_filter_abstains rerank_lexical merge_user_uploads upload_hybrid_no_floor
+ann_cell_recall rrf_fuse per_document_cap gate_and_floor empty_filter_abstains rerank_lexical merge_user_uploads upload_hybrid_no_floor
 edges_build edge_counts edges_outgoing edges_incoming graph_stats dangling_references supersede_chain neighbourhood_depth1
 neighbourhood_depth2 supersede_warnings supersede_fallback_scan citation_presence cited_departments list_documents_page
 list_documents_total find_document document_chunks corpus_stats stats_by_department facet_filter_ids document_text_joined

@@ -99,7 +99,10 @@ def test_search_against_brute_force(spark):
         assert [got[i, k + 1] for k in range(5)] == np.lexsort((np.arange(400), -s))[:5].tolist()
     assert search.dense_topk(rows.limit(0), q, 5).count() == 0
     assert search.dense_topk(rows, q.limit(0), 5).count() == 0
-    assert search.lsh_topk(rows.where("row_id < 1000"), q, 5, n_bits=6, radius=6).select("query_id", "row_id", "rank").exceptAll(search.dense_topk(rows, q, 5).select("query_id", "row_id", "rank")).count() == 0
+    sound = rows.where("row_id < 1000")
+    exact = search.dense_topk(sound, q, 5).select("query_id", "row_id", "rank")
+    assert search.cell_topk(sound, q, 5, n_cells=6, probes=6).select("query_id", "row_id", "rank").exceptAll(exact).count() == 0
+    assert search.cell_topk(sound.limit(0), q, 5).count() == 0
 
 
 def test_bm25_edge_cases(spark):
@@ -179,3 +182,9 @@ def test_containing(spark):
     patterns = spark.createDataFrame([("GR-12",), ("GR-123",), ("",), (None,), ("GR-12",), ("zz",)], "pattern string")
     assert sorted(tuple(r) for r in search.containing(rows, patterns).collect()) == [("a", "GR-12"), ("a", "GR-123")]
     assert search.containing(rows, patterns.limit(0)).count() == 0
+
+
+def test_cell_search_finds_nine_of_ten(spark, small):
+    from daftar.plans import register_queries as r
+
+    assert r.ann_cell_recall(spark, small).first()["recall"] >= 0.9
