@@ -116,6 +116,13 @@ def draw(texts: DataFrame, wanted: dict[Leaf, float], seed: int) -> DataFrame:
     return full.unionByName(partial.withColumnRenamed("whole", "epoch"))
 
 
+def held(texts: DataFrame, targets: DataFrame) -> float:
+    """Tokens of all texts that ``mix`` may draw, each once."""
+    wanted = targets.where("source is not null").select("source").distinct()
+    t = texts.where("doc_id is not null").join(F.broadcast(wanted), "source", "left_semi")
+    return float(t.agg(F.sum("n_tokens").alias("n")).first()["n"] or 0)
+
+
 def mix(texts: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 20) -> tuple[DataFrame, dict[Leaf, float]]:
     """The drawn texts and the budget of each leaf.
 

@@ -166,18 +166,29 @@ def p8_buckets(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, float]:
+    """Sizes, targets and the tokens of all wanted sources, the total of the mixture."""
+    sizes, targets = _sizes(spark, d, "source", "lang"), table(spark, d, "source_targets").distinct()
+    return sizes, targets, mixing.held(sizes, targets)
+
+
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn documents, once per epoch, in a mixture as large as all wanted sources together; rare ones stop at their repetitions."""
+    drawn, _ = mixing.mix(*_mixed(spark, d))
+    return drawn.select("doc_id", "source", "lang", "epoch", "n_tokens")
+
+
+def p9_largest_exact(spark: SparkSession, d: str) -> DataFrame:
     """The drawn documents, once per epoch, in the largest mixture that gives every source its share."""
     drawn, _ = mixing.mix(_sizes(spark, d, "source", "lang"), table(spark, d, "source_targets"))
     return drawn.select("doc_id", "source", "lang", "epoch", "n_tokens")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    """Wanted and reached shares of each source: in the largest exact mixture, and in one as large as all wanted sources together."""
-    sizes, targets = _sizes(spark, d, "source", "lang"), table(spark, d, "source_targets").distinct()
-    held = sizes.join(targets.select("source").distinct(), "source", "left_semi").agg(F.sum("n_tokens").alias("n")).first()["n"]
+    """Wanted and reached shares of each source: in the largest exact mixture, and in p9_mixture, as large as all wanted sources together."""
+    sizes, targets, held = _mixed(spark, d)
     out = None
-    for name, total in (("largest_exact", None), ("one_epoch", float(held or 0))):
+    for name, total in (("largest_exact", None), ("one_epoch", held)):
         drawn, _ = mixing.mix(sizes, targets, total)
         got = drawn.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_texts"), (F.max("epoch") + 1).alias("most_repeats"))
         part = targets.join(got, "source", "left").select(F.lit(name).alias("mixture"), "source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tokens", "n_texts", "most_repeats")])
@@ -200,6 +211,7 @@ QUERIES = {
     "p8_fill": p8_fill,
     "p8_buckets": p8_buckets,
     "p9_mixture": p9_mixture,
+    "p9_largest_exact": p9_largest_exact,
     "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_composition": p10_composition,

@@ -356,6 +356,19 @@ def test_mixture(spark):
     assert drawn.select("doc_id", "epoch").exceptAll(again.select("doc_id", "epoch")).count() == 0
 
 
+def test_rare_source_does_not_shrink_the_mixture(spark, tmp_path):
+    rows = [(i, s, "mr", "Order of the office") for i, s in enumerate(["big_1"] * 600 + ["big_2"] * 300 + ["small_1"] * 10 + ["else_1"] * 50)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big_1", 0.5, 1), ("big_2", 0.2, 3), ("small_1", 0.3, 3)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_targets.parquet")
+    drawn = queries.p9_mixture(spark, str(tmp_path))
+    got = {r["source"]: (r["n"], r["e"]) for r in drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("e")).collect()}
+    assert got["small_1"] == (30, 2) and sum(n for n, _ in got.values()) == pytest.approx(910, abs=2)
+    assert got["big_1"] == (600, 0) and got["big_2"][0] == pytest.approx(280, abs=2)
+    shares = {(r["mixture"], r["source"]): r["n_texts"] for r in queries.p9_shares(spark, str(tmp_path)).collect()}
+    assert shares["one_epoch", "small_1"] == 30 and sum(n for (m, _), n in shares.items() if m == "one_epoch") == sum(n for n, _ in got.values())
+    assert queries.p9_largest_exact(spark, str(tmp_path)).count() == pytest.approx(100, abs=2)
+
+
 # --- 10: subjects ----------------------------------------------------------------------------
 
 
