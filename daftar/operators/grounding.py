@@ -41,12 +41,29 @@ def block(n: Column, title: Column, number: Column, date: Column, first: Column,
     return F.concat(F.lit("["), n.cast("string"), F.lit("] ("), F.concat_ws(", ", F.nullif(name, F.lit("")), pages, kind), F.lit(")\n"), text)
 
 
+def numbers_cited(answer: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))))
+
+
 def cited(answer: Column, n_blocks: Column) -> tuple[Column, Column]:
     """(valid, phantom): distinct block numbers an answer cites, in order; phantom ones name no block."""
-    found = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), F.lit(1)), lambda x: x.cast("int"))))
+    found = numbers_cited(answer)
     return F.filter(found, lambda x: (x >= 1) & (x <= n_blocks)), F.filter(found, lambda x: (x < 1) | (x > n_blocks))
 
 
+def numbered_sources(raw: Column) -> Column:
+    """Sources stored as JSON text, as (n, gr_number) structs; text that is no such list, and entries without a number, give none."""
+    shape = "array<struct<n:int,gr_number:string>>"
+    return F.coalesce(F.filter(F.from_json(raw, shape), lambda s: s["n"].isNotNull()), F.array().cast(shape))
+
+
+def cited_sources(answer: Column, sources: Column) -> tuple[Column, Column]:
+    """(valid, phantom): as ``cited``, the blocks being the answer's own ``numbered_sources``."""
+    numbers = F.transform(sources, lambda s: s["n"])
+    found = numbers_cited(answer)
+    return F.filter(found, lambda x: F.array_contains(numbers, x)), F.filter(found, lambda x: ~F.array_contains(numbers, x))
+
+
 def prose(answer: Column) -> Column:
     return F.trim(F.regexp_replace(answer, r"\[\d+\]", ""))
 

@@ -437,6 +437,26 @@ def citations_resolved(spark, d):
     return cited.join(F.broadcast(blocks), "block_no").select("id", "block_no", "gr_id")
 
 
+def _sourced_answers(spark, d):
+    """Answers with their own numbered sources, and the citations of them."""
+    m = table(spark, d, "messages").where("lower(trim(role)) = 'assistant' and content is not null").select("id", "content", "sources").distinct()
+    a = m.select("id", "content", grounding.numbered_sources(F.col("sources")).alias("blocks"))
+    valid, phantom = grounding.cited_sources(F.col("content"), F.col("blocks"))
+    return a.withColumn("valid", valid).withColumn("phantom", phantom)
+
+
+def source_citations(spark, d):
+    """As citations_valid_phantom, but against the sources that each answer lists."""
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return _sourced_answers(spark, d).select("id", join("valid"), join("phantom"))
+
+
+def source_citations_resolved(spark, d):
+    """Each valid citation of an answer with the order number that the answer's own sources give it."""
+    cited = _sourced_answers(spark, d).select("id", F.explode(F.filter("blocks", lambda s: F.array_contains("valid", s["n"]))).alias("s"))
+    return cited.select("id", F.col("s.n").alias("block_no"), F.col("s.gr_number").alias("gr_number")).distinct()
+
+
 def hard_abstention(spark, d):
     top = _dense_hits(spark, d).where("row_id <> query_id").groupBy("query_id").agg(F.max("score").alias("top"))
     return top.select("query_id", "top", grounding.abstains(F.col("top"), 0.30).alias("abstains"))
@@ -568,6 +588,23 @@ def failure_labels(spark, d):
     return _log(spark, d).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _source_log(spark, d):
+    """Answers by their own sources. The tables name no expected order: an answer with sources counts as in the corpus, and as right if it cites the first of them."""
+    a = _sourced_answers(spark, d).select("id", F.col("content").alias("answer"), F.col("valid").alias("sources"), "phantom", (F.size("blocks") > 0).alias("in_corpus"), F.try_element_at("blocks", F.lit(1))["n"].alias("first"))
+    return evaluation.answer_flags(a.withColumn("correct", F.coalesce(F.array_contains("sources", F.col("first")), F.lit(False))))
+
+
+def source_answer_metrics(spark, d):
+    """As answer_metrics, but by the sources that each answer lists."""
+    n = lambda c, a: F.count(F.when(F.col(c), 1)).alias(a)
+    return _source_log(spark, d).groupBy("in_corpus").agg(F.count(F.lit(1)).alias("n"), n("cited", "cited"), n("grounded", "grounded"), n("correct", "correct"), n("degenerate", "degenerate"), n("refused", "refused"))
+
+
+def source_failure_labels(spark, d):
+    """As failure_labels, but by the sources that each answer lists."""
+    return _source_log(spark, d).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- integrity -----------------------------------------------------------
 
 
@@ -603,7 +640,7 @@ def truncate_from_id(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("n_chunks")).crossJoin(left.agg(F.count(F.lit(1)).alias("n_documents")))  # one row each
 
 
-_NAMES = """superseding_substring canonical_backfill reference_reparse neighbour_arcs prompt_sizes default_answers own_conversations active_user_lookup
+_NAMES = """source_citations source_citations_resolved source_answer_metrics source_failure_labels superseding_substring canonical_backfill reference_reparse neighbour_arcs prompt_sizes default_answers own_conversations active_user_lookup
 conversation_cascade message_sources hybrid_answer_context header_metadata piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
 short_titles page_split chunk_windows chunk_counts table_runs table_sentences table_chunk_packing prose_without_tables dense_topk
 dense_topk_filtered dense_topk_by_modality dense_score_for_id bm25_fts_topk bm25_okapi_topk bm25_filtered_overfetch related_documents

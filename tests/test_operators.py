@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from daftar.functions import text as tx
 from daftar.operators import chunking, citations, evaluation, fusion, grounding, portal, search, tables
+from daftar.plans import register_queries
 
 
 def one(spark, column, **values):
@@ -188,3 +189,18 @@ def test_cell_search_finds_nine_of_ten(spark, small):
     from daftar.plans import register_queries as r
 
     assert r.ann_cell_recall(spark, small).first()["recall"] >= 0.9
+
+
+def test_citations_resolve_to_the_sources_of_their_own_answer(spark, tmp_path):
+    two = '[{"n": 1, "gr_number": "A-1"}, {"n": 2, "gr_number": "B-2"}]'
+    rows = [
+        ("a0", "Assistant ", "The order has been placed before the desk. [2] It holds. [3]", two), ("a9", "assistant", "The order has been placed before the desk. [1]", '[{"n": 1, "gr_number": "C-3"}]'),
+        ("b1", "assistant", "The order has been placed before the desk. [1]", "[]"), ("b2", "assistant", "The order has been placed before the desk. [4]", None), ("u1", "user", "What of [1]?", two),
+    ]
+    spark.createDataFrame(rows + rows[:1], "id string, role string, content string, sources string").write.parquet(f"{tmp_path}/messages.parquet")
+    d = str(tmp_path)
+    assert {tuple(r) for r in register_queries.source_citations(spark, d).collect()} == {("a0", "2", "3"), ("a9", "1", ""), ("b1", "", "1"), ("b2", "", "4")}
+    assert sorted(tuple(r) for r in register_queries.source_citations_resolved(spark, d).collect()) == [("a0", 2, "B-2"), ("a9", 1, "C-3")]
+    got = {r["in_corpus"]: r.asDict() for r in register_queries.source_answer_metrics(spark, d).collect()}
+    assert [got[True][c] for c in ("n", "cited", "grounded", "correct")] == [2, 2, 1, 1] and [got[False][c] for c in ("n", "cited", "grounded", "correct")] == [2, 0, 0, 0]
+    assert {tuple(r) for r in register_queries.source_failure_labels(spark, d).collect()} == {("PHANTOM", 1), ("WRONG-SOURCE", 1), ("NO-ABSTAIN", 2)}
