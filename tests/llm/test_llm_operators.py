@@ -144,6 +144,13 @@ def test_noise_of_pieces(spark, channel):
     assert got == {("1", 0, "misread"), ("1", 1, "running"), ("1", 2, "pageno"), ("2", 0, "misread"), ("4", 0, "hyphen")}
 
 
+def test_noise_of_pieces_beside_their_document(spark, channel):
+    docs = spark.createDataFrame([("d", PAGES), ("n", None)], "doc_id string, text string")
+    held = spark.createDataFrame([(1, "n", "the exam-\nined the rccord"), (2, "d", "the rccord of the office\nTitle of the office"), (3, "d", "Title of the office\n")], "faiss_id bigint, gr_id string, text string")
+    got = {(r["row_key"], r["line_no"], r["noise"]) for r in ocr.noisy_lines(docs, held, channel).where("tbl = 'gr_chunks'").collect()}
+    assert got == {("1", 0, "hyphen"), ("1", 1, "misread"), ("2", 0, "misread"), ("2", 1, "running"), ("3", 0, "running")}
+
+
 # --- 3: pieces -----------------------------------------------------------------
 
 
