@@ -165,8 +165,11 @@ def bucket_batches(all_items: DataFrame, key: str, usable: dict[str, int], n_buc
     spark = all_items.sparkSession
     rows = []
     for r in _histograms(all_items):
-        lower = 0
-        for upper in length_buckets(dict(r["h"]), n_buckets):
+        lower = -1  # texts of no size belong to the first bucket
+        uppers = length_buckets(dict(r["h"]), n_buckets)
+        if not uppers:  # nothing but such texts
+            rows.append((r["container"], lower, 0, (1 << 31) - 1))
+        for upper in uppers:
             rows.append((r["container"], lower, upper, usable[r["container"]] // upper))
             lower = upper
     bounds = spark.createDataFrame(rows, "container string, lower int, bucket int, per_batch int")

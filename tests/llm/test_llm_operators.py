@@ -337,6 +337,14 @@ def test_tokens_are_those_of_the_tokenizer(spark):
     assert [tuple(r) for r in tokens.measured(df, "text").orderBy("id").collect()] == [(1, len(enc.encode_ordinary("Order of the office"))), (2, 0)]
 
 
+def test_bucket_batches_keep_texts_of_no_size(spark):
+    items = spark.createDataFrame([("a", i, 0, n) for i, n in enumerate([0, 0, 3, 5, 9])] + [("b", 9, 0, 0)], "container string, doc_id int, part int, tokens int")
+    got = packing.bucket_batches(items, "doc_id", {"a": 10, "b": 10}, 2).collect()
+    assert sorted((r["container"], r["doc_id"]) for r in got) == [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 9)]
+    first = min(r["bucket"] for r in got if r["container"] == "a")
+    assert first > 0 and {r["bucket"] for r in got if r["tokens"] == 0 and r["container"] == "a"} == {first}
+
+
 # --- 9: mixtures ----------------------------------------------------------------------------
 
 
