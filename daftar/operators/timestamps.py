@@ -96,10 +96,13 @@ def read_fields(df: DataFrame, column: str) -> DataFrame:
     v = F.col("__v")
     order = lambda y, m, d: "|".join(f"${k}" for k in (y, m, d, 4, 5, 6, 7, 8, 9, 10))
     parts = F.coalesce(*[F.when(v.rlike(p), F.regexp_replace(v, p, order(y, m, d))) for p, y, m, d in _SPELLINGS])
-    n = F.length(F.regexp_replace(v, "^-", ""))
-    scale = F.when(n <= 10, 1_000_000).when(n <= 13, 1_000).otherwise(1)
+    # Counts as digits of microseconds: seconds, milli-, micro- and nanoseconds by their length, the fraction as far as it reaches.
+    count = r"^(-?)(\d{9,19})(?:[.,](\d+))?$"
+    whole, frac = F.regexp_extract(v, count, 2), F.regexp_extract(v, count, 3)
+    n = F.length(whole)
+    micros = F.when(n <= 10, F.concat(whole, F.rpad(frac, 6, "0"))).when(n <= 13, F.concat(whole, F.rpad(frac, 3, "0"))).when(n <= 16, whole).otherwise(F.regexp_replace(whole, r"\d{3}$", ""))
     df = df.withColumn("__v", clean(F.col(column)))
-    df = df.withColumn("__p", F.split(parts, r"\|")).withColumn("__n", F.when(v.rlike(r"^-?\d{9,16}$"), v.try_cast("long") * scale))
+    df = df.withColumn("__p", F.split(parts, r"\|")).withColumn("__n", F.when(v.rlike(count), F.concat(F.regexp_extract(v, count, 1), micros).try_cast("long")))
 
     g = dict(zip(("y", "m", "d", "h", "mi", "s", "frac", "half", "zone", "place"), (F.get("__p", F.lit(k)) for k in range(10))))
     year = F.when(F.length(g["y"]) == 2, F.when(_int(g["y"]) < 70, _int(g["y"]) + 2000).otherwise(_int(g["y"]) + 1900)).otherwise(_int(g["y"]))

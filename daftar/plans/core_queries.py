@@ -39,7 +39,7 @@ def _date_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    values = _date_values(spark, d).where(~F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    values = _date_values(spark, d).where(~F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}\z"))
     return timestamps.normalise(values, "value").where(F.col("normal_form").isNotNull()).select("tbl", "row_key", "normal_form").distinct()
 
 

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from daftar.operators import timestamps
+from daftar.plans import core_queries
 
 CASES = {
     "2013-02-03": ("2013-02-03", "day"),
@@ -52,6 +53,22 @@ def test_spellings(spark):
     assert got == CASES
 
 
+def test_counts_of_any_unit(spark):
+    cases = {
+        "1577836800.5": "2020-01-01T00:00:00.500000Z", "1577836800,1234567": "2020-01-01T00:00:00.123456Z", "1577836800123.25": "2020-01-01T00:00:00.123250Z", "1577836800123456": "2020-01-01T00:00:00.123456Z",
+        "1577836800123456789": "2020-01-01T00:00:00.123456Z", "761592540123456789": "1994-02-18T17:29:00.123456Z", "-157766400.25": "1964-12-31T23:59:59.750000Z", "20250625": "2025-06-25", "9999999999999999999": None, "15778368001234567890": None,
+    }
+    df = spark.createDataFrame(list(cases.items()), "value string, want string")
+    assert timestamps.normalise(df, "value").where("not (normal_form <=> want)").collect() == []
+
+
+def test_plain_day_with_a_newline_is_found(spark, tmp_path):
+    spark.createDataFrame([("a", "2020-01-02\n"), ("b", "2020-01-02"), ("c", "1577836800.5")], "doc_id string, date string").write.parquet(f"{tmp_path}/gr_documents.parquet")
+    spark.createDataFrame([(1, None)], "edge_id bigint, dst_date string").write.parquet(f"{tmp_path}/gr_edges.parquet")
+    got = {(r["row_key"], r["normal_form"]) for r in core_queries.p6_found(spark, str(tmp_path)).collect()}
+    assert got == {("a", "2020-01-02"), ("c", "2020-01-01T00:00:00.500000Z")}
+
+
 def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([("2020/01/02", "x", 3, [1])], "value string, normal_form string, year int, spans array<int>")
     out = timestamps.normalise(df, "value")
