@@ -1,16 +1,19 @@
 """One consistent form for text that looks the same.
 
-Two forms of a value are made, each once per distinct value of a batch:
-
-* ``look``: what the eye tells apart stays apart (case, accents, digit scripts,
-  visible spaces and punctuation); width, invisible characters, kinds of space
-  and short hyphen, letters of other alphabets with the same shape and the ways
-  to compose a letter do not matter.
-* ``fold``: the compatibility composed form (NFKC) of ``look`` under full case
-  folding, for comparisons that disregard case too.
-
-Equal looks have equal folds, so ``fold`` groups candidates and ``look``
-decides inside a group.
+Two forms of a value are made, each once per distinct value:
+
+* ``look``: the compatibility composed form (NFKC) wherever that keeps the look
+  (width, fonts, ligatures, letter-like numerals, contextual shapes), with white
+  space mapped, default-ignorable characters removed, and letters of other
+  alphabets of the same shape, short hyphens and the ways to compose a letter
+  brought to one.  Case, accents, digit scripts, superscripts, fractions, visible
+  spaces and punctuation stay apart.  The steps run until nothing changes, so
+  ``look(look(x)) == look(x)``.
+* ``fold``: NFKC under full case folding of ``look``, for comparisons that
+  disregard case too.
+
+Values look the same if their ``look`` is equal.  Equal looks have equal folds,
+so ``fold`` may only group: case tells values apart here.
 """
 
 from __future__ import annotations
@@ -24,16 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other alphabets drawn like Latin letters (Greek, Cyrillic).
+# Letters of other alphabets drawn like Latin letters (Greek, Cyrillic, Armenian, Cherokee, Lisu).
 _SHAPES = {
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳο": "ABEZHIKMNOPTYXCjo",
-    "АВЕЅІЈКМНОРСТУХԌԚԜаеѕіјорсухԁԛԝһ": "ABESIJKMHOPCTYXGQWaesijopcyxdqwh",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϳοανυριϲ": "ABEZHIKMNOPTYXCJjoavupic",
+    "АВЕЅІЈКМНОРСТУХԌԚԜаеѕіјорсухԁԛԝһӀӏҮүѴѵҺ": "ABESIJKMHOPCTYXGQWaesijopcyxdqwhIlYyVvh",
+    "ՍՕԼհոսօց": "UOLhnuog",
+    "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃᏀ": "ABCDEHJKLMPRSTVWZG",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
 }
 
-# Pairs of Devanagari signs drawn like one sign or letter.
+# Sequences of Devanagari characters drawn like one sign or letter.
 _COMPOSED = {
-    "ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "ाॆ": "ॊ", "अा": "आ", "अो": "ओ", "अौ": "औ", "अॉ": "ऑ", "अॊ": "ऒ",
-    "अॅ": "ॲ", "एे": "ऐ", "एॅ": "ऍ", "आे": "ओ", "आै": "औ", "आॅ": "ऑ",
+    "ाे": "ो", "ाै": "ौ", "ाॅ": "ॉ", "ाॆ": "ॊ", "अॆ": "ऄ", "अा": "आ", "अो": "ओ", "अौ": "औ", "अॉ": "ऑ", "अॊ": "ऒ", "अॅ": "ॲ",
+    "आे": "ओ", "आै": "औ", "आॅ": "ऑ", "आॆ": "ऒ", "एे": "ऐ", "एॅ": "ऍ", "एॆ": "ऎ", "उु": "ऊ", "र्इ": "ई",
+    "अऺ": "ॳ", "अऻ": "ॴ", "आऺ": "ॴ", "अॏ": "ॵ", "अॖ": "ॶ", "अॗ": "ॷ",
 }
 
 # Short hyphens other than the hyphen-minus (hyphen, non-breaking, bullet, small).
@@ -47,49 +54,75 @@ _IGNORABLE = (
 )
 
 
-@lru_cache(maxsize=1)
-def _tables() -> tuple[re.Pattern, dict[int, str | None], re.Pattern, re.Pattern]:
-    table: dict[int, str | None] = {}
-    for other, latin in _SHAPES.items():
-        table.update(zip(map(ord, other), latin))
-    for code in (*range(0xA0, 0x3001), *range(0xFF00, 0xFFF0)):
-        c = chr(code)
-        kind = unicodedata.decomposition(c)
-        if unicodedata.category(c) == "Zs":
-            table[code] = " "
-        elif kind.startswith(("<wide>", "<narrow>")):
-            table[code] = unicodedata.normalize("NFKC", c)
-    table.update((h, "-") for h in _HYPHENS)
-    for code in (*range(0xFF01, 0xFF5F), *range(0xFF61, 0xFFEF)):
-        c = unicodedata.normalize("NFKC", chr(code))
-        if c != chr(code):
-            table[code] = table.get(ord(c), c) if len(c) == 1 else c
-    ignorable = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE) + "]+")
-    odd = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(table)) + "]")
-    firsts, seconds = ("".join(sorted({p[i] for p in _COMPOSED})) for i in (0, 1))
-    pairs = re.compile(f"[{firsts}][{seconds}]")
-    return odd, table, ignorable, pairs
+# Kinds of compatibility mapping that keep the look; others (super, sub, fraction, circle, square, small, vertical) change it.
+_SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")
+# Letters whose compatibility mapping is drawn otherwise (long s, Greek symbol forms, letter with apostrophe).
+_DRAWN_OTHERWISE = "ŉſϐϑϒϓϔϕϖϰϱϴϵẚẛ"
+# White space other than the blank that is no line feed.
+_WHITE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
+
+
+class _Shapes:
+    """The mappings of ``look``, built once per process from the character database and the fixed values above."""
+
+    def __init__(self):
+        table: dict[str, str] = {c: " " for c in _WHITE}
+        # Compatibility mappings go by kind; ligatures and numerals have none but map to letters alone.
+        for code in (*range(0xA0, 0x3400), *range(0xA640, 0xA7FF), *range(0xFB00, 0x10000), *range(0x1D400, 0x1EF00), *range(0x1FBF0, 0x1FBFA)):
+            c = chr(code)
+            kind = unicodedata.decomposition(c).split(" ")[0]
+            if unicodedata.category(c) == "Zs":
+                table[c] = " "
+            elif kind in _SAME_LOOK or (kind == "<compat>" and c not in _DRAWN_OTHERWISE and unicodedata.normalize("NFKC", c).isalpha()):
+                table[c] = unicodedata.normalize("NFKC", c)
+        for other, latin in _SHAPES.items():
+            table.update(zip(other, latin, strict=True))
+        table.update((chr(h), "-") for h in _HYPHENS)
+        self.table = {c: "".join(table.get(x, x) for x in to) for c, to in table.items()}
+        self.ignorable = re.compile("\r(?=\n)|[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE if b < 0x10000) + "]+")
+        self.odd = re.compile("[" + "".join(re.escape(c) for c in sorted(table) if ord(c) < 0x10000) + "]")
+        # Sets beyond the basic plane are slow to search, so those characters have their own patterns.
+        self.far = re.compile("[\U00010000-\U0010ffff]")
+        self.far_ignorable = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE if b >= 0x10000) + "]+")
+        by_first: dict[str, str] = {}
+        for p in _COMPOSED:
+            if len(p) == 2:
+                by_first[p[0]] = by_first.get(p[0], "") + p[1]
+        self.pairs = re.compile("|".join(f"{a}[{b}]" for a, b in by_first.items()))
+        self.longer = [p for p in _COMPOSED if len(p) > 2]
+
+    def once(self, text: str) -> str:
+        text = self.ignorable.sub("", text)
+        if self.far.search(text):
+            text = self.far.sub(lambda m: self.table.get(m[0], m[0]), self.far_ignorable.sub("", text))
+        # Letters are mapped apart from their signs, as one may come composed and the other not.
+        text = unicodedata.normalize("NFC", self.odd.sub(lambda m: self.table[m[0]], unicodedata.normalize("NFD", text)))
+        for p in self.longer:
+            text = text.replace(p, _COMPOSED[p])
+        return self.pairs.sub(lambda m: _COMPOSED[m[0]], text)
+
+
+_shapes = lru_cache(maxsize=1)(_Shapes)
 
 
 def look(text: str) -> str:
-    """The form in which texts that look the same are the same characters. One character stays one, but for invisible and composed ones."""
-    if text.isascii():
+    """The form in which texts that look the same are the same characters; lines stay lines."""
+    shapes = _shapes()
+    if text.isascii() and not shapes.odd.search(text):
         return text
-    odd, table, ignorable, pairs = _tables()
-    if not odd.search(text) and not ignorable.search(text) and not pairs.search(text):
-        return unicodedata.normalize("NFC", text)
-    text = ignorable.sub("", text)
-    text = unicodedata.normalize("NFC", odd.sub(lambda m: table[ord(m[0])], text))
-    if pairs.search(text):
-        text = unicodedata.normalize("NFC", pairs.sub(lambda m: _COMPOSED.get(m[0], m[0]), text))
-    # A letter and its sign may have come from different alphabets, so shapes are mapped once more after composing.
-    return odd.sub(lambda m: table[ord(m[0])], text)
+    while (made := shapes.once(text)) != text:
+        text = made
+    return text
 
 
 def fold(text: str) -> str:
-    """Compatibility composed form under full case folding, white space as single blanks, of ``look(text)``."""
-    seen = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", look(text)).casefold())
-    return unicodedata.normalize("NFKC", seen)
+    """Compatibility composed form under full case folding of ``look(text)``, to a fixed point."""
+    seen = look(text)
+    while True:
+        was = seen
+        seen = look(unicodedata.normalize("NFKC", seen.casefold()))
+        if seen == was:
+            return seen
 
 
 def _per_distinct(values: pd.Series, form) -> pd.Series:
@@ -127,21 +160,34 @@ def keys_column(values: pd.Series) -> pd.DataFrame:
 
 
 def keyed(df: DataFrame, owner: str, value: str) -> DataFrame:
-    """Distinct (owner, fold, look, raw) digests of a column; null owners and values are left out."""
+    """Distinct (owner, fold, look, raw) digests of a column of long texts, read where they lie; null owners and values are left out."""
     rows = df.select(F.col(owner).cast("string").alias("owner"), F.col(value).alias("v")).where("owner is not null and v is not null")
     return rows.select("owner", keys_column("v").alias("k")).select("owner", "k.fold", "k.look", "k.raw").distinct()
 
 
-def twins(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+def spelled(values: DataFrame, value: str) -> DataFrame:
+    """(fold, look, raw) of a column of short values, made once per distinct value of the whole table; ``raw`` is the value itself."""
+    rows = values.select(F.col(value).alias("raw")).where("raw is not null").distinct()
+    return rows.select("raw", keys_column("raw").alias("k")).select("k.fold", "k.look", "raw")
+
+
+def owners(df: DataFrame, owner: str, value: str) -> DataFrame:
+    """Distinct (owner, raw) of a column of short values."""
+    return df.select(F.col(owner).cast("string").alias("owner"), F.col(value).alias("raw")).where("owner is not null and raw is not null").distinct()
+
+
+def twins(spellings: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(owner_a, owner_b), a < b: owners of values of equal look and different characters.
 
+    ``spellings`` has fold, look and raw, ``left`` and ``right`` owner and raw.
     Folds that hold one spelling only cannot give a pair and leave first.  The
     join then runs over (look, spelling) pairs, so its work is that of its
     output and a spelling shared by many owners meets no copy of itself.
+    Repeated rows count once; empty tables give no pair.
     """
-    spellings = (left if same else left.unionByName(right)).select("fold", "look", "raw").distinct()
-    several = spellings.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fold")
-    s = spellings.join(several, "fold", "left_semi")
+    s = spellings.select("fold", "look", "raw").distinct()
+    several = s.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fold")
+    s = s.join(several, "fold", "left_semi")
     pair = s.select("look", F.col("raw").alias("raw_a")).join(s.select("look", F.col("raw").alias("raw_b")), "look").where("raw_a <> raw_b").select("raw_a", "raw_b")
     a = left.select(F.col("owner").alias("x"), F.col("raw").alias("raw_a"))
     b = right.select(F.col("owner").alias("y"), F.col("raw").alias("raw_b"))

@@ -13,10 +13,10 @@ from daftar.session import Scratch, table
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     work = Scratch(spark, "lookalike")
     docs, edges = table(spark, d, "gr_documents"), table(spark, d, "gr_edges")
-    numbers = work.write(lookalike.keyed(docs, "doc_id", "gr_number"), "numbers")
+    held, cited = lookalike.owners(docs, "doc_id", "gr_number"), lookalike.owners(edges, "src_id", "dst_number")
+    numbers = work.write(lookalike.spelled(held.select("raw").unionByName(cited.select("raw")), "raw"), "numbers")
     texts = work.write(lookalike.keyed(docs, "doc_id", "text"), "texts")
-    cited = work.write(lookalike.keyed(edges, "src_id", "dst_number"), "cited")
-    found = [("gr_number", lookalike.twins(numbers, numbers, True)), ("text", lookalike.twins(texts, texts, True)), ("dst_number", lookalike.twins(cited, numbers, False))]
+    found = [("gr_number", lookalike.twins(numbers, held, held)), ("text", lookalike.twins(texts, texts, texts)), ("dst_number", lookalike.twins(numbers, cited, held))]
     pairs = [t.select(F.lit(f).alias("field"), F.col("owner_a").alias("doc_id_a"), F.col("owner_b").alias("doc_id_b")) for f, t in found]
     return pairs[0].unionByName(pairs[1]).unionByName(pairs[2])
 
