@@ -81,6 +81,8 @@ class _Shapes:
         self.table = {c: "".join(table.get(x, x) for x in to) for c, to in table.items()}
         self.ignorable = re.compile("\r(?=\n)|[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE if b < 0x10000) + "]+")
         self.odd = re.compile("[" + "".join(re.escape(c) for c in sorted(table) if ord(c) < 0x10000) + "]")
+        composed = (chr(c) for c in (*range(0xA0, 0x530), *range(0x1E00, 0x2000)) if unicodedata.normalize("NFD", chr(c))[0] in table)
+        self.alien = re.compile("[" + "".join(re.escape(c) for c in sorted({*composed, *(c for c in table if ord(c) < 0x10000)})) + "]")
         # Sets beyond the basic plane are slow to search, so those characters have their own patterns.
         self.far = re.compile("[\U00010000-\U0010ffff]")
         self.far_ignorable = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _IGNORABLE if b >= 0x10000) + "]+")
@@ -95,8 +97,10 @@ class _Shapes:
         text = self.ignorable.sub("", text)
         if self.far.search(text):
             text = self.far.sub(lambda m: self.table.get(m[0], m[0]), self.far_ignorable.sub("", text))
-        # Letters are mapped apart from their signs, as one may come composed and the other not.
-        text = unicodedata.normalize("NFC", self.odd.sub(lambda m: self.table[m[0]], unicodedata.normalize("NFD", text)))
+        if self.alien.search(text):
+            # Letters are mapped apart from their signs, as one may come composed and the other not.
+            text = self.odd.sub(lambda m: self.table[m[0]], unicodedata.normalize("NFD", text))
+        text = unicodedata.normalize("NFC", text)
         for p in self.longer:
             text = text.replace(p, _COMPOSED[p])
         return self.pairs.sub(lambda m: _COMPOSED[m[0]], text)
