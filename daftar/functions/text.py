@@ -67,8 +67,11 @@ def date_from_id(doc_id: Column) -> Column:
 
 def looks_like_number(text: Column) -> Column:
     """Whether a piece of text has the shape of an order number: a slash, a digit, at most 80 characters, no bare date."""
-    date = r"^[\d०-९]{1,4}[/.\-][\d०-९]{1,2}[/.\-][\d०-९]{2,4}\.?$"
-    return text.contains("/") & (F.length(text) <= 80) & text.rlike(r"[\d०-९]") & ~text.rlike(date)
+    plain = ascii_digits(text)
+    parts = F.split(F.regexp_replace(plain, r"\.$", ""), "[/.-]")
+    digits = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.length(p)).otherwise(0))
+    bare_date = (F.size(parts) == 3) & F.get(digits, F.lit(0)).between(1, 4) & F.get(digits, F.lit(1)).between(1, 2) & F.get(digits, F.lit(2)).between(2, 4)
+    return text.contains("/") & (F.length(text) <= 80) & plain.rlike("[0-9]") & ~bare_date
 
 
 def short_title(text: Column, limit: int = 60) -> Column:

@@ -19,6 +19,25 @@ def latest(docs: DataFrame, key: str = "doc_id", order: tuple[str, ...] = ("inge
     return picked.select(key, *[F.col(f"r.{c}").alias(c) for c in docs.columns if c != key])
 
 
+BROADCAST_ROWS = 1_000_000  # rows of an id and a place in a file, some 100 bytes each, up to which they are broadcast
+
+
+def latest_in_place(docs: DataFrame, key: str, at: str, order: tuple[str, ...] = ("ingested_at", "title")) -> DataFrame:
+    """``latest`` for rows with long texts: the rows stay where they lie.
+
+    ``at`` names a column that tells rows apart (as file and place in it).  What
+    is not the last of its key is found on the narrow columns alone and taken
+    out by an anti-join; it is broadcast after a count, beyond
+    ``BROADCAST_ROWS`` joined by shuffle.
+    """
+    narrow = docs.where(F.col(key).isNotNull()).select(key, *order, at)
+    best = narrow.groupBy(key).agg(F.max_by(at, F.struct(*order, at)).alias("__best"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    rest = narrow.select(key, at).join(best, key).where(F.col(at) != F.col("__best")).select(at)
+    rest = Scratch(docs.sparkSession, "latest").write(rest, "rest")
+    few = rest.count() <= BROADCAST_ROWS
+    return docs.where(F.col(key).isNotNull()).join(F.broadcast(rest) if few else rest, at, "left_anti").drop(at)
+
+
 def build_edges(docs: DataFrame) -> DataFrame:
     """(src_id, dst_id, dst_number, dst_canon, kind, resolution, dst_date, by_date) of ``docs`` (doc_id, gr_number, date, refs, supersedes).
 

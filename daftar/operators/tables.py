@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from daftar.functions.text import words
+from daftar.operators.chunking import MARK, window_array
 
 PIPE, DASH = r"(?U)^\s*\|.*\|.*\|", r"(?U)^\s*[-|─—\s]{4,}\s*$"
 
@@ -19,24 +19,35 @@ def is_pipe(line: Column) -> Column:
     return line.rlike(PIPE) & ~is_dash(line)
 
 
-def lines(df: DataFrame, text: str) -> DataFrame:
-    """``df`` plus line_no (from 0) and line."""
-    return df.where(F.col(text).isNotNull()).select("*", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+def _trim(x: Column) -> Column:
+    return F.trim(x)  # a function of one argument: ``transform`` would hand the index to a second one
+
+
+def _laid_out(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, __lines, __runs): the lines of each text that may hold a table, and where its tables are; rows stay where they lie.
+
+    One letter per line (p pipe row, d dash line, o other) makes a word in which
+    a run is ``p[pd]*``; it counts with two pipe rows or more.
+    """
+    t = df.where(F.col(text).contains("|")).select(key, F.split(text, "\n").alias("__lines"))
+    letter = lambda x: F.when(is_dash(x), "d").when(x.rlike(PIPE), "p").otherwise("o")
+    t = t.withColumn("__kinds", F.array_join(F.transform("__lines", letter), ""))
+    return t.withColumn("__runs", F.expr("""aggregate(
+        zip_with(regexp_extract_all(__kinds, '([^p]*)p[pd]*', 1), regexp_extract_all(__kinds, '[^p]*(p[pd]*)', 1),
+            (g, b) -> named_struct('gap', length(g), 'size', length(b), 'n', length(replace(b, 'd', '')))),
+        named_struct('at', 0, 'runs', cast(array() as array<struct<first_line:int,last_line:int,n_rows:bigint>>)),
+        (a, x) -> named_struct('at', a.at + x.gap + x.size, 'runs', if(x.n >= 2,
+            array_append(a.runs, named_struct('first_line', a.at + x.gap, 'last_line', a.at + x.gap + x.size - 1, 'n_rows', bigint(x.n))), a.runs)),
+        a -> a.runs)""")).drop("__kinds")
 
 
 def runs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, first_line, last_line, n_rows): table runs of each text.
 
     A run begins at a pipe row and goes on over pipe and dash lines; it counts
-    with two pipe rows or more.  The lines of one text form the islands, so the
-    group is a text and its size bounded by that of a text.
+    with two pipe rows or more.  Null and empty texts have none.
     """
-    t = lines(df.select(key, text), text).select(key, "line_no", is_pipe(F.col("line")).alias("pipe"), is_dash(F.col("line")).alias("dash"))
-    order = W.partitionBy(key).orderBy("line_no")
-    t = t.withColumn("island", F.sum((~(F.col("pipe") | F.col("dash"))).cast("int")).over(order)).where("pipe or dash")
-    # Dash lines before the first pipe row of an island are no part of the run.
-    g = t.groupBy(key, "island").agg(F.min(F.when(F.col("pipe"), F.col("line_no"))).alias("first_line"), F.max("line_no").alias("last_line"), F.count(F.when(F.col("pipe"), 1)).alias("n_rows"))
-    return g.where("n_rows >= 2").select(key, "first_line", F.col("last_line").cast("int").alias("last_line"), "n_rows")
+    return _laid_out(df, key, text).select(key, F.inline("__runs"))
 
 
 def cells(line: Column) -> Column:
@@ -66,41 +77,94 @@ def sentence(header: Column, row: Column) -> Column:
     return F.when(F.size(said) > 0, F.concat(F.lit("In this row: "), F.array_join(said, ", "), F.lit(".")))
 
 
+def _rows_of(run: Column, lines: Column) -> Column:
+    """Cells of the pipe rows of a run, the header first."""
+    inside = F.slice(lines, run["first_line"] + 1, run["last_line"] - run["first_line"] + 1)
+    return F.transform(F.filter(inside, lambda x: x.rlike(PIPE) & ~is_dash(x)), cells)
+
+
+def _tables(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, __lines, first_line, __rows): one row per table."""
+    t = _laid_out(df, key, text).select(key, "__lines", F.explode("__runs").alias("__run"))
+    return t.select(key, "__lines", "__run.first_line", _rows_of(F.col("__run"), F.col("__lines")).alias("__rows"))
+
+
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, first_line, row_no, header, said): the data rows of every table as sentences."""
-    r = runs(df, key, text)
-    t = lines(df.select(key, text), text).select(key, "line_no", "line").where(is_pipe(F.col("line")))
-    inside = t.join(r, key).where("line_no between first_line and last_line")
-    order = W.partitionBy(key, "first_line").orderBy("line_no")
-    inside = inside.withColumn("__header", F.first(cells(F.col("line"))).over(order)).withColumn("row_no", F.row_number().over(order) - 1)
-    out = inside.where("row_no > 0").select(key, "first_line", "row_no", F.array_join("__header", " | ").alias("header"), sentence(F.col("__header"), cells(F.col("line"))).alias("said"))
+    t = _tables(df, key, text).select(key, "first_line", F.get("__rows", F.lit(0)).alias("__header"), F.posexplode("__rows").alias("row_no", "__row"))
+    out = t.where("row_no > 0").select(key, "first_line", "row_no", F.array_join("__header", " | ").alias("header"), sentence(F.col("__header"), F.col("__row")).alias("said"))
     return out.where("said is not null")
 
 
-def table_chunks(df: DataFrame, key: str, text: str, max_words: int = 250) -> DataFrame:
-    """(key, first_line, chunk_no, chunk_text): sentences packed whole into chunks, each under the repeated caption.
+def page_of_line(lines: Column, line_no: Column) -> Column:
+    """The page a line stands on: the number of the last page mark above it, 1 without any."""
+    above = F.filter(F.slice(lines, F.lit(1), line_no + 1), lambda x: x.rlike(MARK))
+    return F.when(F.size(above) > 0, F.regexp_extract(F.element_at(above, -1), MARK, 1).try_cast("int")).otherwise(F.lit(1))
+
+
+def _chunks_of(rows: Column, max_words: int) -> Column:
+    """The chunks of a table: its sentences packed whole, each chunk under the repeated caption.
 
-    Packing is a fold over the ordered sentences of one table: a sentence that
-    does not fit begins the next chunk, a single one over the size stands alone.
+    A sentence that does not fit begins the next chunk, a single one over the
+    size stands alone.  A table without any sentence has none.
     """
-    s = sentences(df, key, text).withColumn("caption", F.concat(F.lit("Table: "), "header"))
-    g = s.groupBy(key, "first_line", "caption").agg(F.array_sort(F.collect_list(F.struct("row_no", "said"))).alias("rows"))
-    room = F.greatest(F.lit(1), F.lit(max_words) - F.size(words(F.col("caption"))))
-    g = g.withColumn("room", room).withColumn("said", F.transform("rows", lambda x: F.struct(x["said"].alias("s"), F.size(words(x["said"])).alias("n"))))
-    folded = F.expr("""aggregate(said, named_struct('done', cast(array() as array<string>), 'open', '', 'n', 0),
-        (a, x) -> if(a.open <> '' and a.n + x.n > room,
-            named_struct('done', array_append(a.done, a.open), 'open', x.s, 'n', x.n),
-            named_struct('done', a.done, 'open', if(a.open = '', x.s, concat(a.open, ' ', x.s)), 'n', a.n + x.n)),
-        a -> if(a.open = '', a.done, array_append(a.done, a.open)))""")
-    return g.select(key, "first_line", "caption", F.posexplode(folded).alias("chunk_no", "body")).select(key, "first_line", "chunk_no", F.concat("caption", F.lit("\n"), "body").alias("chunk_text"))
+    header = F.get(rows, F.lit(0))
+    caption = F.concat(F.lit("Table: "), F.array_join(header, " | "))
+    room = F.greatest(F.lit(1), F.lit(max_words) - F.size(words(caption)))
+    said = F.filter(F.transform(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), lambda r: sentence(header, r)), lambda x: x.isNotNull())
+    state = lambda done, open_, n: F.struct(done.alias("done"), open_.alias("open"), n.alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = F.size(words(x))
+        fits = (a["open"] == "") | (a["n"] + n <= room)
+        return F.when(fits, state(a["done"], F.when(a["open"] == "", x).otherwise(F.concat(a["open"], F.lit(" "), x)), a["n"] + n)).otherwise(state(F.array_append(a["done"], a["open"]), x, n))
+
+    start = state(F.array().cast("array<string>"), F.lit(""), F.lit(0))
+    bodies = F.aggregate(said, start, step, lambda a: F.when(a["open"] == "", a["done"]).otherwise(F.array_append(a["done"], a["open"])))
+    return F.transform(bodies, lambda b: F.concat(caption, F.lit("\n"), b))
+
+
+def table_chunks(df: DataFrame, key: str, text: str, max_words: int = 250) -> DataFrame:
+    """(key, first_line, page, chunk_no, chunk_text): the chunks of every table, with the page its first line stands on."""
+    t = _tables(df, key, text).withColumn("page", page_of_line(F.col("__lines"), F.col("first_line")))
+    return t.select(key, "first_line", "page", F.posexplode(_chunks_of(F.col("__rows"), max_words)).alias("chunk_no", "chunk_text"))
+
+
+def prose_of(text: Column, lines: Column, runs: Column) -> Column:
+    """A text without the lines of its tables."""
+    kept = F.filter(lines, lambda x, i: ~F.exists(runs, lambda r: (i >= r["first_line"]) & (i <= r["last_line"])))
+    return F.when(F.size(F.coalesce(runs, F.array())) > 0, F.array_join(kept, "\n")).otherwise(text)
 
 
 def prose(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, prose_text): each text without the lines of its tables."""
-    t = lines(df.select(key, text), text).select(key, "line_no", "line")
-    r = runs(df, key, text).select(F.col(key).alias("__k"), "first_line", "last_line")
-    kept = t.join(r, (F.col(key) == F.col("__k")) & F.col("line_no").between(F.col("first_line"), F.col("last_line")), "left_anti")
-    return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("prose_text"))
+    """(key, prose_text): each text without the lines of its tables; rows stay where they lie, a text of tables alone gives none."""
+    t = _laid_out(df, key, text)
+    inside = F.aggregate("__runs", F.lit(0), lambda a, r: a + r["last_line"] - r["first_line"] + 1)
+    t = t.where(inside < F.size("__lines")).select(key, prose_of(F.array_join("__lines", "\n"), F.col("__lines"), F.col("__runs")).alias("prose_text"))
+    return df.where(~F.col(text).contains("|")).select(key, F.col(text).alias("prose_text")).unionByName(t)
+
+
+def pieces(df: DataFrame, key: str, text: str, size: int = 250, overlap: int = 50) -> DataFrame:
+    """(key, chunk_index, content_type, page_start, page_end, chunk_text): the stored form of a text.
+
+    Its pages without tables in windows of words first, then the chunks of its
+    tables in order, numbered through.  Text and tables above the first page
+    mark belong to no page and are left out.  Every text is worked on in its own
+    row; nothing is shuffled.  Null texts and texts without words give no rows.
+    """
+    t = df.where(F.col(text).isNotNull()).withColumn("__text", F.col(text))
+    plain = t.where(~F.col(text).contains("|")).select(key, F.col("__text").alias("__prose"), F.expr("cast(array() as array<struct<page:int,chunks:array<string>>>)").alias("__tables"))
+    laid = _laid_out(t, key, text)
+    said = lambda run, lines: _chunks_of(_rows_of(run, lines), size)
+    marked = F.exists("__lines", lambda x: x.rlike(MARK))
+    placed = lambda r: ~marked | F.exists(F.slice("__lines", F.lit(1), r["first_line"] + 1), lambda x: x.rlike(MARK))
+    tabled = F.transform(F.filter("__runs", placed), lambda r: F.struct(page_of_line(F.col("__lines"), r["first_line"]).alias("page"), said(r, F.col("__lines")).alias("chunks")))
+    laid = laid.select(key, prose_of(F.array_join("__lines", "\n"), F.col("__lines"), F.col("__runs")).alias("__prose"), tabled.alias("__tables"))
+    both = plain.unionByName(laid)
+    piece = lambda kind, a, b, x: F.struct(F.lit(kind).alias("content_type"), a.alias("page_start"), b.alias("page_end"), x.alias("chunk_text"))
+    windows = F.transform(window_array(F.col("__prose"), size, overlap), lambda w: piece("text", w["page_start"], w["page_end"], w["chunk_text"]))
+    chunks = F.flatten(F.transform("__tables", lambda t: F.transform(t["chunks"], lambda c: piece("table", t["page"], t["page"], c))))
+    return both.select(key, F.posexplode(F.concat(windows, chunks)).alias("chunk_index", "__p")).select(key, "chunk_index", "__p.*")
 
 
 def _filled(cell: Column) -> Column:
@@ -123,15 +187,15 @@ def looks_real(rows: Column) -> Column:
     It has 2 to 20 columns, at least four filled cells and two well filled
     rows, numbers in 30 % of the cells, and few long, huge or wordy ones.
     """
-    flat = F.transform(F.filter(F.flatten(rows), _filled), F.trim)
+    flat = F.transform(F.filter(F.flatten(rows), _filled), _trim)
     n = F.size(flat)
     share = lambda p: F.size(F.filter(flat, p)) / n
-    width = F.array_max(F.transform(rows, F.size))
+    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     solid = lambda r: F.size(F.filter(r, lambda c: F.length(F.trim(c)) > 1))
     substantial = F.size(F.filter(rows, lambda r: (solid(r) >= 2) & (solid(r) >= F.lit(0.4) * width)))
     return F.coalesce(
         (F.size(rows) >= 2) & width.between(2, 20) & (n >= 4) & (substantial >= 2) & (share(_has_digit) >= 0.30)
-        & (share(lambda c: F.length(c) > 30) <= 0.35) & (F.array_max(F.transform(flat, F.length)) <= 80) & (share(_wordy) <= 0.15),
+        & (share(lambda c: F.length(c) > 30) <= 0.35) & (F.array_max(F.transform(flat, lambda x: F.length(x))) <= 80) & (share(_wordy) <= 0.15),
         F.lit(False),
     )
 
@@ -178,7 +242,7 @@ def fold_subscripts(rows: Column) -> Column:
     """Cells of two lines with as many words, short ones below, read as base_subscript; other line breaks become blanks."""
 
     def fold(cell: Column) -> Column:
-        parts = F.filter(F.transform(F.split(cell, "\n"), F.trim), lambda x: x != "")
+        parts = F.filter(F.transform(F.split(cell, "\n"), _trim), lambda x: x != "")
         top, low = words(F.get(parts, F.lit(0))), words(F.get(parts, F.lit(1)))
         paired = (F.size(parts) == 2) & (F.size(top) == F.size(low)) & F.forall(low, lambda w: F.length(w) <= 6)
         return F.when(~cell.contains("\n"), cell).when(paired, F.array_join(F.zip_with(top, low, lambda a, b: F.concat(a, F.lit("_"), b)), " ")).otherwise(F.array_join(words(cell), " "))
@@ -192,7 +256,7 @@ def clean_rows(rows: Column) -> Column:
 
 def signature(rows: Column) -> Column:
     """The first 12 of the sorted filled cells: equal for the same table found twice."""
-    return F.slice(F.array_sort(F.transform(F.filter(F.flatten(rows), _filled), F.trim)), 1, 12)
+    return F.slice(F.array_sort(F.transform(F.filter(F.flatten(rows), _filled), _trim)), 1, 12)
 
 
 def caption(page: Column, label: Column) -> Column:
@@ -203,7 +267,7 @@ def caption(page: Column, label: Column) -> Column:
     the label itself.
     """
     number = F.regexp_extract(label, r"Table\s*(\d+)", 1)
-    lines = F.transform(F.split(page, "\n"), F.trim)
+    lines = F.transform(F.split(page, "\n"), _trim)
     at = lambda p: F.array_position(F.transform(lines, lambda x: F.regexp_like(x, F.concat(F.lit(r"^Table\s*"), number, F.lit(p)))), True)
     start = F.when(at(r"\s*:") > 0, at(r"\s*:")).otherwise(at(r"\b")).cast("int")
     numeric = lambda x: F.size(F.filter(words(x), _has_digit)) * 2 > F.size(words(x))

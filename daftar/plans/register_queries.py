@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from daftar.functions import text as tx
-from daftar.functions.metadata import extract
+from daftar.functions.metadata import extract, fields
 from daftar.functions.vectors import dot
 from daftar.operators import catalog, chunking, citations, evaluation, fusion, grounding, integrity, portal, search, tables
 from daftar.session import table
@@ -22,8 +22,12 @@ K = 10
 
 def docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     """Orders once each, with the columns asked for; only those are read."""
-    needed = dict.fromkeys(["doc_id", "ingested_at", "title", *columns])
-    return citations.latest(table(spark, d, "gr_documents").select(*needed))
+    needed = list(dict.fromkeys(["doc_id", "ingested_at", "title", *columns]))
+    stored = table(spark, d, "gr_documents")
+    if "text" not in needed:
+        return citations.latest(stored.select(*needed))
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("__at")
+    return citations.latest_in_place(stored.select(*needed, place), "doc_id", "__at").select(*needed)
 
 
 def chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -124,6 +128,12 @@ def table_chunk_packing(spark, d):
     return tables.table_chunks(docs(spark, d, "text"), "doc_id", "text", 20)
 
 
+def stored_pieces(spark, d):
+    """Every text in its stored form: word windows of its prose, then the chunks of its tables, numbered through."""
+    p = tables.pieces(docs(spark, d, "text"), "doc_id", "text")
+    return p.select("doc_id", "chunk_index", "content_type", "page_start", "page_end", F.md5("chunk_text").alias("digest"))
+
+
 def prose_without_tables(spark, d):
     return tables.prose(docs(spark, d, "text"), "doc_id", "text").select("doc_id", F.length("prose_text").alias("n_chars"), F.md5("prose_text").alias("digest"))
 
@@ -247,9 +257,14 @@ def hybrid_answer_context(spark, d):
 
 
 def header_metadata(spark, d):
-    """What the header of every text says of its order."""
+    """What the header of every text says of its order, but for its references."""
+    return fields(docs(spark, d, "text").select("doc_id", "text"), "doc_id", "text").drop("text")
+
+
+def header_references(spark, d):
+    """The references that every text prints, in order."""
     m = extract(docs(spark, d, "text").select("doc_id", "text"), "doc_id", "text")
-    return m.select("doc_id", "gr_number", "date", "department", "title", "category", "language", F.size("refs").alias("n_refs"), "supersedes")
+    return m.select("doc_id", "supersedes", F.posexplode("refs").alias("pos", "ref")).select("doc_id", "pos", "ref.number", "ref.date", "supersedes")
 
 
 def piece_ids(spark, d):
@@ -641,8 +656,8 @@ def truncate_from_id(spark, d):
 
 
 _NAMES = """source_citations source_citations_resolved source_answer_metrics source_failure_labels superseding_substring canonical_backfill reference_reparse neighbour_arcs prompt_sizes default_answers own_conversations active_user_lookup
-conversation_cascade message_sources hybrid_answer_context header_metadata piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
-short_titles page_split chunk_windows chunk_counts table_runs table_sentences table_chunk_packing prose_without_tables dense_topk
+conversation_cascade message_sources hybrid_answer_context header_metadata header_references piece_ids tokenize_counts term_document_frequency canonical_numbers language_detect token_estimate categories date_from_id number_shape
+short_titles page_split chunk_windows chunk_counts table_runs table_sentences table_chunk_packing stored_pieces prose_without_tables dense_topk
 dense_topk_filtered dense_topk_by_modality dense_score_for_id bm25_fts_topk bm25_okapi_topk bm25_filtered_overfetch related_documents
 ann_cell_recall rrf_fuse per_document_cap gate_and_floor empty_filter_abstains rerank_lexical merge_user_uploads upload_hybrid_no_floor
 edges_build edge_counts edges_outgoing edges_incoming graph_stats dangling_references supersede_chain neighbourhood_depth1

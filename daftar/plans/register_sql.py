@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from daftar.operators.timestamps import MONTHS
+
 _DOCS = """docs AS (SELECT * FROM gr_documents WHERE doc_id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ingested_at DESC NULLS LAST, title DESC NULLS LAST) = 1)"""
 _CHUNKS = """chunks AS (SELECT * FROM gr_chunks WHERE faiss_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY faiss_id) = 1)"""
@@ -21,6 +23,27 @@ def estimate(x: str, rate: float) -> str:
     return f"floor(1.33::DOUBLE * len(regexp_extract_all({x}, '[A-Za-z0-9]+')) + {rate}::DOUBLE * len(regexp_extract_all({x}, '[ऀ-ॿ]')))::INT"
 
 
+_SIGNS = r"[\s.:：ः–-]*"
+_MONTH = "CASE lower(mon) " + " ".join(f"WHEN '{n}' THEN {m}" for m, names in MONTHS.items() for n in names.split() if len(n) > 3 or not n.isascii() or n == "may") + " END"
+
+
+def real_day(y: str, m: str, d: str) -> str:
+    return f"CASE WHEN {y} BETWEEN 1900 AND 2035 THEN strftime(try_cast(printf('%04d-%02d-%02d', {y}::INT, {m}::INT, {d}::INT) AS DATE), '%Y-%m-%d') END"
+
+
+_HEADER = (
+    _DOCS
+    + r""", h0 AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l,
+    nullif(trim(regexp_extract(text, '(?:शासन निर्णय|शासन आदेश|आदेश|परिपत्रक|अधिसूचना)\s*(?:क्रमांक|क्र)SIGNS([^\n]+)', 1)), '') AS n1,
+    nullif(trim(regexp_extract(text, '(?:Government Resolution No|Government Order No|G\.R\. No|G\. R\. No|GR No|G\.R\.No|GRNo)SIGNS([^\n]+)', 1)), '') AS n2,
+    translate(regexp_extract(text, '(?:दिनांक|दिनाक|तारीख|Dated|Date)SIGNS([^\n]+)', 1), '०१२३४५६७८९', '0123456789') AS day,
+    nullif(trim(regexp_extract(text, '(?s)(?:विषय|Subject)\s*[:：ः]SIGNS(.*?)(?:\n\s*(?:वाचा|संदर्भ|Reference|Read|प्रस्तावना|शासन निर्णय|Preamble)\s*[:：ः]|\z)', 1)), '') AS subject FROM docs),
+h1 AS (SELECT *, regexp_extract(day, '([0-9]{1,2})\s+([^\s,]+)[,\s]+([0-9]{4})', ['d', 'mon', 'y']) AS w, regexp_extract_all(day, '[0-9][0-9/.-]*[0-9]') AS runs FROM h0),
+h2 AS (SELECT *, w.mon AS mon, string_split_regex(list_filter(runs, lambda r: regexp_matches(r, '^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$'))[1], '[/.-]') AS a,
+  string_split(list_filter(runs, lambda r: regexp_matches(r, '^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$'))[1], '-') AS b FROM h1),
+h3 AS (SELECT *, CASE WHEN a[3]::INT >= 100 THEN a[3]::INT WHEN a[3]::INT < 70 THEN a[3]::INT + 2000 ELSE a[3]::INT + 1900 END AS year FROM h2)""".replace("SIGNS", _SIGNS)
+)
+
 _PAGES = r"""pg AS (SELECT doc_id, text, regexp_extract_all(text, '(?m)^#\s*Page\s*(\d+)\s*$', 1) AS n,
     regexp_split_to_array(text, '(?m)^#\s*Page\s*(\d+)\s*$') AS b FROM docs WHERE text IS NOT NULL),
 pages AS (
@@ -206,6 +229,17 @@ ORACLE = {
         WHEN contains(text, 'शासन आदेश') OR contains(lower(text), 'government order') THEN 'government order (GO)' WHEN contains(text, 'परिपत्रक') OR contains(lower(text), 'circular') THEN 'circular'
         WHEN contains(text, 'अधिसूचना') OR contains(lower(text), 'notification') THEN 'notification' WHEN contains(text, 'कार्यालयीन आदेश') OR contains(lower(text), 'office order') THEN 'office order' END AS category
         FROM docs WHERE text IS NOT NULL""",
+    "header_metadata": "WITH " + _HEADER + r""" SELECT doc_id, substring(nullif(trim(regexp_replace(regexp_replace(coalesce(n1, n2),
+          '(?:^|[^ऀ-ॿ])(?:दिनांक|दिनाक|तारीख|दि|Dated|Date|Dt)SIGNS[0-9०-९].*$|\s{2,}.*$|।.*$', ''), '\s+', ' ', 'g'), ' .,;:।-–'), ''), 1, 80) AS gr_number,
+        coalesce(NAMED, DAYFIRST, YEARFIRST) AS date,
+        regexp_replace(coalesce(list_filter(l, lambda x: ends_with(x, 'विभाग') AND length(x) <= 65)[1], list_filter(l, lambda x: ends_with(x, 'Department') AND length(x) <= 70)[1]), '\s+', ' ', 'g') AS department,
+        substring(regexp_replace(coalesce(subject, list_filter(l, lambda x: length(x) > 25 AND NOT starts_with(x, '#') AND NOT contains(x, 'महाराष्ट्र शासन'))[1]), '\s+', ' ', 'g'), 1, 300) AS title,
+        CASE WHEN contains(text, 'शासन निर्णय') OR contains(lower(text), 'government resolution') THEN 'government resolution (GR)'
+          WHEN contains(text, 'शासन आदेश') OR contains(lower(text), 'government order') THEN 'government order (GO)' WHEN contains(text, 'परिपत्रक') OR contains(lower(text), 'circular') THEN 'circular'
+          WHEN contains(text, 'अधिसूचना') OR contains(lower(text), 'notification') THEN 'notification' WHEN contains(text, 'कार्यालयीन आदेश') OR contains(lower(text), 'office order') THEN 'office order' END AS category,
+        CASE WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) + len(regexp_extract_all(text, '[A-Za-z]')) = 0 THEN NULL
+          WHEN len(regexp_extract_all(text, '[ऀ-ॿ]')) >= len(regexp_extract_all(text, '[A-Za-z]')) THEN 'mr' ELSE 'en' END AS language FROM h3""".replace("SIGNS", _SIGNS)
+    .replace("NAMED", real_day("try_cast(w.y AS INT)", f"({_MONTH})", "try_cast(w.d AS INT)")).replace("DAYFIRST", real_day("year", "a[2]", "a[1]")).replace("YEARFIRST", real_day("b[1]::INT", "b[2]", "b[3]")),
     "date_from_id": r"SELECT DISTINCT doc_id, CASE WHEN regexp_matches(doc_id, '^\d{8}') THEN doc_id[1:4] || '-' || doc_id[5:6] || '-' || doc_id[7:8] END AS day FROM gr_documents",
     "number_shape": r"""SELECT DISTINCT dst_number, contains(dst_number, '/') AND length(dst_number) <= 80 AND regexp_matches(dst_number, '[\d०-९]')
         AND NOT regexp_matches(dst_number, '^[\d०-९]{1,4}[/.\-][\d०-९]{1,2}[/.\-][\d०-९]{2,4}\.?$') AS is_number FROM gr_edges WHERE dst_number IS NOT NULL""",

@@ -29,10 +29,13 @@ def order_files(spark: SparkSession, root: str, suffix: str = ".mr.txt") -> Data
 
 
 def documents(files: DataFrame) -> DataFrame:
-    """Rows of gr_documents from order files: header fields, the folder's department, dates and titles from the id where the header has none."""
-    meta = extract(files, "doc_id", "text").drop("department")
-    joined = files.join(meta, "doc_id")
-    return joined.withColumn("date", F.coalesce("date", date_from_id(F.col("doc_id")))).withColumn("title", F.coalesce("title", "doc_id"))
+    """Rows of gr_documents from order files, one per file: header fields, the folder's department, dates and titles from the id where the header has none.
+
+    Header and file columns come from one pass over the text, without a join, so
+    two files of one id give two rows.
+    """
+    named = extract(files.withColumn("__folder", F.col("department")), "doc_id", "text").drop("department").withColumnRenamed("__folder", "department")
+    return named.withColumn("date", F.coalesce("date", date_from_id(F.col("doc_id")))).withColumn("title", F.coalesce("title", "doc_id"))
 
 
 def pieces(docs: DataFrame, first_id: int = 0) -> DataFrame:

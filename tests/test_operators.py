@@ -51,6 +51,32 @@ def test_tables(spark):
     assert packed == ["Table: H1 | H2\nIn this row: H1 is d1, H2 is d2.", "Table: H1 | H2\nIn this row: H1 is d3."]
 
 
+def test_stored_pieces(spark):
+    rows = "| H | K |\n|---|---|\n| a | 1 |\n| b | 2 |"
+    texts = {"a": f"lost\n# Page 2\nw1 w2 w3\n{rows}\nw4\n# Page 3\n{rows}", "b": "w " * 5, "c": rows, "d": None, "e": "", "f": "| lone | x |", "g": f"{rows}\n# Page 9\nw"}
+    df = spark.createDataFrame([(k, v, k) for k, v in texts.items()], "id string, text string, chunk_text string")
+    got = {}
+    for r in tables.pieces(df, "id", "text", 4, 1).orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append((r["chunk_index"], r["content_type"], r["page_start"], r["page_end"], r["chunk_text"]))
+    said = [f"Table: H | K\nIn this row: H is {x}, K is {n}." for x, n in (("a", 1), ("b", 2))]
+    table = lambda first, page: [(first + i, "table", page, page, s) for i, s in enumerate(said)]
+    assert got["a"] == [(0, "text", 2, 2, "w1 w2 w3 w4"), (1, "text", 2, 2, "w4"), *table(2, 2), *table(4, 3)]
+    assert got["b"] == [(0, "text", 1, 1, "w w w w"), (1, "text", 1, 1, "w w")] and got["c"] == table(0, 1)
+    assert [x[4] for x in got["f"]] == ["| lone | x", "x |"] and got["g"] == [(0, "text", 9, 9, "w")] and not {"d", "e"} & set(got)
+    assert tables.table_chunks(df, "id", "text").where("id = 'a'").select("first_line", "page").distinct().count() == 2
+
+
+def test_lines_are_trimmed_of_blanks_only(spark):
+    assert one(spark, tables.signature(F.col("x")), x=[["0a1", " b2 "], ["1c", None]]) == ["0a1", "1c", "b2"]
+
+
+def test_latest_where_rows_lie(spark):
+    rows = [("a", 1, "x", "old", 0), ("a", 2, "x", "new", 1), ("b", None, None, "b", 2), ("a", 2, "x", "new", 3), (None, 9, "z", "none", 4)]
+    df = spark.createDataFrame(rows, "doc_id string, ingested_at int, title string, text string, at int")
+    assert sorted(tuple(r) for r in citations.latest_in_place(df, "doc_id", "at").select("doc_id", "text").collect()) == [("a", "new"), ("b", "b")]
+    assert citations.latest_in_place(df.limit(0), "doc_id", "at").count() == 0
+
+
 def test_table_rows(spark):
     grid = [["Model", "", ""], ["", "EN-DE", "EN-FR"], ["base", "27", "38"], ["big", "28", "41"]]
     assert one(spark, tables.merge_gapped_header(F.col("x")), x=grid)[0] == ["Model", "EN-DE", "EN-FR"]

@@ -5,15 +5,15 @@ from daftar.sources import register
 from daftar.streaming import ingest
 
 HEADER = """# Page 1
-अंगणवाडी सेविकांच्या मानधनाबाबत सुधारित सूचना देण्याबाबत.
+पाणी पुरवठा कामांच्या देखभालीबाबत सुधारित सूचना देण्याबाबत.
 महाराष्ट्र शासन
-महिला व बाल विकास विभाग
-शासन निर्णय क्रमांक: मबाल-२०२२/प्र.क्र.७/का-३
+पाणी पुरवठा विभाग
+शासन निर्णय क्रमांक: पापु-२०२२/प्र.क्र.७/का-३
 दिनांक: ५ मार्च, २०२२
-संदर्भ: १) शासन निर्णय, महिला व बाल विकास विभाग, क्र. मबाल-२०१८/(१९३/१०) /का-३, दि. ३०.१०.२०१८.
-२) शासन निर्णय क्र. महिला व बाल विकास विभाग, क्र. मबाल २०१९/प्र.क्र. १३६/का-३, दिनांक - १८/०७/२०१९.
-३) मबाल-२०१८/(१९३/१०)/का-३
-४) मबाल-२०२२/प्र.क्र.७/का-३, दि. ०१/०१/२०२०
+संदर्भ: १) शासन निर्णय, पाणी पुरवठा विभाग, क्र. पापु-२०१८/(४४/१८) /का-३, दि. १२.११.२०१८.
+२) शासन निर्णय क्र. पाणी पुरवठा विभाग, क्र. पापु २०१९/प्र.क्र. २१/का-३, दिनांक - १८/०७/२०१९.
+३) पापु-२०१८/(४४/१८)/का-३
+४) पापु-२०२२/प्र.क्र.७/का-३, दि. ०१/०१/२०२०
 प्रस्तावना: सदर शासन निर्णय अधिक्रमित करण्यात येत आहे.
 """
 
@@ -22,9 +22,9 @@ def test_header(spark):
     df = spark.createDataFrame([("a", HEADER), ("b", None), ("c", ""), ("d", "Government Resolution No.: EDU-2020/C.R.5/D-1 Dated 3 May 2020\nDate: 15 June 2023\nLearning Department\nSubject: The meal.\nRead: nothing here")], "id string, text string")
     got = {r["id"]: r for r in metadata.extract(df, "id", "text").collect()}
     a = got["a"]
-    assert (a["gr_number"], a["date"], a["department"], a["language"], a["supersedes"]) == ("मबाल-२०२२/प्र.क्र.७/का-३", "2022-03-05", "महिला व बाल विकास विभाग", "mr", True)
-    assert a["title"].startswith("अंगणवाडी") and a["category"] == "government resolution (GR)"
-    assert [tuple(r) for r in a["refs"]] == [("मबाल-२०१८/(१९३/१०) /का-३", "2018-10-30"), ("मबाल २०१९/प्र.क्र. १३६/का-३", "2019-07-18")]
+    assert (a["gr_number"], a["date"], a["department"], a["language"], a["supersedes"]) == ("पापु-२०२२/प्र.क्र.७/का-३", "2022-03-05", "पाणी पुरवठा विभाग", "mr", True)
+    assert a["title"].startswith("पाणी पुरवठा कामांच्या") and a["category"] == "government resolution (GR)"
+    assert [tuple(r) for r in a["refs"]] == [("पापु-२०१८/(४४/१८) /का-३", "2018-11-12"), ("पापु २०१९/प्र.क्र. २१/का-३", "2019-07-18")]
     assert got["b"]["gr_number"] is None and got["b"]["refs"] in (None, []) and got["c"]["title"] is None
     d = got["d"]
     assert (d["gr_number"], d["date"], d["department"], d["title"], d["supersedes"]) == ("EDU-2020/C.R.5/D-1", "2020-05-03", "Learning Department", "The meal.", False)
@@ -49,9 +49,12 @@ def test_folder_to_tables(spark, tmp_path):
     docs = register.documents(register.order_files(spark, str(tmp_path)))
     got = {r["doc_id"]: r for r in docs.collect()}
     assert {k: (v["department"], v["date"]) for k, v in got.items()} == {"20240115120000001": ("Crop and Soil", "2022-03-05"), "20240116120000002": ("Crop and Soil", "2024-01-16")}
+    _write(tmp_path, "20240116120000002.mr.txt", "Dated: 2 May 2020", "Other_Office")
+    twice = register.documents(register.order_files(spark, str(tmp_path))).where("doc_id like '%002'")
+    assert {(r["department"], r["date"]) for r in twice.collect()} == {("Crop and Soil", "2024-01-16"), ("Other Office", "2020-05-02")} and twice.count() == 2
     ids = [r["faiss_id"] for r in register.pieces(docs, 7).orderBy("gr_id", "chunk_index").collect()]
     assert ids == list(range(7, 7 + len(ids))) and len(ids) == 4
-    assert "Number: मबाल" in register.as_text(docs).where("doc_id like '%001'").first()["value"]
+    assert "Number: पापु" in register.as_text(docs).where("doc_id like '%001'").first()["value"]
 
 
 def test_upsert_keeps_the_latest(spark):
