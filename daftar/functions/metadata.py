@@ -68,34 +68,53 @@ def trim_number(raw: Column) -> Column:
     return F.nullif(F.btrim(F.regexp_replace(F.get(F.split(raw, end), F.lit(0)), r"\s+", " "), F.lit(_EDGES)), F.lit(""))
 
 
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_MONTH_OF = {n: m for m, names in MONTHS.items() for n in names.split() if len(n) > 3 or not n.isascii() or n == "may"}
+
+
+def _real_day(parts: Column) -> Column:
+    """YYYY-MM-DD of [year, month, day] as numbers; null if the calendar or the span of years has no such day."""
+    text = F.concat_ws("-", *[F.lpad(F.get(parts, F.lit(k)).cast("string"), n, "0") for k, n in enumerate((4, 2, 2))])
+    return F.when(F.get(parts, F.lit(0)).between(*_YEARS), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
+
+
+def _day_of_run(run: Column) -> Column:
+    """The day that a run of digits and separators writes, told by how many digits its parts have: day first, or the year with dashes."""
+    parts = F.transform(F.split(run, "[/.-]"), lambda p: p.try_cast("int"))
+
+    def turned(p: Column) -> Column:
+        short = F.get(p, F.lit(2))
+        return F.array(F.when(short >= 100, short).when(short < 70, short + 2000).otherwise(short + 1900), F.get(p, F.lit(1)), F.get(p, F.lit(0)))
+
+    return F.when(run.rlike(_YEAR_FIRST), _bound(parts, _real_day)).otherwise(_bound(_bound(parts, turned), _real_day))
+
+
+_DAY_FIRST, _YEAR_FIRST = r"^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+
+
 def iso_date(raw: Column) -> Column:
     """The first real date of a line: day month-word year, else day/month/year, else year-month-day.
 
-    Numeric dates are runs of digits and separators, told apart by how many
-    digits their three parts have.  Two-digit years below 70 are 20xx.
+    Numeric dates are whole runs of digits and separators.  Two-digit years
+    below 70 are 20xx.
     """
-    s = tx.ascii_digits(raw)
-    months = F.create_map(*[F.lit(x) for m, names in MONTHS.items() for n in names.split() if len(n) > 3 or not n.isascii() or n == "may" for x in (n, m)])
-    number = lambda parts, k: F.get(parts, F.lit(k)).try_cast("int")
-
-    def real(y: Column, m: Column, d: Column) -> Column:
-        text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-        return F.when(y.between(*_YEARS), F.date_format(F.try_to_date(text, "yyyy-MM-dd"), "yyyy-MM-dd"))
-
-    spelled = F.split(F.regexp_extract(s, r"[0-9]{1,2}\s+[^\s,]+[,\s]+[0-9]{4}", 0), r"[\s,]+")
-    runs = F.regexp_extract_all(s, F.lit(r"[0-9][0-9/.-]*[0-9]"), F.lit(0))
-    width = lambda run, k: F.length(F.get(F.split(run, "[/.-]"), F.lit(k)))
-    three = lambda run: F.size(F.split(run, "[/.-]")) == 3
-    shaped = lambda a, c: lambda run: three(run) & width(run, 0).between(*a) & width(run, 1).between(1, 2) & width(run, 2).between(*c)
-    day_first = F.split(F.get(F.filter(runs, shaped((1, 2), (2, 4))), F.lit(0)), "[/.-]")
-    year_first = F.split(F.get(F.filter(runs, lambda r: shaped((4, 4), (1, 2))(r) & ~r.rlike("[/.]")), F.lit(0)), "-")
-    short = number(day_first, 2)
-    year = F.when(short >= 100, short).when(short < 70, short + 2000).otherwise(short + 1900)
-    return F.coalesce(
-        real(number(spelled, 2), F.try_element_at(months, F.lower(F.get(spelled, F.lit(1)))), number(spelled, 0)),
-        real(year, number(day_first, 1), number(day_first, 0)),
-        real(number(year_first, 0), number(year_first, 1), number(year_first, 2)),
-    )
+    months = F.create_map(*[F.lit(x) for pair in _MONTH_OF.items() for x in pair])
+
+    def of_words(found: Column) -> Column:
+        return _real_day(F.array(F.get(found, F.lit(2)).try_cast("int"), F.try_element_at(months, F.lower(F.get(found, F.lit(1)))), F.get(found, F.lit(0)).try_cast("int")))
+
+    def read(s: Column) -> Column:
+        spelled = F.regexp_extract(s, r"[0-9]{1,2}\s+[^\s,]+[,\s]+[0-9]{4}", 0)
+        by_word = F.when(s.rlike(r"[0-9]\s+[^\s,]+[,\s]+[0-9]"), _bound(F.split(spelled, r"[\s,]+"), of_words))
+        runs = F.regexp_extract_all(s, F.lit(r"[0-9][0-9/.-]*[0-9]"), F.lit(0))
+        first = lambda shape: F.get(F.filter(runs, lambda r: r.rlike(shape)), F.lit(0))
+        return F.coalesce(by_word, _bound(first(_DAY_FIRST), _day_of_run), _bound(first(_YEAR_FIRST), _day_of_run))
+
+    return F.when(raw.rlike("[0-9०-९]"), _bound(tx.ascii_digits(raw), read))
 
 
 _REFS = T.ArrayType(T.StructType([T.StructField("number", T.StringType()), T.StructField("dated", T.StringType())]))
@@ -153,13 +172,14 @@ def fields(df: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))  # one argument, or the index would be taken for the characters to trim
     opening = F.get(F.filter(lines, lambda x: (F.length(x) > 25) & ~x.startswith("#") & ~x.contains(STATE)), F.lit(0))
     number = F.coalesce(_rest_of_line(t, rf"{_any(ORDER_KINDS)}\s*{_any(NUMBER_WORDS[:1] + NUMBER_WORDS[2:3])}"), _rest_of_line(t, _any(ENGLISH_NUMBER)))
-    ending = lambda w: F.get(F.filter(lines, lambda x: x.endswith(w) & (F.length(x) <= 60 + len(w))), F.lit(0))
+    office = lambda all_: F.coalesce(*[F.get(F.filter(all_, ends_with(w)), F.lit(0)) for w in DEPARTMENT_WORDS])
+    ends_with = lambda w: lambda x: x.endswith(w) & (F.length(x) <= 60 + len(w))
     subject = _some(section(t, SUBJECT_WORDS, REFERENCE_WORDS + BODY_WORDS, True))
     return df.select(
         key,
         F.substring(trim_number(number), 1, 80).alias("gr_number"),
         iso_date(_rest_of_line(t, _any(tuple(w for w in DATE_WORDS if len(w) > 2)))).alias("date"),
-        F.regexp_replace(F.coalesce(*map(ending, DEPARTMENT_WORDS)), r"\s+", " ").alias("department"),
+        F.regexp_replace(_bound(lines, office), r"\s+", " ").alias("department"),
         F.substring(F.regexp_replace(F.coalesce(subject, opening), r"\s+", " "), 1, 300).alias("title"),
         tx.category(t).alias("category"), tx.script_language(t).alias("language"), *[c for c in df.columns if c not in _FIELDS + (key,)],
     )
@@ -177,10 +197,13 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
     itself; a date is read only from its own reference.  Null texts give nulls.
     """
     out = fields(df, key, text).withColumn("__refs", printed_references(reference_block(F.col(text))))
-    refs = F.transform("__refs", lambda r: F.struct(r["number"].alias("number"), iso_date(r["dated"]).alias("date"), tx.canonical_number(r["number"]).alias("canon")))
-    out = out.withColumn("__own", tx.canonical_number(F.col("gr_number"))).withColumn("__refs", refs)
-    canons = F.transform("__refs", lambda r: r["canon"])
-    once = F.filter("__refs", lambda r, i: r["canon"].isNotNull() & ~F.coalesce(r["canon"] == F.col("__own"), F.lit(False)) & (F.array_position(canons, r["canon"]) == i + 1))
-    out = out.withColumn("refs", F.transform(once, lambda r: F.struct(r["number"].alias("number"), r["date"].alias("date"))))
+    out = out.withColumn("__own", tx.canonical_number(F.col("gr_number")))
+    canons = F.transform("__refs", lambda r: tx.canonical_number(r["number"]))
+
+    def once(known: Column) -> Column:
+        first = lambda r, i: F.get(known, i).isNotNull() & ~F.coalesce(F.get(known, i) == F.col("__own"), F.lit(False)) & (F.array_position(known, F.get(known, i)) == i + 1)
+        return F.filter("__refs", first)
+
+    out = out.withColumn("refs", F.transform(_bound(canons, once), lambda r: F.struct(r["number"].alias("number"), iso_date(r["dated"]).alias("date"))))
     replaces = F.lower(F.col(text)).rlike(_any(REPLACES))
     return out.withColumn("supersedes", F.coalesce((F.size("refs") > 0) & replaces, F.lit(False))).drop("__refs", "__own")
