@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.operators import hierarchy, timestamps
-from daftar.session import table
+from daftar.session import Scratch, table
 
 
 def supersedes(spark: SparkSession, d: str) -> DataFrame:
@@ -18,18 +18,29 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("node_id").alias("doc_id"), "root_id", "depth")
 
 
+def _paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    work, links = Scratch(spark, "orders"), supersedes(spark, d)
+    found = work.write(hierarchy.resolve(links, "src_id", "dst_id"), "resolved")
+    return found, hierarchy.paths(links, "src_id", "dst_id", found)
+
+
 def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     """Each order with its path from the root, and how many later orders stand below it."""
-    found = hierarchy.resolve(supersedes(spark, d), "src_id", "dst_id")
-    below = hierarchy.descendants(found).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_below"))
-    return found.join(below, "node_id", "left").select(
+    found, paths = _paths(spark, d)
+    below = hierarchy.descendants(paths).groupBy(F.col("ancestor_id").alias("node_id")).agg(F.count(F.lit(1)).alias("n_below"))
+    return found.join(paths, "node_id", "left").join(below, "node_id", "left").select(
         F.col("node_id").alias("doc_id"), "root_id", "depth", F.array_join("path", " > ").alias("path"),
         F.coalesce("n_below", F.lit(0).cast("long")).alias("n_below"), "on_cycle",
     )
 
 
 def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(hierarchy.resolve(supersedes(spark, d), "src_id", "dst_id"))
+    return hierarchy.descendants(_paths(spark, d)[1])
+
+
+def p4_other_parents(spark: SparkSession, d: str) -> DataFrame:
+    """Links to a second parent, which no tree can hold."""
+    return hierarchy.other_parents(supersedes(spark, d), "src_id", "dst_id")
 
 
 def _date_values(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +64,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p4_descendants": p4_descendants,
+    "p4_other_parents": p4_other_parents,
     "p6_found": p6_found,
     "p6_status": p6_status,
 }
@@ -82,6 +94,8 @@ ORACLE = {
     + """, below AS (SELECT a AS doc_id, count(*) AS n_below FROM (SELECT unnest(path[1:len(path) - 1]) AS a FROM res WHERE path IS NOT NULL) GROUP BY a)
 SELECT r.doc_id, root_id, depth::INT AS depth, array_to_string(path, ' > ') AS path, coalesce(n_below, 0) AS n_below, on_cycle
 FROM res r LEFT JOIN below b ON r.doc_id = b.doc_id""",
+    "p4_other_parents": """SELECT DISTINCT src_id AS node_id, dst_id AS parent_id FROM (SELECT *, min(dst_id) OVER (PARTITION BY src_id) AS low FROM gr_edges
+        WHERE lower(trim(kind)) = 'supersedes' AND src_id IS NOT NULL AND dst_id IS NOT NULL) WHERE dst_id <> low""",
     "p4_descendants": _TREE
     + """, x AS (SELECT doc_id AS node_id, depth, path, unnest(range(len(path))) AS cur FROM res WHERE path IS NOT NULL)
 SELECT path[cur + 1] AS ancestor_id, node_id, (depth - cur)::INT AS distance FROM x WHERE cur < depth""",

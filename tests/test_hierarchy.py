@@ -23,7 +23,9 @@ def brute(links):
 
 def resolved(spark, links):
     df = spark.createDataFrame(links, "c string, p string")
-    return {r["node_id"]: (r["root_id"], r["depth"], r["path"], r["on_cycle"]) for r in hierarchy.resolve(df, "c", "p").collect()}
+    found = hierarchy.resolve(df, "c", "p")
+    path = {r["node_id"]: r["path"] for r in hierarchy.paths(df, "c", "p", found).collect()}
+    return {r["node_id"]: (r["root_id"], r["depth"], path.get(r["node_id"]), r["on_cycle"]) for r in found.collect()}
 
 
 def test_random_forests_with_cycles(spark):
@@ -48,5 +50,19 @@ def test_empty(spark):
 
 def test_descendants(spark):
     df = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("x", "x")], "c string, p string")
-    got = {(r["ancestor_id"], r["node_id"], r["distance"]) for r in hierarchy.descendants(hierarchy.resolve(df, "c", "p")).collect()}
+    got = {(r["ancestor_id"], r["node_id"], r["distance"]) for r in hierarchy.descendants(hierarchy.paths(df, "c", "p", hierarchy.resolve(df, "c", "p"))).collect()}
     assert got == {("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)}
+
+
+def test_other_parents(spark):
+    df = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "c"), ("a", "b"), ("d", "b"), ("d", None), (None, "b"), ("e", "e"), ("e", "d")], "c string, p string")
+    assert sorted(tuple(r) for r in hierarchy.other_parents(df, "c", "p").collect()) == [("a", "c"), ("e", "e")]
+
+
+def test_chain_of_many(spark):
+    """A chain and a ring far deeper than any list should be."""
+    n = 4_000
+    df = spark.range(n - 1).selectExpr("format_string('%06d', id + 1) c", "format_string('%06d', id) p").union(spark.range(n).selectExpr("format_string('r%06d', id) c", "format_string('r%06d', (id + 1) % 4000) p"))
+    out = hierarchy.resolve(df, "c", "p")
+    assert out.where("root_id = '000000' and depth = cast(node_id as int) and not on_cycle").count() == n
+    assert out.where("root_id = 'r000000' and depth = -1 and on_cycle").count() == n
