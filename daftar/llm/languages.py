@@ -206,7 +206,7 @@ def fit(labelled: list[tuple[str, str]]) -> Profiles:
         for script, words in pool:
             if found := profiles.nearest(words):
                 counts[found[0], script].update(words)
-    return Profiles({k: c for k, c in counts.items() if sum(c.values()) >= 500} or counts)
+    return Profiles(counts)
 
 
 def sample(docs: DataFrame, key: str, label: str, text: str, size: int = SAMPLE_DOCUMENTS) -> list[tuple[str, str]]:

@@ -15,8 +15,10 @@ their container by a join on those ranges.
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -127,14 +129,17 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return ranges, max(n_bins, 1 if histogram.get(0) else 0)
 
 
+_RANK_BITS = 40  # ranks within one length stay below 2 ** 40
+SLICES = 256  # of a group of equal texts, so that one length may hold any share of all rows
+
+
 def ranked(df: DataFrame, group: list[str], key: list[str]) -> DataFrame:
     """``df`` plus ``rank`` from 0 within ``group``, in no particular but a repeatable order.
 
     A group is ranked in slices by hash, whose sizes give the offsets, so one
     length may hold any share of all rows.
     """
-    slices = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    df = df.withColumn("__slice", F.pmod(F.xxhash64(*key), F.lit(slices)).cast("int"))
+    df = df.withColumn("__slice", F.pmod(F.xxhash64(*key), F.lit(SLICES)).cast("int"))
     sizes = df.groupBy(*group, "__slice").agg(F.count(F.lit(1)).alias("__n"))
     before = W.partitionBy(*group).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*group, "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
@@ -143,15 +148,32 @@ def ranked(df: DataFrame, group: list[str], key: list[str]) -> DataFrame:
 
 
 def pack(all_items: DataFrame, key: str, usable: dict[str, int]) -> DataFrame:
-    """``all_items`` plus ``bin_no``: the container each item stands in. Items of no size stand in container 0."""
-    spark = all_items.sparkSession
-    slots = []
+    """``all_items`` plus ``bin_no``: the container each item stands in. Items of no size stand in container 0.
+
+    The plan of a container size goes to the tasks as sorted arrays of (length,
+    first rank) with the containers they begin at; an item finds its range by
+    binary search.
+    """
+    plans = {}
     for r in _histograms(all_items):
-        ranges, _ = plan(dict(r["h"]), usable[r["container"]])
-        slots += [(r["container"], *x) for x in ranges] + ([(r["container"], 0, 0, 1 << 62, 0)] if any(k == 0 for k, _ in r["h"]) else [])
-    table = spark.createDataFrame(slots, "container string, tokens int, lo bigint, hi bigint, first bigint")
-    placed = ranked(all_items, ["container", "tokens"], [key, "part"]).join(F.broadcast(table), ["container", "tokens"]).where("rank >= lo and rank < hi")
-    return placed.withColumn("bin_no", F.when(F.col("tokens") == 0, 0).otherwise(F.col("first") + F.col("rank") - F.col("lo"))).drop("lo", "hi", "first", "rank")
+        ranges = sorted(plan(dict(r["h"]), usable[r["container"]])[0]) or [(0, 0, 0, 0)]
+        length, lo, _, first = (np.array(x, np.int64) for x in zip(*ranges))
+        plans[r["container"]] = ((length << _RANK_BITS) + lo, lo, first)
+    shared = all_items.sparkSession.sparkContext.broadcast(plans)  # bounded by the capacities, not by the number of texts
+    placed = ranked(all_items, ["container", "tokens"], [key, "part"])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            tokens, rank, names = b["tokens"].to_numpy(np.int64), b.pop("rank").to_numpy(np.int64), b["container"].to_numpy()
+            bins = np.zeros(len(b), np.int64)
+            for name, (keys, lo, first) in shared.value.items():
+                mine = np.flatnonzero((names == name) & (tokens > 0))
+                at = np.searchsorted(keys, (tokens[mine] << _RANK_BITS) + rank[mine], "right") - 1
+                bins[mine] = first[at] + rank[mine] - lo[at]
+            yield b.assign(bin_no=bins)
+
+    columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in all_items.schema]
+    return placed.select(*all_items.columns, F.col("rank").cast("bigint").alias("rank")).mapInPandas(place, ", ".join([*columns, "bin_no bigint"]))
 
 
 def _histograms(all_items: DataFrame) -> list:
@@ -162,16 +184,13 @@ def _histograms(all_items: DataFrame) -> list:
 
 def bucket_batches(all_items: DataFrame, key: str, usable: dict[str, int], n_buckets: int = 32) -> DataFrame:
     """``all_items`` plus ``bucket`` (its upper length) and ``batch_no`` within it: as many texts as fit when padded to that length."""
-    spark = all_items.sparkSession
-    rows = []
+    bucket = None
     for r in _histograms(all_items):
-        lower = -1  # texts of no size belong to the first bucket
-        uppers = length_buckets(dict(r["h"]), n_buckets)
-        if not uppers:  # nothing but such texts
-            rows.append((r["container"], lower, 0, (1 << 31) - 1))
-        for upper in uppers:
-            rows.append((r["container"], lower, upper, usable[r["container"]] // upper))
-            lower = upper
-    bounds = spark.createDataFrame(rows, "container string, lower int, bucket int, per_batch int")
-    inside = all_items.join(F.broadcast(bounds), "container").where("tokens > lower and tokens <= bucket").drop("lower")
-    return ranked(inside, ["container", "bucket"], [key, "part"]).withColumn("batch_no", F.floor(F.col("rank") / F.col("per_batch"))).drop("rank", "per_batch")
+        # Texts of no size belong to the first bucket; where nothing else is, to one of size 0.
+        uppers = F.lit(sorted(length_buckets(dict(r["h"]), n_buckets)) or [0])
+        inside = F.get(F.filter(uppers, lambda u: u >= F.col("tokens")), F.lit(0))
+        bucket = F.when(F.col("container") == r["container"], inside) if bucket is None else bucket.when(F.col("container") == r["container"], inside)
+    room = F.create_map(*[F.lit(x) for kv in usable.items() for x in kv])[F.col("container")]
+    placed = all_items.withColumn("bucket", (F.lit(0) if bucket is None else bucket).cast("int"))
+    per_batch = F.when(F.col("bucket") > 0, F.floor(room / F.col("bucket"))).otherwise(F.lit((1 << 31) - 1))
+    return ranked(placed, ["container", "bucket"], [key, "part"]).withColumn("batch_no", F.floor(F.col("rank") / per_batch)).drop("rank")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +33,12 @@ def measured(df: DataFrame, text: str, path: str = TOKENIZER) -> DataFrame:
     rest = [c for c in df.columns if c != text and c != "n_tokens"]
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "n_tokens int"])
 
+    # The file goes with the job, so executors need no copy of their own.
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(path)
+        enc = encoding(SparkFiles.get(name))
         for b in batches:
             texts = b.pop("__text")
             b["n_tokens"] = pd.Series([len(enc.encode_ordinary(t)) for t in texts], index=b.index, dtype="int32")
