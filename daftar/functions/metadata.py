@@ -68,11 +68,6 @@ def trim_number(raw: Column) -> Column:
     return F.nullif(F.btrim(F.regexp_replace(F.get(F.split(raw, end), F.lit(0)), r"\s+", " "), F.lit(_EDGES)), F.lit(""))
 
 
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once, however often ``body`` uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 _MONTH_OF = {n: m for m, names in MONTHS.items() for n in names.split() if len(n) > 3 or not n.isascii() or n == "may"}
 
 
@@ -90,7 +85,7 @@ def _day_of_run(run: Column) -> Column:
         short = F.get(p, F.lit(2))
         return F.array(F.when(short >= 100, short).when(short < 70, short + 2000).otherwise(short + 1900), F.get(p, F.lit(1)), F.get(p, F.lit(0)))
 
-    return F.when(run.rlike(_YEAR_FIRST), _bound(parts, _real_day)).otherwise(_bound(_bound(parts, turned), _real_day))
+    return F.when(run.rlike(_YEAR_FIRST), tx.bound(parts, _real_day)).otherwise(tx.bound(tx.bound(parts, turned), _real_day))
 
 
 _DAY_FIRST, _YEAR_FIRST = r"^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
@@ -109,12 +104,12 @@ def iso_date(raw: Column) -> Column:
 
     def read(s: Column) -> Column:
         spelled = F.regexp_extract(s, r"[0-9]{1,2}\s+[^\s,]+[,\s]+[0-9]{4}", 0)
-        by_word = F.when(s.rlike(r"[0-9]\s+[^\s,]+[,\s]+[0-9]"), _bound(F.split(spelled, r"[\s,]+"), of_words))
+        by_word = F.when(s.rlike(r"[0-9]\s+[^\s,]+[,\s]+[0-9]"), tx.bound(F.split(spelled, r"[\s,]+"), of_words))
         runs = F.regexp_extract_all(s, F.lit(r"[0-9][0-9/.-]*[0-9]"), F.lit(0))
         first = lambda shape: F.get(F.filter(runs, lambda r: r.rlike(shape)), F.lit(0))
-        return F.coalesce(by_word, _bound(first(_DAY_FIRST), _day_of_run), _bound(first(_YEAR_FIRST), _day_of_run))
+        return F.coalesce(by_word, tx.bound(first(_DAY_FIRST), _day_of_run), tx.bound(first(_YEAR_FIRST), _day_of_run))
 
-    return F.when(raw.rlike("[0-9०-९]"), _bound(tx.ascii_digits(raw), read))
+    return F.when(raw.rlike("[0-9०-९]"), tx.bound(tx.ascii_digits(raw), read))
 
 
 _REFS = T.ArrayType(T.StructType([T.StructField("number", T.StringType()), T.StructField("dated", T.StringType())]))
@@ -179,7 +174,7 @@ def fields(df: DataFrame, key: str, text: str) -> DataFrame:
         key,
         F.substring(trim_number(number), 1, 80).alias("gr_number"),
         iso_date(_rest_of_line(t, _any(tuple(w for w in DATE_WORDS if len(w) > 2)))).alias("date"),
-        F.regexp_replace(_bound(lines, office), r"\s+", " ").alias("department"),
+        F.regexp_replace(tx.bound(lines, office), r"\s+", " ").alias("department"),
         F.substring(F.regexp_replace(F.coalesce(subject, opening), r"\s+", " "), 1, 300).alias("title"),
         tx.category(t).alias("category"), tx.script_language(t).alias("language"), *[c for c in df.columns if c not in _FIELDS + (key,)],
     )
@@ -204,6 +199,6 @@ def extract(df: DataFrame, key: str, text: str) -> DataFrame:
         first = lambda r, i: F.get(known, i).isNotNull() & ~F.coalesce(F.get(known, i) == F.col("__own"), F.lit(False)) & (F.array_position(known, F.get(known, i)) == i + 1)
         return F.filter("__refs", first)
 
-    out = out.withColumn("refs", F.transform(_bound(canons, once), lambda r: F.struct(r["number"].alias("number"), iso_date(r["dated"]).alias("date"))))
+    out = out.withColumn("refs", F.transform(tx.bound(canons, once), lambda r: F.struct(r["number"].alias("number"), iso_date(r["dated"]).alias("date"))))
     replaces = F.lower(F.col(text)).rlike(_any(REPLACES))
     return out.withColumn("supersedes", F.coalesce((F.size("refs") > 0) & replaces, F.lit(False))).drop("__refs", "__own")

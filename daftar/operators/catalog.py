@@ -81,3 +81,35 @@ def recent(df: DataFrame, group: str, order: list, n: int) -> DataFrame:
     w = W.partitionBy(group)
     last = df.withColumn("__k", F.row_number().over(w.orderBy(*order))).where(F.col("__k") <= n)
     return last.withColumn("place", F.max("__k").over(w) - F.col("__k") + 1).drop("__k")
+
+
+def by_id(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The orders of the asked ids (doc_id), one row each."""
+    return docs.join(asked.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def from_pieces(chunks: DataFrame) -> DataFrame:
+    """(doc_id, content_type, page_start, n_pieces): the orders that a store of pieces knows, with the metadata of their first piece."""
+    first = F.min_by(F.struct("content_type", "page_start"), F.struct("chunk_index", "faiss_id"))
+    return chunks.groupBy(F.col("gr_id").alias("doc_id")).agg(first.alias("m"), F.count(F.lit(1)).alias("n_pieces")).where("doc_id is not null").select("doc_id", "m.content_type", "m.page_start", "n_pieces")
+
+
+def hay(*names: Column) -> Column:
+    """All names of an order in one text, in which an expected name is looked for."""
+    return F.concat_ws(" ", *names)
+
+
+def doc_key(*names: Column) -> Column:
+    """The first name that is not empty."""
+    return F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
+
+
+def table_info(df: DataFrame) -> DataFrame:
+    """(cid, name, type): the columns of a table."""
+    return df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "cid int, name string, type string")
+
+
+def merged(core: DataFrame, extra: DataFrame, key: str) -> DataFrame:
+    """``core`` with the columns of ``extra`` it lacks; where both have one, the core's stands, null or not."""
+    more = [c for c in extra.columns if c != key and c not in core.columns]
+    return core.join(extra.select(key, *more), key, "left")

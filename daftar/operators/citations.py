@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -38,36 +40,37 @@ def latest_in_place(docs: DataFrame, key: str, at: str, order: tuple[str, ...] =
     return docs.where(F.col(key).isNotNull()).join(F.broadcast(rest) if few else rest, at, "left_anti").drop(at)
 
 
-def build_edges(docs: DataFrame) -> DataFrame:
+def build_edges(docs: DataFrame, progress: Callable[[str], None] | None = None) -> DataFrame:
     """(src_id, dst_id, dst_number, dst_canon, kind, resolution, dst_date, by_date) of ``docs`` (doc_id, gr_number, date, refs, supersedes).
 
     Per document a canonical number counts once, in its first printed form.  It
     is dangling if no other document has it, resolved if one does, and also if
     several do but one alone has the cited date; else ambiguous.  A number that
-    only the document itself has gives no edge.
+    only the document itself has gives no edge.  ``progress`` is told each step
+    as it is planned.
     """
+    tell = progress or (lambda step: None)
+    tell("references")
     targets = docs.select(F.col("doc_id").alias("t_id"), canonical_number(F.col("gr_number")).alias("dst_canon"), F.col("date").alias("t_date")).where("dst_canon is not null")
     refs = docs.select("doc_id", "supersedes", F.posexplode("refs").alias("pos", "ref")).select(
         F.col("doc_id").alias("src_id"), "supersedes", "pos", F.col("ref.number").alias("dst_number"), F.col("ref.date").alias("dst_date"), canonical_number(F.col("ref.number")).alias("dst_canon")
     ).where("dst_canon is not null")
     first = refs.groupBy("src_id", "dst_canon").agg(F.min_by(F.struct("supersedes", "dst_number", "dst_date"), "pos").alias("r")).select("src_id", "dst_canon", "r.*")
-    # Candidates are summed up per number before the join, so a number cited by a third of all rows meets one row.
-    by_number = targets.groupBy("dst_canon").agg(F.count(F.lit(1)).alias("n"), F.min("t_id").alias("one"))
-    by_day = targets.where("t_date is not null").groupBy("dst_canon", F.col("t_date").alias("dst_date")).agg(F.count(F.lit(1)).alias("n_day"), F.min("t_id").alias("day_one"))
-    own = targets.select(F.col("t_id").alias("src_id"), "dst_canon", F.col("t_date").alias("own_date"))
-    e = first.join(by_number, "dst_canon", "left").join(own, ["src_id", "dst_canon"], "left").join(by_day, ["dst_canon", "dst_date"], "left")
-    e = e.join(targets.select(F.col("t_id").alias("src_id"), "dst_canon", F.lit(True).alias("is_own")), ["src_id", "dst_canon"], "left").withColumn("is_own", F.coalesce("is_own", F.lit(False)))
-    others = F.coalesce("n", F.lit(0)) - F.col("is_own").cast("int")
-    same_day = F.coalesce("n_day", F.lit(0)) - F.coalesce((F.col("is_own") & (F.col("own_date") == F.col("dst_date"))).cast("int"), F.lit(0))
-    e = e.withColumn("others", others).withColumn("same_day", same_day).where("not (others = 0 and is_own)")
-    lone = targets.select("dst_canon", "t_id", "t_date")
-    # The other document: the smallest id unless that is the source itself.
-    second = lone.groupBy("dst_canon").agg(F.max("t_id").alias("top"))
-    e = e.join(second, "dst_canon", "left")
-    day_top = lone.where("t_date is not null").groupBy("dst_canon", F.col("t_date").alias("dst_date")).agg(F.max("t_id").alias("day_top"))
-    e = e.join(day_top, ["dst_canon", "dst_date"], "left")
+    # Candidates are summed up per number before the join, so a number cited by a third of all rows meets one row. The
+    # smallest and the largest id give the other document where there is one other.
+    few = lambda keys, n, lo, hi: targets.groupBy(*keys).agg(F.count(F.lit(1)).alias(n), F.min("t_id").alias(lo), F.max("t_id").alias(hi))
+    tell("candidates")
+    by_number = few(["dst_canon"], "n", "one", "top")
+    by_day = few(["dst_canon", "t_date"], "n_day", "day_one", "day_top").where("t_date is not null").withColumnRenamed("t_date", "dst_date")
+    own = targets.select(F.col("t_id").alias("src_id"), "dst_canon", F.col("t_date").alias("own_date"), F.lit(True).alias("own"))
+    e = first.join(by_number, "dst_canon", "left").join(by_day, ["dst_canon", "dst_date"], "left").join(own, ["src_id", "dst_canon"], "left")
+    is_own = F.coalesce("own", F.lit(False))
+    others = F.coalesce("n", F.lit(0)) - is_own.cast("int")
+    same_day = F.coalesce("n_day", F.lit(0)) - F.coalesce((is_own & (F.col("own_date") == F.col("dst_date"))).cast("int"), F.lit(0))
+    e = e.withColumn("others", others).withColumn("same_day", same_day).where(~((F.col("others") == 0) & is_own))
     other = F.when(F.col("one") != F.col("src_id"), F.col("one")).otherwise(F.col("top"))
     day_other = F.when(F.col("day_one") != F.col("src_id"), F.col("day_one")).otherwise(F.col("day_top"))
+    tell("edges")
     by_date = (F.col("others") > 1) & (F.col("same_day") == 1)
     return e.select(
         "src_id",
@@ -204,3 +207,78 @@ def reference_changes(stored: DataFrame, parsed: DataFrame) -> DataFrame:
     longest = F.explode_outer("b").alias("x")
     lengths = both.select(longest).agg(F.percentile(F.length("x"), F.lit(0.5)).alias("median_length"))
     return both.agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(F.col("a") != F.col("b"), 1)).alias("n_changed")).crossJoin(lengths)  # one row each
+
+
+def nodes(docs: DataFrame) -> DataFrame:
+    """(doc_id, gr_number, date, title, department): what a drawing says of an order; titles are cut to 120 characters."""
+    return docs.select("doc_id", "gr_number", "date", F.substring(F.coalesce("title", F.lit("")), 1, 120).alias("title"), "department")
+
+
+def outgoing(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The edges from the asked orders (doc_id), resolved or not."""
+    return edges.join(asked.select(F.col("doc_id").alias("src_id")).distinct(), "src_id", "left_semi")
+
+
+def incoming(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """The edges to the asked orders (doc_id)."""
+    return edges.join(asked.select(F.col("doc_id").alias("dst_id")).distinct(), "dst_id", "left_semi")
+
+
+def neighbour_edges(edges: DataFrame, near: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(root_id, src, dst, kind) of the resolved edges within a neighbourhood, and (root_id, src_id, gr_number, date, kind, resolution) of what dangles from it.
+
+    ``near`` is what ``neighbourhood`` gave.  Only nodes nearer than ``depth``
+    are expanded: an edge needs such an end and both ends among the nodes, an
+    unresolved reference such a source.
+    """
+    inner = near.where(F.col("distance") < depth).select("root_id", "node_id")
+    solid = edges.where("resolution = 'resolved' and dst_id is not null").select("src_id", "dst_id", "kind").distinct()
+    out = solid.join(inner, F.col("src_id") == F.col("node_id")).drop("node_id")
+    into = solid.join(inner, F.col("dst_id") == F.col("node_id")).drop("node_id")
+    touching = out.unionByName(into).distinct()
+    inside = touching.join(near.select("root_id", F.col("node_id").alias("src_id")), ["root_id", "src_id"], "left_semi").join(near.select("root_id", F.col("node_id").alias("dst_id")), ["root_id", "dst_id"], "left_semi")
+    loose = edges.where("resolution <> 'resolved' or dst_id is null").join(inner, F.col("src_id") == F.col("node_id"))
+    ghosts = loose.select("root_id", "src_id", F.col("dst_number").alias("gr_number"), F.col("dst_date").alias("date"), "kind", "resolution").distinct()
+    return inside.select("root_id", F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "kind"), ghosts
+
+
+def supersession(docs: DataFrame, edges: DataFrame, chain: DataFrame, asked: DataFrame) -> DataFrame:
+    """One row per asked id: doc_id, found, gr_number, declares, n_cites, n_held, superseded_by, chain.
+
+    ``chain`` is what ``chains`` gave, of which ``superseded_by`` is the first
+    and ``chain`` all orders.  An id that the register lacks is not found and
+    says nothing else.
+    """
+    cites = outgoing(edges, asked).groupBy(F.col("src_id").alias("doc_id")).agg(F.countDistinct("dst_number").alias("n_cites"), F.countDistinct("dst_id").alias("n_held"))
+    later = chain.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("hop", "next_id"))), lambda x: x["next_id"]).alias("chain"))
+    held = docs.select("doc_id", "gr_number", F.coalesce("supersedes", F.lit(False)).alias("declares"), F.lit(True).alias("found"))
+    out = asked.select("doc_id").distinct().join(held, "doc_id", "left").join(cites, "doc_id", "left").join(later, "doc_id", "left")
+    zero = lambda c: F.when(F.col("found"), F.coalesce(c, F.lit(0))).alias(c)
+    return out.select("doc_id", F.coalesce("found", F.lit(False)).alias("found"), "gr_number", F.coalesce("declares", F.lit(False)).alias("declares"), zero("n_cites"), zero("n_held"), F.get("chain", F.lit(0)).alias("superseded_by"), "chain")
+
+
+def held_numbers(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, doc_id): for each asked number the smallest id whose number contains it; null if none does.
+
+    All asked numbers are searched in each distinct number once.
+    """
+    numbers = docs.where("gr_number is not null").groupBy("gr_number").agg(F.min("doc_id").alias("doc_id"))
+    met = containing(numbers.select(F.col("gr_number").alias("row_id"), F.col("gr_number").alias("text")), asked.select(F.col("asked").alias("pattern")))
+    first = met.join(numbers, F.col("row_id") == F.col("gr_number")).groupBy(F.col("pattern").alias("asked")).agg(F.min("doc_id").alias("doc_id"))
+    return asked.select("asked").distinct().join(first, "asked", "left")
+
+
+def departments_cited(blocks: DataFrame, names: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(department, n_documents, held) over reference blocks, and one row (n_documents, with_block, unattributed).
+
+    ``blocks`` has doc_id and block (empty without one), ``names`` department
+    and fragment, any of which in a block counts for the department; ``held``
+    department, those the register has.
+    """
+    filled = blocks.where("block <> ''")
+    met = containing(filled.select(F.col("doc_id").alias("row_id"), F.col("block").alias("text")), names.select(F.col("fragment").alias("pattern")))
+    hits = met.join(names.select(F.col("fragment").alias("pattern"), "department").distinct(), "pattern").select(F.col("row_id").alias("doc_id"), "department").distinct()
+    counted = hits.groupBy("department").agg(F.count(F.lit(1)).alias("n_documents")).join(held.select("department", F.lit(True).alias("held")).distinct(), "department", "left")
+    named = blocks.select("doc_id", (F.col("block") != "").alias("has")).join(hits.select("doc_id", F.lit(True).alias("hit")).distinct(), "doc_id", "left")
+    total = named.agg(F.count(F.lit(1)).alias("n_documents"), F.count(F.when(F.col("has"), 1)).alias("with_block"), F.count(F.when(F.col("has") & F.col("hit").isNull(), 1)).alias("unattributed"))
+    return counted.withColumn("held", F.coalesce("held", F.lit(False))), total

@@ -7,8 +7,16 @@ from pyspark.sql import functions as F
 
 from daftar.operators.grounding import prose
 
-# How a refusal reads.
-REFUSAL = r"(?i)not (?:found|available|contained|mentioned)|no (?:information|relevant)|cannot (?:answer|find)|माहिती (?:उपलब्ध )?नाही|आढळ(?:ली|ले|ला) नाही|सापडली नाही"
+# The wordings of a refusal, by intent.
+NOT_THERE = ("found", "available", "contained", "mentioned", "covered")
+DOES_NOT = ("cover", "contain", "provide", "include", "mention", "have")
+NONE_OF = ("information", "relevant")
+UNABLE = ("cannot", "could not", "unable to")
+NOT_IN_MARATHI = ("माहिती नाही", "माहिती उपलब्ध नाही", "उपलब्ध नाही", "समाविष्ट नाही", "नमूद नाही", "आढळत नाही", "आढळली नाही", "आढळले नाही", "आढळला नाही", "सापडली नाही")
+REFUSAL = (
+    f"(?i)not (?:{'|'.join(NOT_THERE)})|no (?:{'|'.join(NONE_OF)})|(?:{'|'.join(UNABLE)}) (?:answer|find)|nothing (?:about|on)"
+    f"|(?:does|do) not (?:appear to |seem to )?(?:{'|'.join(DOES_NOT)})|{'|'.join(NOT_IN_MARATHI)}"
+)
 
 
 def ranking_quality(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
@@ -55,3 +63,33 @@ def answer_flags(log: DataFrame) -> DataFrame:
     inside = F.array(F.when(~F.col("grounded"), "PHANTOM"), main)
     labels = F.when(F.col("in_corpus"), inside).otherwise(F.array(F.when(~F.col("refused"), "NO-ABSTAIN")))
     return df.withColumn("labels", F.filter(labels, lambda x: x.isNotNull()))
+
+
+def first_match(hits: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, top): the first rank whose names contain one of the expected ones; null for a miss.
+
+    ``hits`` has query_id, rank and hay, ``expected`` query_id and name; an empty
+    name matches nothing.
+    """
+    names = expected.where("name <> ''").groupBy("query_id").agg(F.collect_set("name").alias("names"))
+    met = hits.join(names, "query_id").where(F.exists("names", lambda e: F.col("hay").contains(e))).groupBy("query_id").agg(F.min("rank").alias("top"))
+    return expected.select("query_id").distinct().join(met, "query_id", "left")
+
+
+def latencies(log: DataFrame, stage: str, seconds: str, slow: float = 10.0) -> DataFrame:
+    """(stage, n, p50, longest, n_slow) of a log of timed steps."""
+    return log.where(F.col(seconds).isNotNull()).groupBy(stage).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.percentile(seconds, F.lit(0.5)), 3).alias("p50"), F.round(F.max(seconds), 3).alias("longest"), F.count(F.when(F.col(seconds) > slow, 1)).alias("n_slow")
+    )
+
+
+def verified(tops: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, passed): known questions against what retrieval gave.
+
+    ``tops`` has query_id, hay, text and low_confidence of the best hit;
+    ``expected`` query_id, name, number (what the text must contain, or null)
+    and outside.  A question outside the corpus passes if nothing was confident.
+    """
+    j = expected.join(tops, "query_id", "left")
+    inside = F.col("hay").contains(F.col("name")) & (F.col("number").isNull() | F.col("text").contains(F.col("number")))
+    return j.select("query_id", F.when(F.col("outside"), F.coalesce("low_confidence", F.lit(True))).otherwise(F.coalesce(inside, F.lit(False))).alias("passed"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,3 +62,18 @@ def without(conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> t
     """Both tables without the conversations ``gone`` (id) and their messages."""
     ids = gone.select("id").distinct()
     return conversations.join(ids, "id", "left_anti"), messages.join(ids.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_anti")
+
+
+def appended(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The stored rows and the new ones; a row whose id is stored already is not added again, one with a null id is."""
+    return stored.unionByName(new.join(stored.select(key).distinct(), key, "left_anti"), allowMissingColumns=True)
+
+
+def allowed(role: Column, roles: list[str]) -> Column:
+    """Whether a role may act; no role may not."""
+    return F.coalesce(role.isin(roles), F.lit(False))
+
+
+def answer_language(role: Column, asked: Column, may_force: list[str]) -> Column:
+    """The language asked for, if the role may force one; else ``auto``."""
+    return F.when(allowed(role, may_force), F.coalesce(asked, F.lit("auto"))).otherwise("auto")

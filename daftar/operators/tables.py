@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daftar.functions.text import words
+from daftar.functions.text import bound, words
 from daftar.operators.chunking import MARK, window_array
 
 PIPE, DASH = r"(?U)^\s*\|.*\|.*\|", r"(?U)^\s*[-|─—\s]{4,}\s*$"
@@ -242,16 +242,21 @@ def fold_subscripts(rows: Column) -> Column:
     """Cells of two lines with as many words, short ones below, read as base_subscript; other line breaks become blanks."""
 
     def fold(cell: Column) -> Column:
-        parts = F.filter(F.transform(F.split(cell, "\n"), _trim), lambda x: x != "")
+        return F.when(~cell.contains("\n"), cell).otherwise(bound(F.filter(F.transform(F.split(cell, "\n"), _trim), lambda x: x != ""), lambda parts: joined(cell, parts)))
+
+    def joined(cell: Column, parts: Column) -> Column:
         top, low = words(F.get(parts, F.lit(0))), words(F.get(parts, F.lit(1)))
         paired = (F.size(parts) == 2) & (F.size(top) == F.size(low)) & F.forall(low, lambda w: F.length(w) <= 6)
-        return F.when(~cell.contains("\n"), cell).when(paired, F.array_join(F.zip_with(top, low, lambda a, b: F.concat(a, F.lit("_"), b)), " ")).otherwise(F.array_join(words(cell), " "))
+        return F.when(paired, F.array_join(F.zip_with(top, low, lambda a, b: F.concat(a, F.lit("_"), b)), " ")).otherwise(F.array_join(words(cell), " "))
 
     return F.transform(rows, lambda r: F.transform(r, fold))
 
 
 def clean_rows(rows: Column) -> Column:
-    return drop_prose_rows(merge_sparse_header(strip_caption(merge_gapped_header(fold_subscripts(rows)))))
+    """All of these in turn; each step's outcome is computed once."""
+    for step in (fold_subscripts, merge_gapped_header, strip_caption, merge_sparse_header, drop_prose_rows):
+        rows = bound(rows, step)
+    return rows
 
 
 def signature(rows: Column) -> Column:
@@ -277,3 +282,36 @@ def caption(page: Column, label: Column) -> Column:
     parts = F.concat(F.slice(lines, start, F.lit(1)), F.slice(after, 1, n))
     joined = F.aggregate(parts, F.lit(""), lambda a, x: F.when(a == "", x).when(a.endswith("-"), F.concat(F.substring(a, F.lit(1), F.length(a) - 1), x)).otherwise(F.concat(a, F.lit(" "), x)))
     return F.when((number != "") & (start > 0), F.substring(F.array_join(words(joined), " "), 1, 500)).otherwise(F.trim(label))
+
+
+def without_markdown_tables(text: Column) -> Column:
+    """A text without its markdown tables: a line with a bar, a separator line of bars, dashes and colons under it, and the lines with bars that follow."""
+    lines = F.split(text, "\n")
+    # One letter a line: s separator, b bar, o other. A table is ``[bs]s[bs]*``.
+    letter = lambda x: F.when(~x.contains("|"), "o").when(x.rlike(r"^[\s|:\- ]*$"), "s").otherwise("b")
+
+    def kept(all_: Column) -> Column:
+        kinds = F.array_join(F.transform(all_, letter), "")
+        marks = F.split(F.regexp_replace(F.regexp_replace(kinds, "[bs]s[bs]*", "<$0>"), "", " "), " ")
+        depth = F.aggregate(
+            F.filter(marks, lambda m: m != ""), F.struct(F.lit(False).alias("inside"), F.array().cast("array<boolean>").alias("out")),
+            lambda a, m: F.when(m == "<", F.struct(F.lit(True).alias("inside"), a["out"].alias("out"))).when(m == ">", F.struct(F.lit(False).alias("inside"), a["out"].alias("out")))
+            .otherwise(F.struct(a["inside"].alias("inside"), F.array_append(a["out"], a["inside"]).alias("out"))), lambda a: a["out"],
+        )
+        return F.array_join(F.filter(all_, lambda x, i: ~F.get(depth, i)), "\n")
+
+    return bound(lines, kept)
+
+
+def first_of_equal(df: DataFrame, rows: str, within: list[str], order: list[str]) -> DataFrame:
+    """``df`` with the first by ``order`` of tables of equal ``signature`` in each group ``within``; empty signatures are all kept."""
+    sign = df.withColumn("__s", signature(F.col(rows)))
+    key = F.struct(*order)
+    first = sign.groupBy(*within, "__s").agg(F.min(key).alias("__first"))
+    met = sign.join(first, [*within, "__s"]).where((F.size("__s") == 0) | (key == F.col("__first")))
+    return met.drop("__s", "__first")
+
+
+def rows_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, first_line, rows): every table of a text as its rows of cells, the header first."""
+    return _tables(df, key, text).select(key, "first_line", F.col("__rows").alias("rows"))

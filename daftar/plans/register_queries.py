@@ -321,12 +321,6 @@ def supersede_warnings(spark, d):
     return citations.warnings(docs(spark, d, "gr_number", "date"), supersede_chain(spark, d))
 
 
-def supersede_fallback_scan(spark, d):
-    """Orders that say they replace others, by the numbers they print: what is known before edges are built."""
-    printed = docs(spark, d, "supersedes", "refs").where("supersedes").select("doc_id", F.explode("refs").alias("r")).select("doc_id", tx.canonical_number(F.col("r.number")).alias("canon")).where("canon is not null").distinct()
-    return printed.groupBy("canon").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc"))
-
-
 def citation_presence(spark, d):
     """Cited numbers and whether the register holds an order of that number."""
     cited = edges(spark, d).select("dst_canon").where("dst_canon is not null").groupBy("dst_canon").agg(F.count(F.lit(1)).alias("n"))
@@ -334,13 +328,6 @@ def citation_presence(spark, d):
     return cited.join(held, "dst_canon", "left")
 
 
-def cited_departments(spark, d):
-    """Orders whose text names a department, by department."""
-    names = table(spark, d, "gr_documents").select(F.col("department").alias("pattern"))
-    met = search.containing(docs(spark, d, "text").select(F.col("doc_id").alias("row_id"), "text"), names)
-    return met.groupBy(F.col("pattern").alias("department")).agg(F.count(F.lit(1)).alias("n_documents"))
-
-
 def superseding_substring(spark, d):
     """Orders that claim to replace the numbers of the orders whose id ends in 00, by containment."""
     asked = docs(spark, d, "gr_number").where("doc_id rlike '00$' and gr_number is not null").select(F.col("gr_number").alias("asked"))
@@ -439,19 +426,6 @@ def _answers(spark, d):
     return table(spark, d, "messages").where("lower(trim(role)) = 'assistant' and content is not null").select("id", "content").distinct()
 
 
-def citations_valid_phantom(spark, d):
-    valid, phantom = grounding.cited(F.col("content"), F.lit(3))
-    return _answers(spark, d).select("id", F.array_join(valid.cast("array<string>"), ",").alias("valid"), F.array_join(phantom.cast("array<string>"), ",").alias("phantom"))
-
-
-def citations_resolved(spark, d):
-    """Each valid citation of an answer with the numbered block it names, here the first three pieces by id of the register."""
-    valid, _ = grounding.cited(F.col("content"), F.lit(3))
-    blocks = chunks(spark, d).select(F.col("faiss_id").alias("row_id"), "gr_id").orderBy("row_id").limit(3).withColumn("block_no", F.row_number().over(W.orderBy("row_id")))
-    cited = _answers(spark, d).select("id", F.explode(valid).alias("block_no"))
-    return cited.join(F.broadcast(blocks), "block_no").select("id", "block_no", "gr_id")
-
-
 def _sourced_answers(spark, d):
     """Answers with their own numbered sources, and the citations of them."""
     m = table(spark, d, "messages").where("lower(trim(role)) = 'assistant' and content is not null").select("id", "content", "sources").distinct()
@@ -461,7 +435,7 @@ def _sourced_answers(spark, d):
 
 
 def source_citations(spark, d):
-    """As citations_valid_phantom, but against the sources that each answer lists."""
+    """The numbers an answer cites: those of the sources it lists, and those of none."""
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
     return _sourced_answers(spark, d).select("id", join("valid"), join("phantom"))
 
@@ -488,11 +462,6 @@ def prompt_messages(spark, d):
     return p.select("query_id", F.size("messages").alias("n_messages"), F.md5(F.get("messages", F.lit(1))["content"]).alias("digest"))
 
 
-def compare_six_per_side(spark, d):
-    c = chunks(spark, d).where("text is not null").select(F.col("gr_id").alias("doc_id"), "faiss_id", "chunk_index")
-    return search.best(c, ["doc_id"], ["chunk_index", "faiss_id"], 6).select("doc_id", "faiss_id", "rank")
-
-
 def prompt_sizes(spark, d):
     kept = grounding.trim(_evidence(spark, d), 1000).select("query_id", "block_no", "text").withColumnRenamed("text", "block")
     p = grounding.prompts(kept, questions(spark, d), "Answer only from the numbered blocks.", "Cite the blocks you use.")
@@ -582,27 +551,6 @@ def suggested_threshold(spark, d):
     return evaluation.threshold(_scored(spark, d))
 
 
-def recall_at_k(spark, d):
-    """How many of the exact ten nearest rows a search of one half of the components still finds."""
-    half = lambda df: df.withColumn("vec", F.slice("vec", 1, 32))
-    return evaluation.recall(search.dense_topk(half(vectors(spark, d)), half(vector_queries(spark, d)), K), dense_topk(spark, d), K)
-
-
-def _log(spark, d):
-    valid, phantom = grounding.cited(F.col("content"), F.lit(3))
-    a = _answers(spark, d).select("id", F.col("content").alias("answer"), valid.alias("sources"), phantom.alias("phantom"))
-    return evaluation.answer_flags(a.withColumn("correct", F.exists("sources", lambda x: x == 1)).withColumn("in_corpus", F.substring("id", -1, 1) < "8"))
-
-
-def answer_metrics(spark, d):
-    n = lambda c, a: F.count(F.when(F.col(c), 1)).alias(a)
-    return _log(spark, d).groupBy("in_corpus").agg(F.count(F.lit(1)).alias("n"), n("cited", "cited"), n("grounded", "grounded"), n("correct", "correct"), n("degenerate", "degenerate"), n("refused", "refused"))
-
-
-def failure_labels(spark, d):
-    return _log(spark, d).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _source_log(spark, d):
     """Answers by their own sources. The tables name no expected order: an answer with sources counts as in the corpus, and as right if it cites the first of them."""
     a = _sourced_answers(spark, d).select("id", F.col("content").alias("answer"), F.col("valid").alias("sources"), "phantom", (F.size("blocks") > 0).alias("in_corpus"), F.try_element_at("blocks", F.lit(1))["n"].alias("first"))
@@ -610,13 +558,13 @@ def _source_log(spark, d):
 
 
 def source_answer_metrics(spark, d):
-    """As answer_metrics, but by the sources that each answer lists."""
+    """How many answers cite, are grounded, right, degenerate or refusals."""
     n = lambda c, a: F.count(F.when(F.col(c), 1)).alias(a)
     return _source_log(spark, d).groupBy("in_corpus").agg(F.count(F.lit(1)).alias("n"), n("cited", "cited"), n("grounded", "grounded"), n("correct", "correct"), n("degenerate", "degenerate"), n("refused", "refused"))
 
 
 def source_failure_labels(spark, d):
-    """As failure_labels, but by the sources that each answer lists."""
+    """What is wrong with the answers."""
     return _source_log(spark, d).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -635,12 +583,6 @@ def empty_documents(spark, d):
     return integrity.orphans(docs(spark, d).select("doc_id"), chunks(spark, d), "doc_id", "gr_id")
 
 
-def alignment_sample(spark, d):
-    """The worst self-similarity of the stored vectors, all of them."""
-    v = vectors(spark, d)
-    return v.select(F.round(dot(F.col("vec"), F.col("vec")), 4).alias("self")).agg(F.count(F.lit(1)).alias("n"), F.min("self").alias("worst"))
-
-
 def upsert_keep_latest(spark, d):
     return docs(spark, d, "gr_number", "date").select("doc_id", "gr_number", "date", "title", "ingested_at")
 
@@ -661,12 +603,12 @@ short_titles page_split chunk_windows chunk_counts table_runs table_sentences ta
 dense_topk_filtered dense_topk_by_modality dense_score_for_id bm25_fts_topk bm25_okapi_topk bm25_filtered_overfetch related_documents
 ann_cell_recall rrf_fuse per_document_cap gate_and_floor empty_filter_abstains rerank_lexical merge_user_uploads upload_hybrid_no_floor
 edges_build edge_counts edges_outgoing edges_incoming graph_stats dangling_references supersede_chain neighbourhood_depth1
-neighbourhood_depth2 supersede_warnings supersede_fallback_scan citation_presence cited_departments list_documents_page
+neighbourhood_depth2 supersede_warnings citation_presence list_documents_page
 list_documents_total find_document document_chunks corpus_stats stats_by_department facet_filter_ids document_text_joined
-context_trim_budget format_blocks history_window_budget recency_window citations_valid_phantom citations_resolved hard_abstention
-abstain_language prompt_messages compare_six_per_side conversation_list daily_token_quota audit_latest feedback_summary token_bucket
-hit_at_k_mrr score_separation suggested_threshold recall_at_k answer_metrics failure_labels dense_id_space orphan_chunks
-empty_documents alignment_sample upsert_keep_latest resume_anti_join truncate_from_id"""
+context_trim_budget format_blocks history_window_budget recency_window hard_abstention
+abstain_language prompt_messages conversation_list daily_token_quota audit_latest feedback_summary token_bucket
+hit_at_k_mrr score_separation suggested_threshold dense_id_space orphan_chunks
+empty_documents upsert_keep_latest resume_anti_join truncate_from_id"""
 
 QUERIES = {name: globals()[name] for name in _NAMES.split()}
 

@@ -183,12 +183,13 @@ t1 AS (SELECT *, block_no = 1 OR spent <= {budget} AS kept FROM t0),
 tr AS (SELECT *, sum(CASE WHEN kept THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS dropped FROM t1)"""
 
 
-_ANSWERS = r"""WITH an AS (SELECT DISTINCT id, content FROM messages WHERE lower(trim(role)) = 'assistant' AND content IS NOT NULL),
-ci AS (SELECT id, content, list_sort(list_distinct(list_transform(regexp_extract_all(content, '\[(\d{1,9})\]', 1), lambda x: x::INT))) AS c FROM an),
-cv AS (SELECT id, content, list_filter(c, lambda x: x BETWEEN 1 AND 3) AS valid, list_filter(c, lambda x: x NOT BETWEEN 1 AND 3) AS phantom FROM ci),
-fl AS (SELECT *, substr(id, -1, 1) < '8' AS in_corpus, len(valid) > 0 AS cited, len(phantom) = 0 AS grounded, list_contains(valid, 1) AS correct,
+_ANSWERS = r"""WITH an0 AS (SELECT DISTINCT id, content, sources FROM messages WHERE lower(trim(role)) = 'assistant' AND content IS NOT NULL),
+an AS (SELECT id, content, list_filter(coalesce(TRY(json_transform(try_cast(sources AS JSON), '[{"n": "INTEGER", "gr_number": "VARCHAR"}]')), []), lambda s: s.n IS NOT NULL) AS blocks FROM an0),
+ci AS (SELECT id, content, blocks, list_transform(blocks, lambda s: s.n) AS ns, list_sort(list_distinct(list_transform(regexp_extract_all(content, '\[(\d{1,9})\]', 1), lambda x: x::INT))) AS c FROM an),
+cv AS (SELECT id, content, blocks, ns, list_filter(c, lambda x: list_contains(ns, x)) AS valid, list_filter(c, lambda x: NOT list_contains(ns, x)) AS phantom FROM ci),
+fl AS (SELECT *, len(blocks) > 0 AS in_corpus, len(valid) > 0 AS cited, len(phantom) = 0 AS grounded, coalesce(list_contains(valid, ns[1]), FALSE) AS correct,
     length(trim(regexp_replace(content, '\[\d+\]', '', 'g'))) < 15 AS degenerate,
-    regexp_matches(content, '(?i)not (?:found|available|contained|mentioned)|no (?:information|relevant)|cannot (?:answer|find)|माहिती (?:उपलब्ध )?नाही|आढळ(?:ली|ले|ला) नाही|सापडली नाही') AS refused FROM cv)"""
+    regexp_matches(content, '(?i)not (?:found|available|contained|mentioned|covered)|no (?:information|relevant)|(?:cannot|could not|unable to) (?:answer|find)|nothing (?:about|on)|(?:does|do) not (?:appear to |seem to )?(?:cover|contain|provide|include|mention|have)|माहिती (?:उपलब्ध )?नाही|(?:उपलब्ध|समाविष्ट|नमूद) नाही|आढळ(?:त|ली|ले|ला) नाही|सापडली नाही') AS refused FROM cv)"""
 
 _RERANKED = f"""cp AS (SELECT fu.query_id, row_id, fused_rank FROM fu JOIN chunks ON faiss_id = row_id WHERE fused_rank <= 120 QUALIFY row_number() OVER (PARTITION BY fu.query_id, gr_id ORDER BY fused_rank) <= 2),
 c4 AS (SELECT * FROM cp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused_rank) <= 40),
@@ -291,10 +292,8 @@ ORACLE = {
     "supersede_warnings": _CHAIN + """, x AS (SELECT ch.doc_id, hop, coalesce(d.gr_number, '?') || ' (' || coalesce(d.date, 'unknown date') || ')' AS nm FROM ch JOIN docs d ON d.doc_id = next_id),
         y AS (SELECT doc_id, max(hop) AS hops, arg_min(nm, hop) AS a, arg_max(nm, hop) AS z FROM x GROUP BY doc_id)
         SELECT doc_id, 'Order ' || gr_number || ' was replaced by ' || a || CASE WHEN hops > 1 THEN ', later by ' || z || ', the latest known.' ELSE '.' END AS warning FROM y JOIN docs USING (doc_id) WHERE gr_number IS NOT NULL""",
-    "supersede_fallback_scan": "WITH " + _DOCS + f", p AS (SELECT doc_id, unnest(refs) AS r FROM docs WHERE supersedes) SELECT canon, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT DISTINCT doc_id, {canon('r.number')} AS canon FROM p) WHERE canon IS NOT NULL GROUP BY canon",
     "citation_presence": "WITH " + _DOCS + ", " + _EDGES + f""", c AS (SELECT dst_canon, count(*) AS n FROM edges WHERE dst_canon IS NOT NULL GROUP BY dst_canon),
         h AS (SELECT {canon('gr_number')} AS dst_canon, min(doc_id) AS doc_id FROM docs GROUP BY 1) SELECT c.dst_canon, n, doc_id FROM c LEFT JOIN h ON h.dst_canon = c.dst_canon""",
-    "cited_departments": "WITH " + _DOCS + ", n AS (SELECT DISTINCT department FROM gr_documents WHERE department IS NOT NULL) SELECT n.department, count(*) AS n_documents FROM docs JOIN n ON contains(text, n.department) GROUP BY n.department",
     "list_documents_page": "WITH " + _DOCS + """ SELECT doc_id, gr_number, date, title FROM docs WHERE coalesce(title ILIKE '%the%', FALSE) OR coalesce(gr_number ILIKE '%the%', FALSE) OR doc_id ILIKE '%the%'
         ORDER BY date DESC NULLS LAST, doc_id DESC LIMIT 50 OFFSET 50""",
     "list_documents_total": "WITH " + _DOCS + " SELECT count(*) AS total FROM docs WHERE coalesce(title ILIKE '%the%', FALSE) OR coalesce(gr_number ILIKE '%the%', FALSE) OR doc_id ILIKE '%the%'",
@@ -317,14 +316,12 @@ ORACLE = {
     "recency_window": """WITH m AS (SELECT DISTINCT id, conversation_id, created_at FROM messages WHERE conversation_id IS NOT NULL),
         l AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY created_at DESC NULLS LAST, id DESC) <= 6)
         SELECT conversation_id, id, row_number() OVER (PARTITION BY conversation_id ORDER BY created_at NULLS FIRST, id)::INT AS place FROM l""",
-    "citations_valid_phantom": _ANSWERS + " SELECT id, array_to_string(valid, ',') AS valid, array_to_string(phantom, ',') AS phantom FROM cv",
-    "citations_resolved": _ANSWERS + ", " + _CHUNKS + """, b AS (SELECT row_number() OVER (ORDER BY faiss_id)::INT AS block_no, gr_id FROM chunks QUALIFY block_no <= 3), v AS (SELECT id, unnest(valid) AS block_no FROM cv)
-        SELECT id, block_no, gr_id FROM v JOIN b USING (block_no)""",
+    "source_citations": _ANSWERS + " SELECT id, array_to_string(valid, ',') AS valid, array_to_string(phantom, ',') AS phantom FROM cv",
+    "source_citations_resolved": _ANSWERS + " SELECT DISTINCT id, s.n AS block_no, s.gr_number AS gr_number FROM (SELECT id, unnest(list_filter(blocks, lambda b: list_contains(valid, b.n))) AS s FROM cv)",
     "hard_abstention": _HITS60 + ', t AS (SELECT query_id, max(score) AS "top" FROM dn WHERE row_id <> query_id GROUP BY query_id) SELECT query_id, "top", "top" < 0.30 AS abstains FROM t',
     "abstain_language": "SELECT DISTINCT ON (id, content) id, CASE WHEN regexp_matches(content, '[ऀ-ॿ]') THEN 'mr' ELSE 'en' END AS language FROM messages WHERE content IS NOT NULL",
     "prompt_messages": _TRIM + ", " + trimmed(1000) + """, bl AS (SELECT query_id, string_agg('[' || block_no || '] ' || text, chr(10) || chr(10) ORDER BY block_no) AS ctx FROM tr WHERE kept GROUP BY query_id)
         SELECT qu.query_id, 2 AS n_messages, md5('Context:' || chr(10) || coalesce(ctx, '') || chr(10) || chr(10) || 'Question: ' || qu.text || chr(10) || 'Cite the blocks you use.') AS digest FROM qu LEFT JOIN bl USING (query_id)""",
-    "compare_six_per_side": "WITH " + _CHUNKS + " SELECT gr_id AS doc_id, faiss_id, row_number() OVER (PARTITION BY gr_id ORDER BY chunk_index NULLS FIRST, faiss_id)::INT AS rank FROM chunks WHERE text IS NOT NULL QUALIFY rank <= 6",
     "conversation_list": """WITH c AS (SELECT DISTINCT id, user_id, title, created_at FROM conversations), n AS (SELECT conversation_id, count(DISTINCT id) AS n FROM messages GROUP BY 1)
         SELECT id, user_id, title, created_at, coalesce(n, 0) AS n_messages FROM c LEFT JOIN n ON conversation_id = id""",
     "daily_token_quota": 'SELECT user_id, ts::DATE::VARCHAR AS "day", round(sum(value), 4) AS used, round(greatest(500.0 - sum(value), 0), 4) AS remaining FROM events GROUP BY 1, 2',
@@ -335,18 +332,14 @@ ORACLE = {
     "score_separation": _SCORED + " SELECT kind, count(*) AS n, round(quantile_cont(score, 0.1), 6) AS p10, round(quantile_cont(score, 0.5), 6) AS p50, round(quantile_cont(score, 0.9), 6) AS p90 FROM sc GROUP BY kind",
     "suggested_threshold": _SCORED + """, q AS (SELECT quantile_cont(score, 0.25) FILTER (kind = 'keep') AS lo, quantile_cont(score, 0.75) FILTER (kind = 'reject') AS hi FROM sc)
         SELECT round((lo + hi) / 2, 4) AS threshold, round(lo - hi, 4) AS gap FROM q""",
-    "recall_at_k": "WITH " + _DENSE + ", " + dense(10) + """, h AS (SELECT q.query_id, r.row_id, round(list_inner_product(r.vec[1:32], q.qvec[1:32]), 6) AS s FROM rows r, qs q),
-        ht AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, row_id) <= 10), p AS (SELECT dn.query_id, count(ht.row_id)::DOUBLE / count(*) AS r FROM dn LEFT JOIN ht USING (query_id, row_id) GROUP BY dn.query_id)
-        SELECT count(*) AS n_queries, round(avg(r), 6) AS recall FROM p""",
-    "answer_metrics": _ANSWERS + """ SELECT in_corpus, count(*) AS n, count(*) FILTER (cited) AS cited, count(*) FILTER (grounded) AS grounded, count(*) FILTER (correct) AS correct, count(*) FILTER (degenerate) AS degenerate,
+    "source_answer_metrics": _ANSWERS + """ SELECT in_corpus, count(*) AS n, count(*) FILTER (cited) AS cited, count(*) FILTER (grounded) AS grounded, count(*) FILTER (correct) AS correct, count(*) FILTER (degenerate) AS degenerate,
         count(*) FILTER (refused) AS refused FROM fl GROUP BY in_corpus""",
-    "failure_labels": _ANSWERS + """, l AS (SELECT CASE WHEN NOT grounded THEN 'PHANTOM' END AS label FROM fl WHERE in_corpus
+    "source_failure_labels": _ANSWERS + """, l AS (SELECT CASE WHEN NOT grounded THEN 'PHANTOM' END AS label FROM fl WHERE in_corpus
         UNION ALL SELECT CASE WHEN degenerate THEN 'DEGENERATE' WHEN NOT correct THEN 'WRONG-SOURCE' WHEN NOT cited THEN 'UNCITED' END FROM fl WHERE in_corpus
         UNION ALL SELECT CASE WHEN NOT refused THEN 'NO-ABSTAIN' END FROM fl WHERE NOT in_corpus) SELECT label, count(*) AS n FROM l WHERE label IS NOT NULL GROUP BY label""",
     "dense_id_space": "WITH " + _CHUNKS + ", a AS (SELECT count(*) AS n_rows, count(DISTINCT faiss_id) AS n_ids, min(faiss_id) AS first_id, max(faiss_id) AS last_id FROM chunks) SELECT *, n_rows = n_ids AND first_id = 0 AND last_id = n_rows - 1 AS dense FROM a",
     "orphan_chunks": "WITH " + _CHUNKS + " SELECT faiss_id, gr_id FROM chunks WHERE NOT EXISTS (SELECT 1 FROM gr_documents d WHERE d.doc_id = gr_id)",
     "empty_documents": "WITH " + _DOCS + " SELECT doc_id FROM docs WHERE NOT EXISTS (SELECT 1 FROM gr_chunks c WHERE c.gr_id = doc_id AND c.faiss_id IS NOT NULL)",
-    "alignment_sample": "SELECT count(*) AS n, min(round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 4)) AS worst FROM embeddings",
     "upsert_keep_latest": "WITH " + _DOCS + " SELECT doc_id, gr_number, date, title, ingested_at FROM docs",
     "resume_anti_join": "WITH " + _DOCS + " SELECT doc_id FROM docs WHERE NOT EXISTS (SELECT 1 FROM gr_chunks c WHERE c.gr_id = doc_id AND c.faiss_id IS NOT NULL)",
     "truncate_from_id": "WITH " + _DOCS + ", " + _CHUNKS + " SELECT count(*) AS n_chunks, (SELECT count(*) FROM docs WHERE doc_id IN (SELECT gr_id FROM chunks WHERE faiss_id < 1000)) AS n_documents FROM chunks WHERE faiss_id < 1000",

@@ -2,11 +2,11 @@
 
 import pytest
 
-from daftar.plans import core_queries, register_queries
+from daftar.plans import core_queries, desk_queries, register_queries
 from tests.oracle import same
 
-ALL = {**register_queries.QUERIES, **core_queries.QUERIES}
-SQL = {**register_queries.ORACLE, **core_queries.ORACLE}
+ALL = {**register_queries.QUERIES, **desk_queries.QUERIES, **core_queries.QUERIES}
+SQL = {**register_queries.ORACLE, **desk_queries.ORACLE, **core_queries.ORACLE}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
