@@ -159,6 +159,23 @@ def test_noise_of_pieces_beside_their_document(spark, channel):
     assert got == {("1", 0, "hyphen"), ("1", 1, "misread"), ("2", 0, "misread"), ("2", 1, "running"), ("3", 0, "running")}
 
 
+def test_a_piece_is_laid_along_its_document():
+    head, a, b, c, d = 7, 1, 2, 3, 4
+    lines = [head, a, 0, b, head, 0, c, d, head]
+    assert ocr.laid_along([head, a, b], lines, 0, {4, 8}) == [0, 1, 3]
+    assert ocr.laid_along([b, head, c, d, head], lines, 0, {4, 8}) == [3, 4, 6, 7, 8]
+    assert ocr.laid_along([9, head, 0], lines, 0, {4, 8}) == [None, 4, None] and ocr.laid_along([], lines, 0, set()) == []
+    assert ocr.laid_along([d, a], lines, 0, set()) == [7, 1]
+
+
+def test_letterhead_is_told_from_an_equal_running_line(spark, channel):
+    docs = spark.createDataFrame([("d", PAGES)], "doc_id string, text string")
+    first = "Title of the office\nGovernment of the Province\nOrder No. AB-2015/C.R.2/D-1"
+    held = spark.createDataFrame([(1, "d", first), (2, "d", "eration.\nTitle of the office\n2")], "faiss_id bigint, gr_id string, text string")
+    got = {(r["row_key"], r["line_no"], r["noise"]) for r in ocr.noisy_lines(docs, held, channel).where("tbl = 'gr_chunks'").collect()}
+    assert got == {("2", 1, "running"), ("2", 2, "pageno")}
+
+
 # --- 3: pieces -----------------------------------------------------------------
 
 
