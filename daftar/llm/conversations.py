@@ -26,7 +26,7 @@ def blank(text: Column) -> Column:
     return text.isNull() | ~text.rlike(r"(?U)[^\s​-‏⁠﻿]")
 
 
-def turns(messages: DataFrame) -> DataFrame:
+def turns(messages: DataFrame, bodies: bool = True) -> DataFrame:
     """Non-blank messages in order, with the stretch each was sorted in.
 
     ``messages`` has id, conversation_id, role, content and created_at; other
@@ -34,15 +34,18 @@ def turns(messages: DataFrame) -> DataFrame:
     are left out, a null time sorts first.  ``role`` is one of the three roles
     or ``other`` (a null role too).  ``turn`` numbers the rows within the
     stretch that are neither system rows nor repeats of the row before;
-    ``repeated`` marks those repeats.
+    ``repeated`` marks those repeats.  Without ``bodies`` the contents stay
+    behind and their digests take their place in the order, which is enough for
+    a verdict: of equal role and time only the number of contents counts.
     """
     role = F.lower(F.regexp_replace("role", r"(?U)^\s+|\s+$", ""))
+    content = F.col("content") if bodies else F.lit(None).cast("string")
     rows = (
-        messages.select(F.col("conversation_id"), F.col("id").alias("message_id"), F.when(role.isin(*ROLES), role).otherwise("other").alias("role"), "content", F.col("created_at").cast("double").alias("created_at"))
-        .where(F.col("conversation_id").isNotNull() & ~blank(F.col("content"))).distinct()
-        .withColumn("rank", F.expr("array_position(array('system','user','assistant','other'), role)")).withColumn("mark", F.xxhash64("content"))
+        messages.where(F.col("conversation_id").isNotNull() & ~blank(F.col("content")))
+        .select("conversation_id", F.col("id").alias("message_id"), F.when(role.isin(*ROLES), role).otherwise("other").alias("role"), content.alias("content"), F.col("created_at").cast("double").alias("created_at"), F.xxhash64("content").alias("mark"))
+        .distinct().withColumn("rank", F.expr("array_position(array('system','user','assistant','other'), role)"))
     )
-    keys = ["conversation_id", "created_at", "rank", "content", "message_id"]
+    keys = ["conversation_id", "created_at", "rank", "content" if bodies else "mark", "message_id"]
     rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("rank").withColumn("part", F.spark_partition_id())
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

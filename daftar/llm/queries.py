@@ -97,7 +97,7 @@ def p5_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    verdicts = conversations.judge(conversations.stretches(conversations.turns(table(spark, d, "messages"))))
+    verdicts = conversations.judge(conversations.stretches(conversations.turns(table(spark, d, "messages"), False)))
     ids = table(spark, d, "conversations").select(F.col("id").alias("conversation_id")).where("conversation_id is not null").distinct()
     return ids.join(verdicts.where("verdict = 'kept'"), "conversation_id", "left_anti")
 

@@ -12,10 +12,10 @@ of Hindi and of romanised text.  The body's sentences are then given to the
 component that explains their terms best under the mixture of their document,
 and a document deals with the areas to which enough sentences are given.
 
-H and the weights have one row per term.  A term must occur in a stated share
-of the documents, which bounds their number by (mean distinct terms per
-document) / share whatever the size of the corpus; only such tables reach the
-driver and the executors' Python workers.
+H and the weights have one row per term that occurs in at least
+``LEAST_DOCUMENTS`` documents, the same number at every size of the corpus;
+they grow with the vocabulary, not with the text, and only such tables reach
+the driver and the executors' Python workers.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from daftar.llm.languages import _CLOSING, romanise
 from daftar.llm.lookalike import look
 from daftar.session import Scratch
 
-LEAST_SHARE = 1e-4  # of the documents, for a term to be in the matrix
+LEAST_DOCUMENTS = 2  # in which a term must occur to be in the matrix
 LEAST_SENTENCES = 3
 ROUNDS, REWEIGH, ANCHOR = 7, (1, 3), 0.3
 
@@ -244,7 +244,7 @@ def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame, work: Scratch)
     spark = encoded.sparkSession
     n_docs = encoded.count()
     counts = encoded.mapInPandas(_document_frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
-    rows = counts.where((F.col("term") != 0) & (F.col("df") >= max(2, LEAST_SHARE * n_docs))).toPandas().sort_values("term")
+    rows = counts.where((F.col("term") != 0) & (F.col("df") >= LEAST_DOCUMENTS)).toPandas().sort_values("term")
     terms, df = rows["term"].to_numpy(np.int64), rows["df"].to_numpy(float)
     listed = sorted((r["subject"], r["words"] or "") for r in areas.collect() if r["subject"])
     subjects = [s for s, _ in listed]
@@ -253,7 +253,7 @@ def fit(encoded: DataFrame, labels: DataFrame, areas: DataFrame, work: Scratch)
     seen = (
         labels.join(n_of, "k").join(encoded, "k").select("subject", "n", F.explode("terms").alias("term")).where("term <> 0")
         .groupBy("subject", "term").agg(F.sum(1 / F.col("n")).alias("c"))
-        .join(counts.where(F.col("df") >= max(2, LEAST_SHARE * n_docs)).select("term"), "term", "left_semi").toPandas()
+        .join(counts.where(F.col("df") >= LEAST_DOCUMENTS).select("term"), "term", "left_semi").toPandas()
     )
     if len(terms):
         at = np.searchsorted(terms, seen["term"].to_numpy(np.int64))
