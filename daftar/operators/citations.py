@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from daftar.functions.text import canonical_number
-from daftar.operators.search import containing
+from daftar.operators.search import best, containing
 from daftar.session import Scratch
 
 
@@ -101,13 +101,16 @@ def chains(docs: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
     """(doc_id, hop, next_id): for every superseded order the orders that replaced it, the last one in force.
 
     At each order the newest superseder not yet in the chain is followed, by
-    (date, id); at most ``max_depth`` hops.  Candidates are one sorted array per
-    order, made before the walk; a round extends all chains at once by a join.
+    (date, id); at most ``max_depth`` hops.  A chain has at most ``max_depth``
+    + 1 orders, so of an order's superseders only as many of the newest can ever
+    be followed, and only those are kept, however many there are.  A round
+    extends all chains at once by a join.
     """
     dated = docs.select(F.col("doc_id").alias("src_id"), F.coalesce("date", F.lit("")).alias("date"))
     claims = edges.where("kind = 'supersedes' and dst_id is not null").select(F.col("dst_id").alias("at"), "src_id").distinct().join(dated, "src_id")
     work = Scratch(docs.sparkSession, "chains")
-    cands = work.write(claims.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("date", "src_id")), asc=False).alias("cands")), "cands")
+    newest = best(claims, ["at"], [F.desc("date"), F.desc("src_id")], max_depth + 1)
+    cands = work.write(newest.groupBy("at").agg(F.sort_array(F.collect_list(F.struct("date", "src_id")), asc=False).alias("cands")), "cands")
     known = docs.select(F.col("doc_id").alias("at"))
     front = cands.join(known, "at", "left_semi").select(F.col("at").alias("doc_id"), "at", F.array("at").alias("seen"))
     out = None
@@ -131,15 +134,16 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, max_nodes: int
     known = edges.where("dst_id is not null").select("src_id", "dst_id").distinct()
     links = known.select(F.col("src_id").alias("at"), F.col("dst_id").alias("to"), F.lit(0).alias("way")).unionByName(known.select(F.col("dst_id").alias("at"), F.col("src_id").alias("to"), F.lit(1).alias("way")))
     links = links.where("at <> to").groupBy("at", "to").agg(F.min("way").alias("way"))
+    # At most max_nodes are reached and as many may be new, so of a hub's links only the first 2 x max_nodes can count.
+    links = best(links, ["at"], ["way", "to"], 2 * max_nodes).select("at", "to", F.col("way").alias("w"))
     reached = roots.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("distance"), F.lit(0).alias("way"))
-    front = reached
     for d in range(1, depth + 1):
-        step = front.join(links.withColumnRenamed("way", "w"), F.col("node_id") == F.col("at")).select("root_id", F.col("to").alias("node_id"), F.lit(d).alias("distance"), F.col("w").alias("way"))
+        step = reached.where(F.col("distance") == d - 1).join(links, F.col("node_id") == F.col("at")).select("root_id", F.col("to").alias("node_id"), F.lit(d).alias("distance"), F.col("w").alias("way"))
         step = step.groupBy("root_id", "node_id", "distance").agg(F.min("way").alias("way"))
-        front = step.join(reached.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
-        reached = reached.unionByName(front)
-    order = W.partitionBy("root_id").orderBy("distance", "way", "node_id")
-    return reached.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_nodes).select("root_id", "node_id", "distance")
+        new = step.join(reached.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
+        # What the cap leaves out is farther than all that is kept, so nothing beyond it can come in again.
+        reached = best(reached.unionByName(new), ["root_id"], ["distance", "way", "node_id"], max_nodes).drop("rank")
+    return reached.select("root_id", "node_id", "distance")
 
 
 def warnings(docs: DataFrame, chain: DataFrame) -> DataFrame:

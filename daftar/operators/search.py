@@ -1,9 +1,12 @@
 """Exact dense and term-based search of a query set against all rows, in blocks.
 
-Queries are taken in blocks of bounded size.  A block's queries go to all tasks
-(as a matrix, or as a term table), each task scores its rows against the whole
-block and keeps its best k per query, and only those are shuffled.  No row pairs
-are written, and a term that stands in every row costs no more than its rows.
+Queries are taken in blocks of bounded size.  For vectors the blocks are files in
+the shared folder: a task reads its rows once, in stretches of bounded size, and
+scores each stretch against one block after the other; queries never pass the
+driver, and the plan is the same for any number of them.  For terms a block's
+term table goes to all tasks.  Each task keeps its best k per query, and only
+those are shuffled.  No row pairs are written, and a term that stands in every
+row costs no more than its rows.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import Window as W
 
 from daftar.functions.text import tokenize
 from daftar.functions.vectors import dot
+from daftar.session import Scratch
 
 BLOCK = 2048  # queries scored together
 _HITS = "query_id bigint, row_id bigint, score double"
@@ -62,6 +66,43 @@ def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
         yield block
 
 
+STRETCH = 65_536  # rows scored together
+
+
+def _query_files(queries: DataFrame) -> str:
+    """Where the queries are written, at most ``BLOCK`` to a file."""
+    work = Scratch(queries.sparkSession, "queries")
+    queries.where("vec is not null").select(F.col("query_id").cast("bigint").alias("query_id"), F.col("vec").cast("array<double>").alias("vec")).write.option("maxRecordsPerFile", BLOCK).parquet(work.path("blocks"))
+    return work.path("blocks")
+
+
+def _read_blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of each file of queries, in the order of their names."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda x: x.path):
+        if f.path.endswith(".parquet") and f.size:
+            t = pq.read_table(f.path, filesystem=system)
+            if t.num_rows:
+                yield t["query_id"].to_numpy(), np.array(t["vec"].to_pylist(), np.float64)
+
+
+def _stretches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the rows of a task, in stretches of about ``STRETCH``."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= STRETCH:
+            yield np.concatenate([x["row_id"].to_numpy() for x in held]), np.concatenate([np.stack(x["vec"].to_numpy()) for x in held if len(x)]).astype(np.float64)
+            held, n = [], 0
+    if n:
+        yield np.concatenate([x["row_id"].to_numpy() for x in held]), np.concatenate([np.stack(x["vec"].to_numpy()) for x in held if len(x)]).astype(np.float64)
+
+
 def dense_topk(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(query_id, row_id, score, rank): the ``k`` rows of greatest inner product with each query.
 
@@ -70,21 +111,19 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, digits: int = 6) ->
     means no hits.  Scores are rounded to ``digits``, ties go to the smaller id,
     rows of null or other length are left out.
     """
-    out = None
-    for block in _blocks(queries, ["vec"]):
-        qid = np.array([r["query_id"] for r in block], np.int64)
-        q = np.array([r["vec"] for r in block], np.float64)
+    spark = rows.sparkSession
+    uri = _query_files(queries)
+    size = spark.read.parquet(uri).agg(F.max(F.size("vec"))).first()[0]
+    if size is None:
+        return spark.createDataFrame([], _HITS + ", rank int")
 
-        def score(batches: Iterator[pd.DataFrame], qid=qid, q=q) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if len(b):
-                    m = np.stack(b["vec"].to_numpy()).astype(np.float64)
-                    yield _emit(qid, b["row_id"].to_numpy(), np.round(m @ q.T, digits), k)
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, m in _stretches(batches, size):
+            for qid, q in _read_blocks(uri):
+                yield _emit(qid, ids, np.round(m @ q.T, digits), k)
 
-        sound = rows.where(F.size("vec") == q.shape[1]).select("row_id", "vec")
-        found = best(sound.mapInPandas(score, _HITS), ["query_id"], [F.desc("score"), "row_id"], k)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], _HITS + ", rank int")
+    sound = rows.where(F.size("vec") == size).select("row_id", "vec")
+    return best(sound.mapInPandas(score, _HITS), ["query_id"], [F.desc("score"), "row_id"], k)
 
 
 def containing(rows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -211,26 +250,22 @@ def cell_topk(rows: DataFrame, queries: DataFrame, k: int, n_cells: int = 16, pr
     one, and rows of the probed cells are scored exactly.  With as many probes
     as cells it is exact.
     """
+    spark = rows.sparkSession
     cells = centroids(rows, n_cells)
-    out = None
-    for block in _blocks(queries, ["vec"]) if len(cells) else ():
-        qid = np.array([r["query_id"] for r in block], np.int64)
-        q = np.array([r["vec"] for r in block], np.float64)
-        near = np.argsort(-(q @ cells.T), axis=1, kind="stable")[:, :probes]
-        asks = [np.flatnonzero((near == c).any(1)) for c in range(len(cells))]
-
-        def score(batches: Iterator[pd.DataFrame], qid=qid, q=q, asks=asks) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                m, ids = np.stack(b["vec"].to_numpy()).astype(np.float64), b["row_id"].to_numpy()
-                own = (m @ cells.T).argmax(1)
+    if not len(cells):
+        return spark.createDataFrame([], _HITS + ", rank int")
+    uri = _query_files(queries)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, m in _stretches(batches, cells.shape[1]):
+            own = (m @ cells.T).argmax(1)
+            for qid, q in _read_blocks(uri):
+                near = np.argsort(-(q @ cells.T), axis=1, kind="stable")[:, :probes]
                 for c in np.unique(own):
-                    if len(asks[c]):
+                    asks = np.flatnonzero((near == c).any(1))
+                    if len(asks):
                         in_cell = own == c
-                        yield _emit(qid[asks[c]], ids[in_cell], np.round(m[in_cell] @ q[asks[c]].T, digits), k)
+                        yield _emit(qid[asks], ids[in_cell], np.round(m[in_cell] @ q[asks].T, digits), k)
 
-        sound = rows.where(F.size("vec") == q.shape[1]).select("row_id", "vec")
-        found = best(sound.mapInPandas(score, _HITS), ["query_id"], [F.desc("score"), "row_id"], k)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.sparkSession.createDataFrame([], _HITS + ", rank int")
+    sound = rows.where(F.size("vec") == cells.shape[1]).select("row_id", "vec")
+    return best(sound.mapInPandas(score, _HITS), ["query_id"], [F.desc("score"), "row_id"], k)
