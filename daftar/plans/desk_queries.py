@@ -224,7 +224,8 @@ def retrieve_flat(spark, d):
 def _evidence(spark, d):
     rows, questions = r.chunk_rows(spark, d), r.questions(spark, d)
     scorer = retrieval.lexical_scorer(search.statistics(rows))
-    return retrieval.retrieve(questions, rows, r.vectors(spark, d), _embed(spark, d), scorer).join(rows.select("row_id", "text"), "row_id", "left")
+    found = retrieval.retrieve(questions, rows, r.vectors(spark, d), _embed(spark, d), scorer).join(rows.select("row_id", "text"), "row_id", "left")
+    return Scratch(spark, "evidence").write(found, "found")  # read several times by an answer
 
 
 def answers(spark, d):
