@@ -92,6 +92,8 @@ class Block:
         is_start = at == self.start[owner]
         reach = np.where(is_start, at + limit, at + step)
         half = np.where(is_start, at + limit // 2, at + step // 2)
+        # A first piece no longer than the overlap would lie wholly inside the second.
+        low = np.where(is_start, at + overlap, at)
         rank = np.arange(len(at))
 
         def farthest(least: int) -> np.ndarray:
@@ -99,7 +101,7 @@ class Block:
             return np.maximum.accumulate(own)[np.searchsorted(at, reach, "right") - 1]
 
         succ = farthest(0)
-        for least, floor in ((WORD, at), (SENTENCE, at), (SENTENCE, half), (PARAGRAPH, half)):
+        for least, floor in ((WORD, low), (SENTENCE, low), (SENTENCE, half), (PARAGRAPH, half)):
             f = farthest(least)
             succ = np.where((f >= 0) & (at[np.maximum(f, 0)] > floor), f, succ)
         ending = np.searchsorted(at, stop)

@@ -76,6 +76,17 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.split(docs, "doc_id", "text", PIECE_CHARS, OVERLAP_CHARS)
 
 
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Each text put together again from its pieces without their overlap, and how many of its pieces are too long or wrongly numbered."""
+    p = p3_pieces(spark, d).where("doc_id is not null")
+    own = F.when(F.col("chunk_index") == 0, F.col("piece")).otherwise(F.substring("piece", OVERLAP_CHARS + 1, PIECE_CHARS))
+    g = p.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("chunk_index", own.alias("own")))).alias("a"), F.count(F.when(F.length("piece") > PIECE_CHARS, 1)).alias("n_over"),
+        (F.count(F.lit(1)) - F.countDistinct("chunk_index") + F.max("chunk_index") + 1 - F.count(F.lit(1))).alias("n_gaps"),
+    )
+    return g.select("doc_id", F.md5(F.array_join(F.transform("a", lambda x: x["own"]), "")).alias("digest"), "n_over", "n_gaps")
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "gr_documents").select("doc_id", "language", "text")
     profiles = languages.fit(languages.sample(docs, "doc_id", "language", "text"))
@@ -203,6 +214,7 @@ QUERIES = {
     "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p3_coverage": p3_coverage,
     "p5_found": p5_found,
     "p5_languages": p5_languages,
     "p7_found": p7_found,
@@ -256,6 +268,7 @@ UNION SELECT doc_id, 'index_gap' FROM i GROUP BY doc_id
   HAVING count(*) <> count(DISTINCT chunk_index) OR min(chunk_index) <> 0 OR max(chunk_index) <> count(*) - 1 OR max(chunk_index) IS NULL
 UNION SELECT c.doc_id, 'page_span' FROM c LEFT JOIN pg ON c.doc_id = pg.doc_id
   WHERE coalesce(NOT list_contains(pages, page_start), FALSE) OR coalesce(NOT list_contains(pages, page_end), FALSE) OR coalesce(page_start > page_end, FALSE)""",
+    "p3_coverage": "SELECT DISTINCT doc_id, md5(text) AS digest, 0::BIGINT AS n_over, 0::BIGINT AS n_gaps FROM gr_documents WHERE doc_id IS NOT NULL AND text <> ''",
     "p7_found": _TURNS + "SELECT DISTINCT id AS conversation_id FROM conversations WHERE id IS NOT NULL AND id NOT IN (SELECT conversation_id FROM kept)",
     "p7_conversations": _TURNS
     + """SELECT conversation_id, k::INT AS turn_no, role, content, created_at FROM n WHERE conversation_id IN (SELECT conversation_id FROM kept)

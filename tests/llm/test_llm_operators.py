@@ -199,7 +199,7 @@ def greedy(t, limit, overlap):
         w = limit if e == 0 else limit - overlap
         if len(t) - e <= w:
             return [*out, len(t)]
-        near = [p for p in sorted(level) if e < p <= e + w]
+        near = [p for p in sorted(level) if (e or overlap) < p <= e + w]
         for ok in (lambda p: level[p] == 3 and p > e + w // 2, lambda p: level[p] >= 2 and p > e + w // 2, lambda p: level[p] >= 2, lambda p: level[p] >= 1, lambda p: True):
             if hit := [p for p in near if ok(p)]:
                 e = hit[-1]
@@ -210,13 +210,15 @@ def greedy(t, limit, overlap):
 
 def test_cuts_equal_the_greedy_ones():
     rng = random.Random(5)
-    texts = ["", " ", "x" * 500, "ab " * 300, "a" * 120, "a" * 121, " " * 400, ("w" * 104 + " ") * 5]
+    texts = ["", " ", "short. " + "long" * 50 + " end", "x" * 500, "ab " * 300, "a" * 120, "a" * 121, " " * 400, ("w" * 104 + " ") * 5]
     for _ in range(150):
         texts.append("".join(rng.choice(["a", "bc", "देव", " ", " ", "\n", "\n\n", ". ", "। ", "long" * rng.randrange(40)]) for _ in range(rng.randrange(200))))
     block = pieces.Block(texts)
     owner, end = block.cuts(120, 15)
     for i, t in enumerate(texts):
-        assert (end[owner == i] - block.start[i]).tolist() == greedy(t, 120, 15), repr(t)
+        stops = (end[owner == i] - block.start[i]).tolist()
+        assert stops == greedy(t, 120, 15), repr(t)
+        assert all(e > 15 for e in stops[:-1]) and stops == sorted(stops)  # so any two neighbours have the whole overlap in common
     assert block.longest(pieces.WORD).tolist() == [max(map(len, t.split()), default=0) for t in texts]
 
 
