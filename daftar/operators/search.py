@@ -76,8 +76,8 @@ def _query_files(queries: DataFrame) -> str:
     return work.path("blocks")
 
 
-def _read_blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of each file of queries, in the order of their names."""
+def read_files(uri: str) -> Iterator:
+    """The Arrow table of each file of a folder that holds rows, in the order of their names."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
@@ -86,7 +86,13 @@ def _read_blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if f.path.endswith(".parquet") and f.size:
             t = pq.read_table(f.path, filesystem=system)
             if t.num_rows:
-                yield t["query_id"].to_numpy(), np.array(t["vec"].to_pylist(), np.float64)
+                yield t
+
+
+def _read_blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of each file of queries."""
+    for t in read_files(uri):
+        yield t["query_id"].to_numpy(), np.array(t["vec"].to_pylist(), np.float64)
 
 
 def _stretches(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -160,27 +160,34 @@ def edges_rebuilt(spark, d):
 # --- indexes --------------------------------------------------------------------
 
 
+def _rows_in_place(spark, d):
+    """``chunk_rows`` with the texts left where they lie."""
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("__at")
+    stored = table(spark, d, "gr_chunks").select(F.col("faiss_id").alias("row_id"), "content_type", "text", place)
+    return citations.latest_in_place(stored, "row_id", "__at", ()).where("text is not null")
+
+
 def _postings(spark, d):
     index = PostingIndex(spark, Scratch(spark, "postings").path("index"))
-    rows = r.chunk_rows(spark, d)
+    rows = _rows_in_place(spark, d)
     index.add(rows.where("content_type = 'text'"))
     index.add(rows.where("content_type <> 'text' or content_type is null"))
-    return index
+    return index, rows
 
 
 def bm25_stored(spark, d):
     """The term search of ``bm25_fts_topk``, from a stored index that was filled in two parts."""
-    return _postings(spark, d).search(r.questions(spark, d), r.K)
+    return _postings(spark, d)[0].search(r.questions(spark, d), r.K)
 
 
 def bm25_stored_okapi(spark, d):
-    return _postings(spark, d).search(r.questions(spark, d), r.K, "okapi")
+    return _postings(spark, d)[0].search(r.questions(spark, d), r.K, "okapi")
 
 
 def bm25_after_delete(spark, d):
     """The same after all tables were taken out of the index and the rest was written anew."""
-    index = _postings(spark, d)
-    index.delete(r.chunk_rows(spark, d).where("content_type = 'table'").select("row_id"))
+    index, rows = _postings(spark, d)
+    index.delete(rows.where("content_type = 'table'").select("row_id"))
     return index.compact(index.root + "-compact").search(r.questions(spark, d), r.K)
 
 

@@ -7,30 +7,116 @@ writes the rest anew.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daftar.functions.text import tokenize
-from daftar.operators.search import best
-from daftar.session import exists
+from daftar.operators.citations import BROADCAST_ROWS
+from daftar.operators.search import BLOCK, best, read_files
+from daftar.session import Scratch, exists
 
 BUCKETS = 64  # folders of postings by hash of the term: a search reads only those of its terms
+STRETCH = 1 << 20  # postings of whole rows scored together
+_TOKEN = re.compile("[a-z0-9ऀ-ॿ]+")  # as ``tokenize``, of texts in lower case
+_POSTING = "row_id bigint, length int, term string, tf int"
+
+
+def _posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Postings of each text, and one of the empty term, which says that the row is there."""
+    for b in batches:
+        for lo in range(0, len(b), 1024):
+            part = b.iloc[lo : lo + 1024]
+            found = [_TOKEN.findall(t) for t in part["t"]]
+            counts = [Counter(x) for x in found]
+            per_row = [len(c) + 1 for c in counts]
+            yield pd.DataFrame({
+                "row_id": np.repeat(part["row_id"].to_numpy(), per_row), "length": np.repeat(np.array([len(x) for x in found], np.int32), per_row),
+                "term": [t for c in counts for t in ("", *c)], "tf": np.array([n for c in counts for n in (0, *c.values())], np.int32),
+            })
+
+
+def _whole_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Postings sorted by row, about ``STRETCH`` at a time; the postings of a row stay together."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for b in batches:
+        held.append(b)
+        n += len(b)
+        if n >= STRETCH:
+            p = pd.concat(held, ignore_index=True)
+            cut = int(np.searchsorted(p["row_id"].to_numpy(), p["row_id"].iloc[-1]))
+            if cut:
+                yield p.iloc[:cut]
+            held, n = [p.iloc[cut:]], len(p) - cut
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Stretch:
+    """Rows with what each asked term adds to their score."""
+
+    def __init__(self, p: pd.DataFrame):
+        self.ids, row = np.unique(p["row_id"].to_numpy(), return_inverse=True)
+        p = pd.DataFrame({"term_id": p["term_id"].to_numpy(), "row": row, "part": p["part"].to_numpy()}).groupby(["term_id", "row"], as_index=False)["part"].sum()
+        terms, start = np.unique(p["term_id"].to_numpy(), return_index=True)
+        rows, parts = p["row"].to_numpy(), p["part"].to_numpy()
+        self.of: dict[int, tuple[np.ndarray | None, np.ndarray]] = {}
+        for t, lo, hi in zip(terms.tolist(), start, np.append(start[1:], len(p))):
+            if (hi - lo) * 4 > len(self.ids):  # a frequent term has a place for every row
+                whole = np.zeros(len(self.ids))
+                whole[rows[lo:hi]] = parts[lo:hi]
+                self.of[t] = None, whole
+            else:
+                self.of[t] = rows[lo:hi], parts[lo:hi]
+
+    def best(self, terms: list[int], weights: list[float], k: int, digits: int, rounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the best k rows, ties by smaller id; ``rounded``: a score must not round to nothing."""
+        s = np.zeros(len(self.ids))
+        for t, w in zip(terms, weights):
+            if t in self.of:
+                rows, parts = self.of[t]
+                if rows is None:
+                    s += w * parts
+                else:
+                    s[rows] += w * parts
+        if len(s) > k:
+            # What lies further below the k-th than rounding reaches cannot be among the best.
+            edge = max(np.partition(s, len(s) - k)[len(s) - k] - 1.1 * 10.0**-digits, 0.0)
+            near = np.flatnonzero((s >= edge) & (s > 0))
+        else:
+            near = np.flatnonzero(s > 0)
+        score = np.round(s[near], digits)
+        if rounded:
+            near, score = near[score > 0], score[score > 0]
+        order = np.lexsort((near, -score))[:k]
+        return self.ids[near[order]], score[order]
 
 
 class PostingIndex:
-    """Term postings of a table of texts: (term, row_id, tf, length), one folder per hash bucket of the term."""
+    """Term postings of a table of texts: (term, row_id, tf, length), one folder per hash bucket of the term.
+
+    Every row has a posting of the empty term, which no text contains, in a
+    folder of its own: the table of all rows.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def add(self, rows: DataFrame) -> None:
-        """Index ``rows`` (row_id, text); texts are read once and not moved. Null texts are not indexed."""
-        t = rows.where("text is not null").select(F.col("row_id").cast("bigint").alias("row_id"), tokenize(F.col("text")).alias("__t"))
-        t.select("row_id", F.size("__t").alias("length")).write.mode("append").parquet(f"{self.root}/rows")
-        # A row's terms are counted inside the row: distinct terms against the whole list.
-        counted = F.transform(F.array_distinct("__t"), lambda w: F.struct(w.alias("term"), F.size(F.filter("__t", lambda x: x == w)).alias("tf")))
-        p = t.select("row_id", F.size("__t").alias("length"), F.inline(counted))
-        p.withColumn("bucket", self._bucket(F.col("term"))).write.mode("append").partitionBy("bucket").parquet(f"{self.root}/postings")
+        """Index ``rows`` (row_id, text); texts are read once and not moved. Null texts and ids are not indexed."""
+        t = rows.where("row_id is not null and text is not null").select(F.col("row_id").cast("bigint").alias("row_id"), F.lower("text").alias("t"))
+        self._write(t.mapInPandas(_posted, _POSTING).withColumn("bucket", self._bucket(F.col("term"))), "append", self.root)
+
+    @staticmethod
+    def _write(postings: DataFrame, mode: str, root: str) -> None:
+        # Sorted, equal terms stand together and take hardly any room.
+        postings.sortWithinPartitions("bucket", "term", "row_id").write.mode(mode).partitionBy("bucket").parquet(f"{root}/postings")
 
     def delete(self, rows: DataFrame) -> None:
         """Take rows (row_id) out; their postings stay unread until ``compact``."""
@@ -38,48 +124,75 @@ class PostingIndex:
 
     @staticmethod
     def _bucket(term):
-        return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+        return F.when(term == "", -1).otherwise(F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int"))
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        table = self.spark.read.parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
-        gone = f"{self.root}/gone"
-        return table.join(self.spark.read.parquet(gone).distinct(), "row_id", "left_anti") if exists(self.spark, gone) else table
+    def _read(self) -> DataFrame:
+        path, gone = f"{self.root}/postings", f"{self.root}/gone"
+        schema = _POSTING + ", bucket int"
+        stored = self.spark.read.schema(schema).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], schema)
+        if not exists(self.spark, gone):
+            return stored
+        out = self.spark.read.parquet(gone).distinct()
+        return stored.join(F.broadcast(out) if out.count() <= BROADCAST_ROWS else out, "row_id", "left_anti")
 
     def rows(self) -> DataFrame:
-        return self._read("rows", "row_id bigint, length int")
+        return self._read().where("bucket = -1").select("row_id", "length")
 
     def postings(self) -> DataFrame:
-        return self._read("postings", "row_id bigint, length int, term string, tf int, bucket int")
+        return self._read().where("bucket >= 0")
 
     def compact(self, to: str) -> PostingIndex:
         """The index without what was taken out, written to another folder."""
-        self.rows().write.mode("overwrite").parquet(f"{to}/rows")
-        self.postings().write.mode("overwrite").partitionBy("bucket").parquet(f"{to}/postings")
+        self._write(self._read(), "overwrite", to)
         return PostingIndex(self.spark, to)
 
     def search(self, queries: DataFrame, k: int, form: str = "fts", digits: int = 6) -> DataFrame:
         """(query_id, row_id, score, rank) by BM25, as ``search.bm25_topk``, from the postings of the asked terms only.
 
-        Queries are a table of any size: their terms meet the postings in one
-        join, scores are summed per (query, row), and nothing passes the driver
-        but two numbers of the corpus.
+        Queries are a table of any size, and those of equal terms are scored
+        once.  The postings of asked terms are brought together by row, once
+        whatever the number of queries; a task scores stretches of whole rows
+        against files of queries in the shared folder, and only its best k per
+        query are shuffled.  What passes the driver are two numbers of the
+        corpus and the buckets; asked terms go to all tasks up to
+        ``BROADCAST_ROWS``, and are joined by shuffle beyond it.
         """
+        work = Scratch(self.spark, "asked")
+        few = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
         n_rows, mean = self.rows().agg(F.count(F.lit(1)), F.avg("length")).first()
         asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qn"))
-        postings = self.postings()
-        df = postings.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"))
+        asked = work.write(asked, "queries")
+        terms = work.write(asked.select("term").distinct().withColumn("bucket", self._bucket(F.col("term"))), "terms")
+        stored = self.postings()
+        mine = stored.where(F.col("bucket").isin([r[0] for r in terms.select("bucket").distinct().collect()])).join(few(terms.select("term")), "term", "left_semi")
         plain = F.log(F.lit(float(n_rows)) - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
-        floor = 1e-6 if form == "fts" else 0.25 * (df.agg(F.avg(plain)).first()[0] or 0.0)
+        if form == "fts":
+            df, floor = mine.groupBy("term").agg(F.count(F.lit(1)).alias("n")), 1e-6
+        else:
+            every = work.write(stored.groupBy("term").agg(F.count(F.lit(1)).alias("n")), "every")
+            df, floor = every.join(few(terms.select("term")), "term", "left_semi"), 0.25 * (every.agg(F.avg(plain)).first()[0] or 0.0)
         k1, b = (1.2, 0.75) if form == "fts" else (1.5, 0.75)
-        terms = asked.select("term").distinct().withColumn("bucket", self._bucket(F.col("term")))
-        idf = df.join(terms, ["bucket", "term"], "left_semi").withColumn("idf", F.when(plain > 0 if form == "fts" else plain >= 0, plain).otherwise(floor)).select("term", "idf")
-        hits = postings.join(asked.join(idf, "term").withColumn("bucket", self._bucket(F.col("term"))), ["bucket", "term"])
-        part = F.col("idf") * F.col("qn") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.lit(float(mean or 1))))
-        scored = hits.groupBy("query_id", "row_id").agg(F.round(F.sum(part), digits).alias("score"))
-        if form != "fts":
-            scored = scored.where("score > 0")
-        return best(scored, ["query_id"], [F.desc("score"), "row_id"], k)
+        idf = F.when(plain > 0 if form == "fts" else plain >= 0, plain).otherwise(floor)
+        idf = work.write(df.select("term", idf.alias("idf"), F.monotonically_increasing_id().alias("term_id")), "idf")
+
+        weighted = asked.join(idf, "term").select("query_id", "qn", "term_id", "idf").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term_id", (F.col("qn") * F.col("idf")).alias("weight")))).alias("bag"))
+        weighted = work.write(weighted, "weighted")
+        bags = work.write(weighted.groupBy("bag").agg(F.count(F.lit(1)).alias("n")).select("bag", F.monotonically_increasing_id().alias("bag_id")), "bags")
+        bags.select("bag_id", F.col("bag.term_id").alias("terms"), F.col("bag.weight").alias("weights")).write.option("maxRecordsPerFile", BLOCK).parquet(work.path("blocks"))
+        uri = work.path("blocks")
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for p in _whole_rows(batches):
+                tf, length = p["tf"].to_numpy(np.float64), p["length"].to_numpy(np.float64)
+                rows = _Stretch(p.assign(part=tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (mean or 1)))))
+                for t in read_files(uri):
+                    ids = t["bag_id"].to_numpy()
+                    hits = [rows.best(x, w, k, digits, form != "fts") for x, w in zip(t["terms"].to_pylist(), t["weights"].to_pylist())]
+                    yield pd.DataFrame({"bag_id": np.repeat(ids, [len(i) for i, _ in hits]), "row_id": np.concatenate([i for i, _ in hits]), "score": np.concatenate([s for _, s in hits])})
+
+        together = mine.join(few(idf.select("term", "term_id")), "term").select("row_id", "term_id", "tf", "length").repartition("row_id").sortWithinPartitions("row_id")
+        found = best(together.mapInPandas(score, "bag_id bigint, row_id bigint, score double"), ["bag_id"], [F.desc("score"), "row_id"], k)
+        return weighted.join(bags, "bag").select("query_id", "bag_id").join(found, "bag_id").select("query_id", "row_id", "score", "rank")
 
 
 class VectorStore:

@@ -24,6 +24,29 @@ def test_posting_index_is_kept_up(spark, tmp_path):
         assert ix.search(q, 9).exceptAll(left).count() == 0 and ix.search(q, 9).count() == left.count() > 0
 
 
+def _shuffled(node):
+    """Records that the exchanges of an executed plan wrote."""
+    name = node.getClass().getSimpleName()
+    if name.startswith("AdaptiveSparkPlan"):
+        return _shuffled(node.executedPlan())
+    if name.endswith("QueryStageExec"):
+        return _shuffled(node.plan())
+    own = node.metrics().apply("shuffleRecordsWritten").value() if name == "ShuffleExchangeExec" else 0
+    return own + sum(_shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+
+def test_posting_search_moves_no_pairs(spark, tmp_path):
+    rows = spark.range(400).selectExpr("id as row_id", "concat('common word', if(id % 7 = 0, ' seven seven', ''), if(id % 50 = 0, ' fifty', '')) as text")
+    q = spark.range(100).selectExpr("id as query_id", "if(id % 2 = 0, 'common seven', 'word fifty') as text")
+    index = PostingIndex(spark, str(tmp_path / "ix"))
+    index.add(rows)
+    for form in ("fts", "okapi"):
+        got = index.search(q, 9, form)
+        assert [tuple(r) for r in got.orderBy("query_id", "rank").collect()] == [tuple(r) for r in search.bm25_topk(rows, q, 9, form).orderBy("query_id", "rank").collect()]
+        got.collect()
+        assert 0 < _shuffled(got._jdf.queryExecution().executedPlan()) < 400 * 100 / 4  # every query meets all 400 rows
+
+
 def test_vector_store_takes_one_length_only(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "v"), 2)
     assert store.load().count() == 0
