@@ -392,8 +392,12 @@ def fit(docs: DataFrame, text: str) -> Channel:
 def label(channel: Channel, text: str, paged: bool = True) -> list[tuple[int, str]]:
     """(line number, noise) of a text."""
     layout = Layout(text, paged)
-    out = [(i, k) for i, k in enumerate(layout.kinds) if k in ("running", "pageno")]
     words, breaks = flowing(layout)
+    return _noise(channel, layout, breaks, misread_lines(channel, words, breaks), paged)
+
+
+def _noise(channel: Channel, layout: Layout, breaks: dict[int, tuple[str, str, str]], bad: set[int], paged: bool = True) -> list[tuple[int, str]]:
+    out = [(i, k) for i, k in enumerate(layout.kinds) if k in ("running", "pageno")]
     for i, (left, right, sign) in breaks.items():
         left = left.rsplit("\0", 1)[-1]
         if right or not paged:
@@ -403,7 +407,7 @@ def label(channel: Channel, text: str, paged: bool = True) -> list[tuple[int, st
             # The text ends here: only a stem of a compound may have a hyphen of its own.
             if sign not in "-‐‑－" or left not in channel.stems:
                 out.append((i, "hyphen"))
-    out.extend((i, "misread") for i in misread_lines(channel, words, breaks))
+    out.extend((i, "misread") for i in bad)
     return sorted(set(out))
 
 
@@ -449,7 +453,19 @@ def repair(channel: Channel, text: str) -> str:
     """The text as continuous paragraphs: furniture and page marks gone, words joined, misread words corrected, nothing else changed."""
     layout = Layout(text)
     words, breaks = flowing(layout)
-    bad = misread_lines(channel, words, breaks)
+    return _paragraphs(channel, layout, breaks, misread_lines(channel, words, breaks))
+
+
+def repair_piece(channel: Channel, text: str, noise: list[tuple[int, str]]) -> str:
+    """``repair`` of a piece, by the noise of its lines: what is furniture and what is misread was found in its document."""
+    layout = Layout(text, paged=False)
+    furniture = {i: k for i, k in noise if k in ("running", "pageno")}
+    layout.kinds = [furniture.get(i, "body" if k in ("running", "pageno") else k) for i, k in enumerate(layout.kinds)]
+    breaks = flowing(layout)[1] if any(map(break_sign, layout.raw)) else {}
+    return _paragraphs(channel, layout, breaks, {i for i, k in noise if k == "misread"})
+
+
+def _paragraphs(channel: Channel, layout: Layout, breaks: dict[int, tuple[str, str, str]], bad: set[int]) -> str:
     paragraphs: list[str] = []
     current = ""
     joined = bridged = False
@@ -529,17 +545,34 @@ def labels(df: DataFrame, key: str, text: str, channel: Channel, paged: bool = T
     return cols.mapInPandas(run, f"k {kind}, line_no int, noise string, line string").withColumnRenamed("k", key)
 
 
-def repaired(df: DataFrame, key: str, text: str, channel: Channel) -> DataFrame:
-    """(key, text): each text as clean continuous paragraphs; a null text stays null."""
-    kind = df.schema[key].dataType.simpleString()
-    shared = df.sparkSession.sparkContext.broadcast(channel)
+def repaired(docs: DataFrame, pieces: DataFrame, channel: Channel) -> DataFrame:
+    """(tbl, row_key, text): each text and each stored piece as clean continuous paragraphs; a null text stays null.
+
+    ``docs`` has doc_id and text, ``pieces`` faiss_id, gr_id and text; rows are
+    taken as they are.  A piece is repaired by the noise that ``noisy_lines``
+    finds in its lines.
+    """
+    work = Scratch(docs.sparkSession, "noise")
+    shared = docs.sparkSession.sparkContext.broadcast(channel)
+    found = work.write(_labelled(docs, channel, True), "documents")
+
+    def keyless(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"row_key": b["row_key"], "text": [None if t is None else repair(shared.value, t) for t in b["text"].tolist()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
         for b in batches:
-            yield pd.DataFrame({"k": b["k"], "text": [None if t is None else repair(known, t) for t in b["t"].tolist()]})
+            noise = [[] if n is None else list(zip(n.tolist(), k.tolist())) for n, k in zip(b["line_nos"], b["noises"])]
+            yield pd.DataFrame({"row_key": b["row_key"], "text": [None if t is None else repair_piece(shared.value, t, x) for t, x in zip(b["text"].tolist(), noise)]})
 
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, text string").withColumnRenamed("k", key)
+    out = "row_key string, text string"
+    key = F.col("doc_id").cast("string").alias("row_key")
+    of_docs = found.select(key, "text").unionByName(docs.where("text is null or doc_id is null").select(key, "text").mapInPandas(keyless, out))
+    noise = _noise_of_pieces(found.drop("text"), pieces, channel, work).select("piece", "line_no", "noise").distinct()
+    marked = noise.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("line_no", "noise"))).alias("x")).select("piece", F.col("x.line_no").alias("line_nos"), F.col("x.noise").alias("noises"))
+    held = pieces.select(F.col("faiss_id").cast("string").alias("row_key"), "text", _piece().alias("piece"))
+    of_pieces = held.join(marked, "piece", "left").drop("piece").mapInPandas(run, out)
+    return of_docs.select(F.lit("gr_documents").alias("tbl"), "row_key", "text").unionByName(of_pieces.select(F.lit("gr_chunks").alias("tbl"), "row_key", "text"))
 
 
 def laid_along(piece: list[int], lines: list[int], blank: int, noisy: set[int]) -> list[int | None]:
@@ -564,18 +597,27 @@ def laid_along(piece: list[int], lines: list[int], blank: int, noisy: set[int])
     return at
 
 
-def _labelled(docs: DataFrame, channel: Channel) -> DataFrame:
-    """(doc_id, h, line_nos, noises): hashes of all lines of each text, and its noisy lines."""
+def _labelled(docs: DataFrame, channel: Channel, repaired: bool = False) -> DataFrame:
+    """(doc_id, h, line_nos, noises): hashes of all lines of each text, and its noisy lines; ``repaired``: and the repaired text."""
     shared = docs.sparkSession.sparkContext.broadcast(channel)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shared.value
         for b in batches:
-            found = [label(shared.value, t) for t in b.pop("t").tolist()]
-            yield b.assign(line_nos=[[n for n, _ in x] for x in found], noises=[[k for _, k in x] for x in found])
+            found, clean = [], []
+            for t in b.pop("t").tolist():
+                layout = Layout(t)
+                words, breaks = flowing(layout)
+                bad = misread_lines(known, words, breaks)
+                found.append(_noise(known, layout, breaks, bad))
+                if repaired:
+                    clean.append(_paragraphs(known, layout, breaks, bad))
+            b = b.assign(line_nos=[[n for n, _ in x] for x in found], noises=[[k for _, k in x] for x in found])
+            yield b.assign(text=clean) if repaired else b
 
     cols = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").alias("t"), _line_hashes("text").alias("h"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return cols.mapInPandas(run, f"doc_id {kind}, h array<bigint>, line_nos array<int>, noises array<string>")
+    return cols.mapInPandas(run, f"doc_id {kind}, h array<bigint>, line_nos array<int>, noises array<string>" + (", text string" if repaired else ""))
 
 
 def _line_hashes(text: str) -> Column:
@@ -583,6 +625,11 @@ def _line_hashes(text: str) -> Column:
     return F.transform(F.split(text, "\n"), lambda x: F.xxhash64(F.when(x.rlike(_MARK.pattern), "").otherwise(F.rtrim(x))))
 
 
+def _piece() -> Column:
+    """A number of a stored piece, by its order, its id and its lines."""
+    return F.xxhash64("gr_id", "faiss_id", _line_hashes("text"))
+
+
 def _taken_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Labels that pieces take from the lines of their document, and their lines that it lacks."""
     for b in batches:
@@ -598,7 +645,7 @@ def _taken_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             mine = [(i, k) for i, n in enumerate(place) if n is not None for k in found.get(n, ())]
             line_nos.append([i for i, _ in mine]), noises.append([k for _, k in mine])
             only.append([i for i, (n, x) in enumerate(zip(place, piece)) if n is None and x != blank])
-        yield pd.DataFrame({"gr_id": b["gr_id"], "faiss_id": b["faiss_id"], "line_nos": line_nos, "noises": noises, "only": only})
+        yield pd.DataFrame({"piece": b["piece"], "faiss_id": b["faiss_id"], "line_nos": line_nos, "noises": noises, "only": only})
 
 
 def noisy_lines(docs: DataFrame, pieces: DataFrame, channel: Channel) -> DataFrame:
@@ -615,15 +662,21 @@ def noisy_lines(docs: DataFrame, pieces: DataFrame, channel: Channel) -> DataFra
     found = work.write(_labelled(docs, channel), "documents")
     zipped = F.explode(F.arrays_zip("line_nos", "noises")).alias("x")
     of_docs = found.select(F.lit("gr_documents").alias("tbl"), F.col("doc_id").alias("row_key"), zipped).select("tbl", "row_key", F.col("x.line_nos").alias("line_no"), F.col("x.noises").alias("noise"))
+    of_pieces = _noise_of_pieces(found, pieces, channel, work).select(F.lit("gr_chunks").alias("tbl"), F.col("faiss_id").cast("string").alias("row_key"), "line_no", "noise")
+    return of_docs.unionByName(of_pieces).distinct()
+
+
+def _noise_of_pieces(found: DataFrame, pieces: DataFrame, channel: Channel, work: Scratch) -> DataFrame:
+    """(piece, faiss_id, line_no, noise) of stored pieces, ``found`` being ``_labelled`` of their documents; rows may repeat."""
+    zipped = F.explode(F.arrays_zip("line_nos", "noises")).alias("x")
     texts = found.dropDuplicates(["doc_id", "h"]).withColumnRenamed("doc_id", "gr_id")
     keyed = pieces.where("faiss_id is not null and text is not null").select("gr_id", "faiss_id", _line_hashes("text").alias("p")).distinct()
-    both = keyed.join(texts, "gr_id", "left").withColumn("blank", F.xxhash64(F.lit("")))
-    kinds = f"gr_id {pieces.schema['gr_id'].dataType.simpleString()}, faiss_id {pieces.schema['faiss_id'].dataType.simpleString()}"
+    both = keyed.join(texts, "gr_id", "left").withColumn("blank", F.xxhash64(F.lit(""))).withColumn("piece", F.xxhash64("gr_id", "faiss_id", "p"))
+    kinds = f"piece bigint, faiss_id {pieces.schema['faiss_id'].dataType.simpleString()}"
     laid = work.write(both.mapInPandas(_taken_over, f"{kinds}, line_nos array<int>, noises array<string>, only array<int>"), "pieces")
-    taken = laid.select("faiss_id", zipped).select("faiss_id", F.col("x.line_nos").alias("line_no"), F.col("x.noises").alias("noise"))
-    asked = work.write(laid.where("only is null or size(only) > 0").select("gr_id", "faiss_id", "only").distinct(), "asked")
-    alone = pieces.alias("p").join(asked.alias("a"), F.col("p.gr_id").eqNullSafe(F.col("a.gr_id")) & (F.col("p.faiss_id") == F.col("a.faiss_id")), "left_semi")
-    own = labels(alone, "faiss_id", "text", channel, paged=False).join(asked.select("faiss_id", "only"), "faiss_id")
-    own = own.where("only is null or array_contains(only, line_no)").select("faiss_id", "line_no", "noise")
-    of_pieces = taken.unionByName(own).select(F.lit("gr_chunks").alias("tbl"), F.col("faiss_id").cast("string").alias("row_key"), "line_no", "noise")
-    return of_docs.unionByName(of_pieces).distinct()
+    taken = laid.select("piece", "faiss_id", zipped).select("piece", "faiss_id", F.col("x.line_nos").alias("line_no"), F.col("x.noises").alias("noise"))
+    asked = work.write(laid.where("only is null or size(only) > 0").select("piece", "faiss_id", "only").distinct(), "asked")
+    alone = pieces.select(_piece().alias("piece"), "text").join(asked.select("piece"), "piece", "left_semi")
+    own = labels(alone, "piece", "text", channel, paged=False).join(asked, "piece")
+    own = own.where("only is null or array_contains(only, line_no)").select("piece", "faiss_id", "line_no", "noise")
+    return taken.unionByName(own)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from daftar.llm import conversations, languages, lookalike, mixing, ocr, packing, pieces, subjects, tokens
+from daftar.operators.citations import latest_in_place
 from daftar.session import Scratch, table
 
 
@@ -41,9 +42,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.noisy_lines(docs, chunks, ocr.fit(docs, "text"))
 
 
+def _once(t: DataFrame, *columns: str) -> DataFrame:
+    """Rows once each by ``columns``; texts stay where they lie and are told apart by digests."""
+    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index")).alias("__at")
+    told = F.concat_ws("\0", *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns])
+    return latest_in_place(t.select("*", F.sha2(told, 256).alias("__key"), place), "__key", "__at", ()).drop("__key")
+
+
 def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "gr_documents").select("doc_id", "text").distinct()
-    return ocr.repaired(docs, "doc_id", "text", ocr.fit(docs, "text"))
+    docs = _once(table(spark, d, "gr_documents"), "doc_id", "text").select("doc_id", "text")
+    chunks = _once(table(spark, d, "gr_chunks"), "faiss_id", "text").select("faiss_id", "gr_id", "text")
+    return ocr.repaired(docs, chunks, ocr.fit(docs, "text"))
 
 
 PIECE_CHARS, OVERLAP_CHARS = 1200, 150

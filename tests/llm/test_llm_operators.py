@@ -145,6 +145,28 @@ def test_repair_keeps_everything_else(channel):
     assert ocr.repair(channel, clean) == clean
 
 
+def test_pieces_are_repaired_too(spark, channel):
+    docs = spark.createDataFrame([("d", PAGES), ("n", None), (None, "the rccord")], "doc_id string, text string")
+    held = spark.createDataFrame(
+        [(1, "d", "The committee exam-\nined the rccord together with the co-\nTitle of the office\n2\noperative order"), (2, "gone", "the rccord"), (3, "d", None), (4, "d", "Title of the office\nGovernment of the Province\nOrder No. AB-2015/C.R.2/D-1"), (None, None, "a plain line")],
+        "faiss_id bigint, gr_id string, text string",
+    )
+    got = {(r["tbl"], r["row_key"]): r["text"] for r in ocr.repaired(docs, held, channel).collect()}
+    assert len(got) == 8 and got["gr_documents", "d"] == ocr.repair(channel, PAGES)
+    assert got["gr_documents", "n"] is None and got["gr_documents", None] == "the record"
+    assert got["gr_chunks", "1"] == "The committee examined the record together with the co-operative order"
+    assert got["gr_chunks", "2"] == "the record" and got["gr_chunks", "3"] is None and got["gr_chunks", None] == "a plain line"
+    assert got["gr_chunks", "4"].startswith("Title of the office\nGovernment")  # the letterhead is no running line
+
+
+def test_repaired_reads_both_tables(spark, small):
+    from daftar.llm import queries
+
+    got = queries.p2_repaired(spark, small).groupBy("tbl").agg(F.countDistinct("row_key").alias("n")).collect()
+    want = {t: spark.read.parquet(f"{small}/{t}.parquet").select(k).distinct().count() for t, k in (("gr_documents", "doc_id"), ("gr_chunks", "faiss_id"))}
+    assert {r["tbl"]: r["n"] for r in got} == want
+
+
 def test_noise_of_pieces(spark, channel):
     docs = spark.createDataFrame([("d", PAGES), ("n", None), ("d", PAGES), (None, PAGES)], "doc_id string, text string")
     held = spark.createDataFrame([(1, "d", "ined the rccord together with the co-\nTitle of the office\n2"), (2, "gone", "the rccord"), (3, "d", None), (1, "d", "ined the rccord together with the co-\nTitle of the office\n2"), (4, None, "the exam-\nined")], "faiss_id bigint, gr_id string, text string")
