@@ -7,6 +7,7 @@ writes the rest anew.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,7 +23,9 @@ from daftar.operators.search import BLOCK, best, read_files
 from daftar.session import Scratch, exists
 
 BUCKETS = 64  # folders of postings by hash of the term: a search reads only those of its terms
-STRETCH = 1 << 20  # postings of whole rows scored together
+STRETCH = 1 << 18  # postings of whole rows scored together
+TASK = 1 << 21  # postings a task scores; each task shuffles its best k per query, so tasks are few and large
+HELD = 64  # files of queries whose best rows a task keeps to its end
 _TOKEN = re.compile("[a-z0-9ऀ-ॿ]+")  # as ``tokenize``, of texts in lower case
 _POSTING = "row_id bigint, length int, term string, tf int"
 
@@ -98,6 +101,25 @@ class _Stretch:
         return self.ids[near[order]], score[order]
 
 
+def _best_of_task(stretches: Iterator[pd.DataFrame], uri: str, k: int, digits: int, rounded: bool) -> Iterator[pd.DataFrame]:
+    """(bag_id, row_id, score): the best k of all stretches of a task for each bag of the first ``HELD`` files, the best k of each stretch for the others."""
+    held: dict[int, pd.DataFrame] = {}
+    for p in stretches:
+        rows = _Stretch(p)
+        for i, t in enumerate(read_files(uri)):
+            hits = [rows.best(x, w, k, digits, rounded) for x, w in zip(t["terms"].to_pylist(), t["weights"].to_pylist())]
+            found = pd.DataFrame({"bag_id": np.repeat(t["bag_id"].to_numpy(), [len(x) for x, _ in hits]), "row_id": np.concatenate([x for x, _ in hits]), "score": np.concatenate([x for _, x in hits])})
+            if i >= HELD:
+                yield found
+            elif i in held:
+                both = pd.concat([held[i], found], ignore_index=True)
+                both = both.iloc[np.lexsort((both["row_id"], -both["score"], both["bag_id"]))]
+                held[i] = both[both.groupby("bag_id").cumcount() < k]
+            else:
+                held[i] = found
+    yield from held.values()
+
+
 class PostingIndex:
     """Term postings of a table of texts: (term, row_id, tf, length), one folder per hash bucket of the term.
 
@@ -115,8 +137,8 @@ class PostingIndex:
 
     @staticmethod
     def _write(postings: DataFrame, mode: str, root: str) -> None:
-        # Sorted, equal terms stand together and take hardly any room.
-        postings.sortWithinPartitions("bucket", "term", "row_id").write.mode(mode).partitionBy("bucket").parquet(f"{root}/postings")
+        # Sorted, equal terms stand together and take hardly any room, and zstd finds the like beginnings of neighbouring ids.
+        postings.sortWithinPartitions("bucket", "term", "row_id").write.mode(mode).option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/postings")
 
     def delete(self, rows: DataFrame) -> None:
         """Take rows (row_id) out; their postings stay unread until ``compact``."""
@@ -152,9 +174,9 @@ class PostingIndex:
         Queries are a table of any size, and those of equal terms are scored
         once.  The postings of asked terms are brought together by row, once
         whatever the number of queries; a task scores stretches of whole rows
-        against files of queries in the shared folder, and only its best k per
-        query are shuffled.  What passes the driver are two numbers of the
-        corpus and the buckets; asked terms go to all tasks up to
+        against files of queries in the shared folder, and only the best k per
+        query of all its stretches are shuffled.  What passes the driver are
+        three numbers of the corpus and the buckets; asked terms go to all tasks up to
         ``BROADCAST_ROWS``, and are joined by shuffle beyond it.
         """
         work = Scratch(self.spark, "asked")
@@ -173,7 +195,7 @@ class PostingIndex:
             df, floor = every.join(few(terms.select("term")), "term", "left_semi"), 0.25 * (every.agg(F.avg(plain)).first()[0] or 0.0)
         k1, b = (1.2, 0.75) if form == "fts" else (1.5, 0.75)
         idf = F.when(plain > 0 if form == "fts" else plain >= 0, plain).otherwise(floor)
-        idf = work.write(df.select("term", idf.alias("idf"), F.monotonically_increasing_id().alias("term_id")), "idf")
+        idf = work.write(df.select("term", idf.alias("idf"), F.monotonically_increasing_id().alias("term_id"), "n"), "idf")
 
         weighted = asked.join(idf, "term").select("query_id", "qn", "term_id", "idf").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term_id", (F.col("qn") * F.col("idf")).alias("weight")))).alias("bag"))
         weighted = work.write(weighted, "weighted")
@@ -184,14 +206,12 @@ class PostingIndex:
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in _whole_rows(batches):
                 tf, length = p["tf"].to_numpy(np.float64), p["length"].to_numpy(np.float64)
-                rows = _Stretch(p.assign(part=tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (mean or 1)))))
-                for t in read_files(uri):
-                    ids = t["bag_id"].to_numpy()
-                    hits = [rows.best(x, w, k, digits, form != "fts") for x, w in zip(t["terms"].to_pylist(), t["weights"].to_pylist())]
-                    yield pd.DataFrame({"bag_id": np.repeat(ids, [len(i) for i, _ in hits]), "row_id": np.concatenate([i for i, _ in hits]), "score": np.concatenate([s for _, s in hits])})
-
-        together = mine.join(few(idf.select("term", "term_id")), "term").select("row_id", "term_id", "tf", "length").repartition("row_id").sortWithinPartitions("row_id")
-        found = best(together.mapInPandas(score, "bag_id bigint, row_id bigint, score double"), ["bag_id"], [F.desc("score"), "row_id"], k)
+                yield p.assign(part=tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / (mean or 1))))
+
+        n_tasks = self.spark.sparkContext.defaultParallelism
+        n_tasks *= max(1, math.ceil((idf.agg(F.sum("n")).first()[0] or 0) / (TASK * n_tasks)))
+        together = mine.join(few(idf.select("term", "term_id")), "term").select("row_id", "term_id", "tf", "length").repartition(n_tasks, "row_id").sortWithinPartitions("row_id")
+        found = best(together.mapInPandas(lambda batches: _best_of_task(score(batches), uri, k, digits, form != "fts"), "bag_id bigint, row_id bigint, score double"), ["bag_id"], [F.desc("score"), "row_id"], k)
         return weighted.join(bags, "bag").select("query_id", "bag_id").join(found, "bag_id").select("query_id", "row_id", "score", "rank")
 
 

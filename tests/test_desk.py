@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from daftar.functions.vectors import hashed_embedding
 from daftar.operators import answering, catalog, citations, evaluation, integrity, portal, retrieval, search, tables
+from daftar.sources import index as stored
 from daftar.sources.index import PostingIndex, VectorStore
 
 
@@ -47,6 +48,43 @@ def test_posting_search_moves_no_pairs(spark, tmp_path):
         assert 0 < _shuffled(got._jdf.queryExecution().executedPlan()) < 400 * 100 / 4  # every query meets all 400 rows
 
 
+def test_posting_search_shuffles_the_best_of_few_tasks(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id as row_id", "'common' as text")
+    q = spark.createDataFrame([(1, "common"), (2, "common common")], "query_id bigint, text string")
+    index = PostingIndex(spark, str(tmp_path / "ix"))
+    index.add(rows)
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in zip(names, ("200", "false")):
+            spark.conf.set(n, value)
+        got = index.search(q, 3)
+        assert [(r["query_id"], r["row_id"], r["rank"]) for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"]))] == [(i, j, j + 1) for i in (1, 2) for j in range(3)]
+        assert 2000 < _shuffled(got._jdf.queryExecution().executedPlan()) <= 2000 + 2 * 3 * spark.sparkContext.defaultParallelism + 20  # 200 tasks would hand on 1,200
+    finally:
+        for n, value in old.items():
+            spark.conf.set(n, value)
+
+
+@pytest.mark.parametrize("held", [0, 1, 9])
+def test_a_task_hands_on_its_best_once(tmp_path, monkeypatch, held):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(stored, "HELD", held)
+    rng = np.random.default_rng(5)
+    for i in range(2):  # files of one bag each
+        pd.DataFrame({"bag_id": [i], "terms": [[0, 1][: i + 1]], "weights": [[2.0, 1.0][: i + 1]]}).to_parquet(tmp_path / f"{i}.parquet")
+    whole = pd.DataFrame({"row_id": np.arange(90), "term_id": rng.integers(0, 2, 90), "part": rng.integers(1, 4, 90) / 2})
+    ask = lambda *stretches: pd.concat(stored._best_of_task(iter(stretches), str(tmp_path), 4, 6, False))
+    order = ["bag_id", "score", "row_id"]
+    best = lambda df: df.sort_values(order, ascending=[True, False, True]).groupby("bag_id").head(4).reset_index(drop=True)
+    got, want = ask(whole[60:], whole[:30], whole[30:60]), best(ask(whole))
+    assert len(want) == 8
+    pd.testing.assert_frame_equal(best(got), want)
+    assert [int((got["bag_id"] == i).sum()) for i in range(2)] == [4 if i < held else 12 for i in range(2)]
+
+
 def test_vector_store_takes_one_length_only(spark, tmp_path):
     store = VectorStore(spark, str(tmp_path / "v"), 2)
     assert store.load().count() == 0
