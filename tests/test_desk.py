@@ -48,8 +48,9 @@ def test_posting_search_moves_no_pairs(spark, tmp_path):
         assert 0 < _shuffled(got._jdf.queryExecution().executedPlan()) < 400 * 100 / 4  # every query meets all 400 rows
 
 
-def test_posting_search_shuffles_the_best_of_few_tasks(spark, tmp_path):
-    rows = spark.range(2000).selectExpr("id as row_id", "'common' as text")
+@pytest.mark.parametrize("form", ["fts", "okapi"])
+def test_posting_search_shuffles_the_best_of_few_tasks(spark, tmp_path, form):
+    rows = spark.range(6000).selectExpr("id as row_id", "if(id % 3 = 0, 'common', 'rest') as text")
     q = spark.createDataFrame([(1, "common"), (2, "common common")], "query_id bigint, text string")
     index = PostingIndex(spark, str(tmp_path / "ix"))
     index.add(rows)
@@ -58,8 +59,8 @@ def test_posting_search_shuffles_the_best_of_few_tasks(spark, tmp_path):
     try:
         for n, value in zip(names, ("200", "false")):
             spark.conf.set(n, value)
-        got = index.search(q, 3)
-        assert [(r["query_id"], r["row_id"], r["rank"]) for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"]))] == [(i, j, j + 1) for i in (1, 2) for j in range(3)]
+        got = index.search(q, 3, form)
+        assert [(r["query_id"], r["row_id"], r["rank"]) for r in sorted(got.collect(), key=lambda r: (r["query_id"], r["rank"]))] == [(i, 3 * j, j + 1) for i in (1, 2) for j in range(3)]
         assert 2000 < _shuffled(got._jdf.queryExecution().executedPlan()) <= 2000 + 2 * 3 * spark.sparkContext.defaultParallelism + 20  # 200 tasks would hand on 1,200
     finally:
         for n, value in old.items():
